@@ -343,7 +343,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | N
         data = encode_file(doc_ids, np.concatenate(lengths), np.concatenate(ids))
         path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.pfor"
         fs, local = pafs.FileSystem.from_uri(path)
-        fs.create_dir(folder.split("://", 1)[-1] if "://" in folder and path.startswith("file:") else local.rsplit("/", 1)[0], recursive=True)
+        fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
         with fs.open_output_stream(local) as out:
             out.write(data)
         yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [int(sum(x.sum() for x in lengths))]})
