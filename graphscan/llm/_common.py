@@ -189,3 +189,45 @@ LOWER = lower_table()
 
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+class PieceCache:
+    """Ids of distinct pieces, found by 64-bit hash, begun anew when full."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
+        self.pool, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.flag = np.empty(0, bool)
+
+    def lookup(self, whole: str, cps: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode) -> np.ndarray:
+        """Entry of each piece whole[start:stop]; ``encode`` gives (ids, sizes, flags) of the unseen ones."""
+        hashes = span_hashes(cps, starts, stops)
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(self.hashes) > self.limit:
+            self.clear()
+        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
+        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
+        fresh = np.flatnonzero(~known)
+        if len(fresh):
+            spans = zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist())
+            ids, sizes, flags = encode([whole[a:b] for a, b in spans])
+            base = len(self.begin)
+            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
+            self.size = np.concatenate([self.size, sizes])
+            self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
+            self.flag = np.concatenate([self.flag, flags])
+            merged = np.concatenate([self.hashes, distinct[fresh]])
+            order = np.argsort(merged, kind="stable")
+            self.hashes = merged[order]
+            self.place = np.concatenate([self.place, base + np.arange(len(fresh))])[order]
+            at = np.searchsorted(self.hashes, distinct)
+        return self.place[at][back]
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries in a row, and their number per entry."""
+        counts = self.size[entries]
+        return self.pool[ragged(self.begin[entries], counts)], counts

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import code_points, persist, ragged, shared_dir, span_hashes, string_slices
+from ._common import PieceCache, code_points, persist, ragged, shared_dir, string_slices
 
 BLOCK = 128
 #: Percentiles of a block's values whose widths are tried; the smallest block wins.
@@ -184,11 +184,7 @@ class PieceEncoder:
         pre = self.tokenizer.pre_tokenizer
         self.by_piece = pre is not None and "ByteLevel(add_prefix_space=False" in repr(pre) and self.tokenizer.normalizer is None
         self.classes = _classes()
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.pool, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.cache = PieceCache(self.CACHE)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -217,9 +213,7 @@ class PieceEncoder:
         if odd.any():
             keep = ~odd[doc]
             starts, stops, doc = starts[keep], stops[keep], doc[keep]
-        entry = self._lookup(whole, cps, starts, stops)
-        counts = self.size[entry]
-        ids = self.pool[ragged(self.begin[entry], counts)]
+        ids, counts = self.cache.ids(self.cache.lookup(whole, cps, starts, stops, self._fresh))
         per_text = np.bincount(doc, counts, len(texts)).astype(np.int64)
         if odd.any():
             which = np.flatnonzero(odd)
@@ -260,7 +254,7 @@ class PieceEncoder:
         keep = ~separator[starts]
         return starts[keep], stops[keep]
 
-    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids and their number for each piece.
 
         Pieces of a space and letters split back into themselves when they
@@ -287,29 +281,7 @@ class PieceEncoder:
         firsts = np.cumsum(sizes) - sizes
         for which, mask in ((True, plain), (False, ~plain)):
             out[ragged(firsts[mask], sizes[mask])] = parts[which]
-        return out, sizes
-
-    def _lookup(self, whole, cps, starts, stops) -> np.ndarray:
-        hashes = span_hashes(cps, starts, stops)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.CACHE:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        fresh = np.flatnonzero(~known)
-        if len(fresh):
-            spans = zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist())
-            ids, sizes = self._fresh([whole[a:b] for a, b in spans])
-            base = len(self.begin)
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.pool = np.concatenate([self.pool, ids])
-            merged = np.concatenate([self.hashes, distinct[fresh]])
-            order = np.argsort(merged, kind="stable")
-            self.hashes = merged[order]
-            self.place = np.concatenate([self.place, base + np.arange(len(fresh))])[order]
-            at = np.searchsorted(self.hashes, distinct)
-        return self.place[at][back]
+        return out, sizes, np.zeros(len(sizes), bool)
 
 
 # ----------------------------------------------------------------- Spark
