@@ -167,15 +167,16 @@ def byte_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
 
 def string_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, last row, texts) of slices of a string column; null is empty."""
-    texts = column.to_pylist()
-    lo, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text or "") + 1
-        if size >= limit:
-            yield lo, i + 1, [t or "" for t in texts[lo : i + 1]]
-            lo, size = i + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts), [t or "" for t in texts[lo:]]
+    lo, size, held = 0, 0, []
+    for at in range(0, len(column), 256):
+        for text in column.slice(at, 256).to_pylist():
+            held.append(text or "")
+            size += len(held[-1]) + 1
+            if size >= limit:
+                yield lo, lo + len(held), held
+                lo, size, held = lo + len(held), 0, []
+    if held:
+        yield lo, lo + len(held), held
 
 
 def lower_table() -> np.ndarray:

@@ -131,7 +131,7 @@ def build_tokenizer(model: dict):
 class Codec:
     """Encodes and decodes batches of texts with one model file."""
 
-    CACHE = 300_000
+    CACHE = 800_000
 
     def __init__(self, path: str, verify: bool = False):
         with open(path, "rb") as source:

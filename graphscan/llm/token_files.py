@@ -69,13 +69,23 @@ def _bit_length(values: np.ndarray) -> np.ndarray:
     return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
 
 
+#: Ids that are packed at once, which bounds the temporary arrays.
+GROUP = BLOCK << 11
+
+
 def encode_blocks(ids: np.ndarray) -> bytes:
     """The blocks of one file with their table of starts."""
     ids = np.ascontiguousarray(ids, np.uint32)
+    parts = [_pack_group(ids[i : i + GROUP]) for i in range(0, len(ids), GROUP)]
+    sizes = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
+    columns = [(np.cumsum(sizes) - sizes).astype("<u8").tobytes()] + [b"".join(p[k] for p in parts) for k in (1, 2, 3, 4)]
+    return b"".join([struct.pack("<QQ", len(ids), len(sizes)), *columns])
+
+
+def _pack_group(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes, bytes]:
+    """Sizes, minima, widths, exception counts and bodies of some blocks."""
     n = len(ids)
     n_blocks = -(-n // BLOCK)
-    if not n_blocks:
-        return struct.pack("<QQ", 0, 0)
     grid = np.concatenate([ids, np.full(n_blocks * BLOCK - n, ids[-1], np.uint32)]).reshape(n_blocks, BLOCK)
     low = grid.min(axis=1)
     rest = grid - low[:, None]
@@ -97,7 +107,7 @@ def encode_blocks(ids: np.ndarray) -> bytes:
     patch[:, 0] = position
     patch[:, 1:] = outlier[where, position].astype("<u4")[:, None].view(np.uint8).reshape(-1, 4)
     body[ragged(starts + 16 * width.astype(np.int64), 5 * n_out.astype(np.int64))] = patch.ravel()
-    return b"".join([struct.pack("<QQ", n, n_blocks), starts.astype("<u8").tobytes(), low.astype("<u4").tobytes(), width.tobytes(), n_out.tobytes(), body.tobytes()])
+    return sizes, low.astype("<u4").tobytes(), width.tobytes(), n_out.tobytes(), body.tobytes()
 
 
 class BlockReader:
@@ -174,7 +184,7 @@ class PieceEncoder:
     """Ids of texts by one tokenizers-library file, piece by piece."""
 
     #: Distinct pieces kept per worker before the cache starts anew.
-    CACHE = 400_000
+    CACHE = 1_000_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
