@@ -232,3 +232,45 @@ class PieceCache:
         """Ids of entries in a row, and their number per entry."""
         counts = self.size[entries]
         return self.pool[ragged(self.begin[entries], counts)], counts
+
+
+WORD_BYTES = np.zeros(256, bool)
+WORD_BYTES[0x30:0x3A] = WORD_BYTES[0x41:0x5B] = WORD_BYTES[0x61:0x7B] = True
+WORD_BYTES[0x80:] = True
+
+
+def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
+    """(doc_id, text, target) of at most ``bound`` labelled documents, the first by a hash of their id.
+
+    Only ids are ranked; at most ``bound`` of them are sent to the scan of the
+    documents, which is what bounds that broadcast.  Of labels that disagree,
+    the larger counts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias(target))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+def batch_with(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch's columns and some more."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *extra.values()], [*batch.schema.names, *extra])
+
+
+def annotate(documents: DataFrame, text: str, work: Callable[[pa.Array], dict[str, pa.Array]], schema: str, keep: Callable | None = None) -> DataFrame:
+    """All columns of ``documents`` and those that ``work`` makes of the text column.
+
+    With ``keep``, only rows for which it is true (given the new columns) stay,
+    without the new columns.  Columns are taken by position, so clashing names do no harm.
+    """
+    at = documents.columns.index(text)
+    width = len(documents.columns)
+    plain = documents.toDF(*(f"c{i}" for i in range(width)))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = work(batch.column(at))
+            yield batch.filter(keep(made)) if keep else batch_with(batch, made)
+
+    kinds = [f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(documents.schema.fields)]
+    names = documents.columns if keep else documents.columns + [x.split()[0] for x in schema.split(", ")]
+    return plain.mapInArrow(run, ", ".join(kinds if keep else [*kinds, schema])).toDF(*names)

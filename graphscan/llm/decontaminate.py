@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
+from ._common import LOWER, annotate, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<int>, items array<string>"
 
@@ -268,3 +268,25 @@ def _merge_shards(docs: DataFrame, found: DataFrame) -> DataFrame:
         return _report(batch.column(0), n_words, ranges, [set(x or []) for x in names])
 
     return map_arrow(joined, work, SCHEMA)
+
+
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 7, shard_bytes: int = 32 << 20) -> DataFrame:
+    """The rows of ``documents`` without a word inside any benchmark window; all columns as they were."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.length("item_id")), F.lit(0))).first()[0]
+    shards = 2 * -(-size // shard_bytes) if size > shard_bytes else 1
+    for shard in range(shards):
+        documents = _drop_shard(documents, [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()], window, k)
+    return documents
+
+
+def _drop_shard(documents: DataFrame, items, window: int, k: int) -> DataFrame:
+    shared = documents.sparkSession.sparkContext.broadcast(items)
+    built: list[BenchmarkIndex] = []
+
+    def work(texts: pa.Array) -> dict[str, pa.Array]:
+        if not built:
+            built.append(BenchmarkIndex(shared.value, window, k))
+        return {"keep": pa.array([not ranges for _, _, data, offsets in byte_slices(texts) for _, _, ranges, _ in built[0].scan(data, offsets)], pa.bool_())}
+
+    return annotate(documents, "text", work, "keep boolean", keep=lambda made: made["keep"])

@@ -25,8 +25,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._common import map_arrow, string_slices
+from ._common import annotate, map_arrow, string_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # an inner start ends where the outer does, so a minimum length drops the same runs
@@ -174,3 +175,27 @@ def find_secrets(documents: DataFrame, least_cost: float = 12.0, text_column: st
 
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_guess long, base_sha256 string, spans string" + ", redacted string" * with_redacted
     return map_arrow(documents.selectExpr("cast(doc_id as long) as doc_id", f"`{text_column}` as text"), work, schema)
+
+
+def redact_secrets(documents: DataFrame, least_cost: float = 12.0) -> DataFrame:
+    """All rows and columns of ``documents``, found spans replaced in the text; ``n_chars``, if there, follows."""
+
+    def work(texts: pa.Array) -> dict[str, pa.Array]:
+        out: list[str | None] = []
+        for _, _, part in string_slices(texts):
+            found = [find(text, least_cost) for text in part]
+            out += [redact(text, spans) if spans else None for text, spans in zip(part, found)]
+        return {"redacted_text": pa.array(out, pa.string())}
+
+    made = annotate(documents, "text", work, "redacted_text string")
+    names = [f"c{i}" for i in range(len(made.columns))]
+    plain, changed = made.toDF(*names), F.col(names[-1])
+    columns = []
+    for name, c in zip(documents.columns, names):
+        if name == "text":
+            columns.append(F.coalesce(changed, F.col(c)))
+        elif name == "n_chars":
+            columns.append(F.when(changed.isNotNull(), F.char_length(changed).cast("long")).otherwise(F.col(c)))
+        else:
+            columns.append(F.col(c))
+    return plain.select(*(x.alias(f"x{i}") for i, x in enumerate(columns))).toDF(*documents.columns)
