@@ -19,16 +19,16 @@ FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 op6_top_k_sql = """
-WITH c AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), z -> coalesce(z[1] * z[2], 0)))::BIGINT AS score FROM c AS q, c WHERE q.vec_id % 50 = 0 AND q.r <> c.r),
+WITH c AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT q.r AS q, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT AS score FROM c AS q, c WHERE q.vec_id % 50 = 0 AND q.r <> c.r),
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM p)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM k WHERE rank <= 5
 """
 
 _SHINGLES = r"""
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(""" + _LOWER.format("text") + r""", '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(generate_series(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS g FROM d)"""
+s AS (SELECT r, doc_id, list_distinct(CASE WHEN len(w) >= 2 THEN list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1]) WHEN len(w) = 1 THEN [w[1]] ELSE [] END) AS g FROM d)"""
 
 op7_jaccard_join_sql = f"""
 WITH RECURSIVE {_SHINGLES},
