@@ -7,14 +7,16 @@ sequence, if it has fewer words).  Two documents link when
 Method.
 1. Each text becomes a sorted array of 64-bit shingle keys; texts with equal
    sets are one class with a count.
-2. Blocking, exact.  Keys are ordered rarest first (by their frequency in a
-   bounded sample; the order affects speed only).  Of two sets that link, each
-   has a shared key among its first |A| - ceil(percent/100 |A|) + 1, so sets
-   that share none of these are never compared.  What shares one, in sizes
-   that allow a link, is joined into candidate components by edges along each
-   key (stars, not pairs).
+2. Blocking.  Keys are ordered rarest first, as estimated from words and
+   shingles of a bounded sample (the order affects speed only).  Sets that
+   link have many pairs of shared keys that follow each other in both sorted
+   arrays (``signatures``); sets that share fewer than three kept signatures
+   (one for small sets) are never compared.  Small groups under a signature
+   give counted pairs; a group beyond ``GROUP`` gives edges to a hub, for
+   members that are in at least three such groups.  Both are joined into
+   candidate components.
 3. In a component, keys are hashed into 64 groups; the group counts of a set
-   are its point.  Points are packed by size into leaves of at most 128, each
+   are its point.  Points are packed by size into leaves of at most 1024, each
    with its bounding box.  The overlap of two points is at most the sum over
    coordinates of the smaller count, that of two leaves the same sum of box
    maxima; leaf pairs and then point pairs under the needed overlap are left
@@ -26,9 +28,9 @@ A tree over all documents with no blocking gives the same links but cannot
 prune: in any box over unrelated texts every group is filled, so each text
 would meet every leaf of its size.  Hence step 2.
 
-Scale.  Two passes over the texts.  Keys leave a task as packed bytes after a
-task has merged what shares a key and a size class, so a hot group sends one
-posting per task.  Components are range-partitioned into leaves, so one of any
+Scale.  Two passes over the texts.  Signatures leave a task as packed bytes,
+at most ``GROUP`` + 1 of one signature, so a hot group sends a bounded number
+per task.  Components are range-partitioned into leaves, so one of any
 size is spread; leaf pairs are a join.  No pair of a group is emitted before
 its leaves were bounded, and links of a leaf leave it as sums and spanning
 edges.
@@ -42,6 +44,8 @@ null id; other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -51,27 +55,56 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import LOWER, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
+from ._common import LOWER, arrow_batches, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
 
 GROUPS = 64
-LEAF_ROWS = 128
-LEAF_KEYS = 400_000
-#: Keys that a task merges at once before it sends them.
-FLUSH = 4_000_000
-NODE_MASK = (1 << 48) - 1
+LEAF_ROWS = 1024
+LEAF_KEYS = 200_000
+#: Linked pairs of large sets are expected to share so many kept signatures at least ...
+EXPECTED = 36.0
+#: ... taken from all but this percentage of their keys, the most frequent ones.
+TAIL = 8
+#: Shared signatures that make a pair a candidate (1 if either set is small).
+SHARED = 3
+#: Sets under one signature up to which it gives pairs; a larger group is joined by a hub.
+GROUP = 128
+#: Signatures that a task sends at once.
+FLUSH = 2_000_000
+HUB = 1 << 50
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
 _FACTORS = mix64(np.arange(900, 964, dtype=np.uint64)) | np.uint64(1)
 
 
+class Ranks:
+    """Sorted hashes with a rank; 0 for all others."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray, scale: float):
+        order = np.argsort(hashes)
+        self.hashes, self.ranks = hashes[order], np.clip(scale * np.log2(np.maximum(counts[order], 2) / 2), 0, 255).astype(np.uint8)
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(self.hashes & np.uint64(0xFFFFF)).astype(np.int64)] = True
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), np.uint8)
+        maybe = np.flatnonzero(self.bits[(hashes & np.uint64(0xFFFFF)).astype(np.int64)])
+        if len(maybe):
+            some = hashes[maybe]
+            at = np.minimum(np.searchsorted(self.hashes, some), len(self.hashes) - 1)
+            out[maybe] = np.where(self.hashes[at] == some, self.ranks[at], 0)
+        return out
+
+
 class Shingles:
-    """Turns texts into sorted key arrays; ``frequent`` are sampled keys (low 56 bits, sorted) with a rank 1..255."""
+    """Turns texts into sorted key arrays, the supposedly rarest keys first.
 
-    def __init__(self, n: int = 2, frequent: np.ndarray | None = None, rank: np.ndarray | None = None):
-        self.n = n
-        self.frequent = frequent if frequent is not None else np.empty(0, np.uint64)
-        self.rank = rank if rank is not None else np.empty(0, np.uint64)
+    A key is 56 bits of hash under a rank of 8 bits: the larger of the ranks
+    of the shingle itself and of its words together.
+    """
+
+    def __init__(self, n: int = 2, words: Ranks | None = None, grams: Ranks | None = None):
+        self.n, self.words, self.grams = n, words, grams
 
     def keys(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Key of every shingle occurrence (document order) and where each document's begin."""
@@ -81,13 +114,18 @@ class Shingles:
         first = np.searchsorted(starts, offsets)
         counts = np.diff(first)
         m = len(words) - self.n + 1
+        grams, rank = np.empty(0, np.uint64), np.empty(0, np.uint8)
         if m > 0:
             total = words[:m] * _FACTORS[0]
             for j in range(1, self.n):
                 total += words[j : j + m] * _FACTORS[j]
-            grams = mix64(total)
-        else:
-            grams = np.empty(0, np.uint64)
+            grams = mix64(total) >> np.uint64(8)
+            rank = np.zeros(m, np.uint8)
+            if self.words is not None:
+                single = self.words.of(words).astype(np.int16)
+                rank = np.minimum(sum(single[j : j + m] for j in range(self.n)), 255).astype(np.uint8)
+                rank = np.maximum(rank, self.grams.of(grams))
+            grams |= rank.astype(np.uint64) << np.uint64(56)
         sizes = np.where(counts >= self.n, counts - self.n + 1, (counts > 0).astype(np.int64))
         bounds = np.concatenate(([0], np.cumsum(sizes)))
         full = np.flatnonzero(counts >= self.n)
@@ -96,11 +134,7 @@ class Shingles:
         place = np.concatenate([np.arange(bounds[i], bounds[i + 1]) for i in full]) if len(full) and len(full) < len(counts) else np.arange(len(at))
         out[place] = grams[place + at]
         for i in np.flatnonzero((counts > 0) & (counts < self.n)):
-            out[bounds[i]] = mix64(words[first[i] : first[i + 1]] * _FACTORS[self.n : self.n + counts[i]]).sum(dtype=np.uint64, keepdims=True)[0] ^ np.uint64(counts[i])
-        out >>= np.uint64(8)
-        if len(self.frequent) and len(out):
-            where = np.minimum(np.searchsorted(self.frequent, out), len(self.frequent) - 1)
-            out |= np.where(self.frequent[where] == out, self.rank[where], np.uint64(0)) << np.uint64(56)
+            out[bounds[i]] = mix64(words[first[i] : first[i + 1]] * _FACTORS[self.n : self.n + counts[i]]).sum(dtype=np.uint64, keepdims=True)[0] >> np.uint64(8)
         return out, bounds
 
     def sets(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -125,6 +159,58 @@ def node_of(name: str) -> int:
     return int(name[:12], 16)
 
 
+def tight_sizes(percent: int) -> dict[int, list[int]]:
+    """Set size -> sizes of intersections that need no two shared keys in a row (see ``signatures``)."""
+    out: dict[int, set[int]] = {}
+    for union in range(2, -(-200 // (2 * percent - 100)) if percent > 50 else 2):
+        for differ in range(1, union * (100 - percent) // 100 + 1):
+            if union - 2 * differ < 2:
+                for size in range(union - differ, union + 1):
+                    out.setdefault(size, set()).add(union - differ)
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def sure_shared(n: int, percent: int) -> float:
+    """Signatures that a set of n keys shares at least with any that it links with, the tail left out."""
+    return n * (2 * percent - 100 - TAIL) / 100 - 1
+
+
+def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]]) -> np.ndarray:
+    """Hashes of neighbouring keys, of which linked sets share some.
+
+    Let u be the size of the union, in the order of keys, and d the number of
+    its keys in one set only.  Linked sets have d <= (100 - percent) u / 100,
+    so above 50 percent the u - d shared keys outnumber the d others, and at
+    least u - 2 d - 1 times two shared keys follow each other with none
+    between, in the union and so in either set.  Every two neighbouring keys
+    give a signature.
+
+    Large sets leave out their last ``TAIL`` percent (each key left out costs
+    one such place at most) and keep of the rest, by hash, a share that leaves
+    ``EXPECTED`` of the least possible number.  Two linked sets share fewer
+    than 5 of these with a probability under 1e-10 at the very threshold and in
+    the worst order of keys.  Smaller sets keep all; those too small to be sure
+    of ``SHARED`` need one, which is among the first (2 - percent/50) n + 2 keys
+    of either, and the smallest give one for each subset that can be the whole
+    intersection.  Up to 50 percent every key of the usual prefix is one.
+    """
+    n = len(keys)
+    if percent <= 50:
+        return mix64(keys[: n + percent * -n // 100 + 1])
+    sure = sure_shared(n, percent)
+    head = keys[: n - TAIL * n // 100] if sure >= SHARED else keys[: (200 - 2 * percent) * n // 100 + 2]
+    mixed = mix64(head)
+    out = mix64(mixed[:-1] * _FACTORS[1] + mixed[1:])
+    if sure > EXPECTED:
+        return out[out < np.uint64(EXPECTED / sure * 2.0**64)]
+    if n in tight:
+        mixed = mix64(keys)
+        sums = [sum(part) & (1 << 64) - 1 for size in tight[n] if math.comb(n, size) <= 1000 for part in itertools.combinations(mixed.tolist(), size)]
+        singles = mix64(keys) if any(math.comb(n, size) > 1000 for size in tight[n]) else keys[:0]
+        out = np.concatenate([out, mix64(np.array(sums, np.uint64)), singles])
+    return out
+
+
 def needed(total, percent: int):
     """Least overlap of two sets with ``total`` elements in sum: o >= percent (total - o) / 100."""
     return -(-percent * total // (100 + percent))
@@ -133,7 +219,7 @@ def needed(total, percent: int):
 def size_class(n: np.ndarray, percent: int) -> np.ndarray:
     """Sets that link lie in the same or in neighbouring classes."""
     step = -np.log(percent / 100 * (1 - 1e-9))
-    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / step), 254).astype(np.uint8)
+    return np.minimum(np.floor(np.log(np.maximum(n, 1)) / step), 127).astype(np.uint8)
 
 
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,67 +242,102 @@ def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def _stars(key: np.ndarray, size: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges along equal keys, and which postings lead a (key, size class)."""
-    order = np.lexsort((node, size, key))
-    key, size, node = key[order], size[order].astype(np.int16), node[order]
-    same_key = np.zeros(len(key), bool)
-    same_key[1:] = key[1:] == key[:-1]
-    lead = np.ones(len(key), bool)
-    lead[1:] = ~(same_key[1:] & (size[1:] == size[:-1]))
-    leader = np.maximum.accumulate(np.where(lead, np.arange(len(key)), 0))
-    inner = np.flatnonzero(~lead & (node != node[leader]))
-    a, b = [node[inner]], [node[leader[inner]]]
-    step = np.flatnonzero(lead & same_key)
-    before = leader[step - 1]
-    step, before = step[size[step] - size[before] <= 1], before[size[step] - size[before] <= 1]
-    a.append(node[step])
-    b.append(node[before])
-    lead_at = np.zeros(len(key), bool)
-    lead_at[order] = lead
-    return np.concatenate(a), np.concatenate(b), lead_at
-
-
-def _edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    differ = a != b
-    if not differ.any():
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    nodes, low = roots(a[differ], b[differ])
-    keep = nodes != low
-    return nodes[keep], low[keep]
-
-
-def frequent_keys(documents: DataFrame, n: int, sample: int = 3_000, least: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Keys that occur in at least ``least`` of at most ``sample`` texts, with a rank by frequency."""
+def _grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order by key and node without repeats, and the start and size of each key's group."""
+    order = np.lexsort((node, key))
+    k, x = key[order], node[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (x[1:] != x[:-1])
+    order, k = order[fresh], k[fresh]
+    starts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1]))) if len(k) else np.empty(0, np.int64)
+    return order, starts, np.diff(np.append(starts, len(k)))
+
+
+def _pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(u, v, shared signatures) of groups of 2 to GROUP nodes; pairs with a small set count as SHARED."""
+    names, ids = np.unique(node, return_inverse=True)
+    small, class_ = size >= 128, (size & 127).astype(np.int16)
+    pairs, weights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for m in np.unique(counts[(counts > 1) & (counts <= GROUP)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        at = starts[counts == m]
+        for lo in range(0, len(at), max(1, 2_000_000 // len(i))):
+            part = at[lo : lo + max(1, 2_000_000 // len(i)), None]
+            a, b = (part + i).ravel(), (part + j).ravel()
+            fits = np.abs(class_[a] - class_[b]) <= 1
+            a, b = a[fits], b[fits]
+            found, back = np.unique(ids[a] * len(names) + ids[b], return_inverse=True)
+            pairs.append(found)
+            weights.append(np.bincount(back, np.where(small[a] | small[b], SHARED, 1), len(found)).astype(np.int64))
+    found, back = np.unique(np.concatenate(pairs), return_inverse=True)
+    weight = np.bincount(back, np.concatenate(weights), len(found)).astype(np.int64)
+    return names[found // max(len(names), 1)], names[found % max(len(names), 1)], weight
+
+
+def frequent(documents: DataFrame, n: int, sample: int = 4_000, least: int = 3) -> tuple[Ranks, Ranks]:
+    """Ranks of words and of shingles that occur at least ``least`` times in at most ``sample`` texts."""
     chosen = documents.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
     maker = Shingles(n)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [s for _, _, data, offsets in byte_slices(batch.column(0)) for s in maker.sets(data, offsets)]
-        distinct, count = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(count, pa.int64())], ["key", "n"])
+        grams, words = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
+        for _, _, data, offsets in byte_slices(batch.column(0)):
+            grams += list(maker.sets(data, offsets))
+            low = LOWER[data]
+            words.append(span_hashes(low, *true_runs(_WORD[low])))
+        found = [np.unique(np.concatenate(x), return_counts=True) for x in (words, grams)]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat([0, 1], [len(k) for k, _ in found]), pa.int32()), pa.array(np.concatenate([k for k, _ in found]).view(np.int64)), pa.array(np.concatenate([c for _, c in found]), pa.int64())], ["kind", "key", "n"]
+        )
+
+    rows = map_arrow(texts, work, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # bounded by the sample
+    kind, key, count = (rows.column(i).to_numpy() for i in range(3))
+    return tuple(Ranks(key[kind == k].view(np.uint64), count[kind == k].astype(np.float64), scale) for k, scale in ((0, 7.0), (1, 14.0)))
+
+
+PASS_SCHEMA = "bucket int, kind int, u long, v long, name string, n long, packed binary"
+
+
+def _rows(kind: int, u, v=None, name=None, n=None) -> pa.RecordBatch:
+    k = len(u)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(np.full(k, kind), pa.int32()), pa.array(u, pa.int64()), pa.nulls(k, pa.int64()) if v is None else pa.array(v, pa.int64()), pa.nulls(k, pa.string()) if name is None else pa.array(name, pa.string()), pa.nulls(k, pa.int64()) if n is None else pa.array(n, pa.int64())],
+        names=["kind", "u", "v", "name", "n"],
+    )
 
-    rows = map_arrow(texts, work, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # bounded by the sample
-    key = rows.column(0).to_numpy().view(np.uint64)
-    count = rows.column(1).to_numpy().astype(np.float64)
-    order = np.argsort(key)
-    rank = np.clip(1 + 16 * np.log2(np.maximum(count, 1)), 1, 255).astype(np.uint64)
-    return key[order], rank[order]
 
+def _to_bucket(rows: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
+    k = rows.num_rows
+    return pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket), pa.int32()), *rows.columns, pa.nulls(k, pa.binary())], names=["bucket", *rows.schema.names, "packed"])
 
-PASS_SCHEMA = "bucket int, kind int, doc_id long, text_key long, name string, n long, a binary, b binary"
+
+def _packed_rows(packed: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """A row (kind 1) for the records of each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    packed = packed[order]
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    used = [(i, packed[x:y].tobytes()) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
+    k = len(used)
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in used], pa.int32()), pa.array(np.ones(k), pa.int32()), *(pa.nulls(k, t) for t in (pa.int64(), pa.int64(), pa.string(), pa.int64())), pa.array([x for _, x in used], pa.binary())],
+        names=["bucket", "kind", "u", "v", "name", "n", "packed"],
+    )
+
+
+def _hubs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    return _rows(3, node, ((key >> np.uint64(24)).astype(np.int64) & ((1 << 40) - 1)) | HUB, None, np.where(size >= 128, SHARED, 1))
 
 
 def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int) -> DataFrame:
-    """Rows of documents (kind 0), packed postings (kind 1) and packed edges (kind 2)."""
+    """Rows of documents (kind 0: doc_id, text key, class, size), packed postings (kind 1) and members of large groups (kind 3)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker = Shingles(n, *shared.value)
+        maker, tight = Shingles(n, *shared.value), tight_sizes(percent)
         held: list[tuple[np.ndarray, int, int]] = []
         seen: set[str] = set()
         size = 0
-        part = TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId() % buckets
         for batch in batches:
             names, counts = [], []
             for _, _, data, offsets in byte_slices(batch.column(1)):
@@ -226,82 +347,120 @@ def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int
                     counts.append(len(keys))
                     if len(keys) and name not in seen:
                         seen.add(name)
-                        prefix = keys[: len(keys) + percent * -len(keys) // 100 + 1]
-                        held.append((prefix, len(keys), node_of(name)))
-                        size += len(prefix)
+                        signs = signatures(keys, percent, tight)
+                        held.append((signs, len(keys), node_of(name)))
+                        size += len(signs)
                         if size >= FLUSH:
                             yield from flush(held, part)
                             held, seen, size = [], set(), 0
-            rows = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(rows, part % buckets), pa.int32()), pa.array(np.zeros(rows), pa.int32()), batch.column(0), batch.column(2), pa.array(names, pa.string()),
-                    pa.array(counts, pa.int64()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()),
-                ],
-                names=["bucket", "kind", "doc_id", "text_key", "name", "n", "a", "b"],
-            )
-        yield from flush(held, part)
+            yield _to_bucket(_rows(0, batch.column(0), batch.column(2), names, counts), part)
+        if held:
+            yield from flush(held, part)
 
     def flush(held, part) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
         lengths = np.array([len(p) for p, _, _ in held])
-        key = np.concatenate([p for p, _, _ in held])
-        sizes = np.repeat(size_class(np.array([n for _, n, _ in held]), percent), lengths)
-        node = np.repeat(np.array([x for _, _, x in held], np.int64), lengths)
-        a, b, lead = _stars(key, sizes, node)
-        a, b = _edges(a, b)
-        key, sizes, node = key[lead], sizes[lead], node[lead]
-        mixed = mix64(key)
-        bucket = (mixed % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
+        whole = np.array([x for _, x, _ in held])
+        flagged = size_class(whole, percent) | np.where([sure_shared(x, percent) < SHARED for x in whole], 128, 0).astype(np.uint8)
+        key, sizes, node = np.concatenate([p for p, _, _ in held]), np.repeat(flagged, lengths), np.repeat(np.array([x for _, _, x in held], np.int64), lengths)
+        order, starts, counts = _grouped(key, node)
+        key, sizes, node = key[order], sizes[order], node[order]
+        # the bucket sees from this that a group is large; who is not sent joins its hub from here
+        beyond = np.arange(len(key)) - np.repeat(starts, counts) > GROUP
+        if beyond.any():
+            yield _to_bucket(_hubs(key[beyond], node[beyond], sizes[beyond]), part)
+            key, sizes, node = key[~beyond], sizes[~beyond], node[~beyond]
+        bucket = (key % np.uint64(buckets)).astype(np.int64)
         packed = np.empty((len(key), 12), np.uint8)
-        packed[:, :5] = (mixed >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+        packed[:, :5] = (key >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
         packed[:, 5] = sizes
         packed[:, 6:] = node.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
-        packed = packed[order]
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = [(i, 1, packed[x:y].tobytes(), None) for i, (x, y) in enumerate(zip(edges[:-1], edges[1:])) if y > x]
-        if len(a):
-            rows.append((part % buckets, 2, a.astype("<i8").tobytes(), b.astype("<i8").tobytes()))
-        k = len(rows)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.binary())],
-            names=["bucket", "kind", "doc_id", "text_key", "name", "n", "a", "b"],
-        )
+        yield from _packed_rows(packed, bucket, buckets)
 
     return documents.selectExpr("cast(doc_id as long) as doc_id", "text", "xxhash64(text) as text_key").mapInArrow(run, PASS_SCHEMA)
 
 
 def _join_postings(first: DataFrame, partitions: int) -> DataFrame:
-    """Documents (kind 0: doc_id, text key, class, size) as they are, and edges (kind 2: u, v) of each bucket."""
+    """Rows of documents and large groups as they are, and candidate pairs (kind 2: u, v) that share enough signatures.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs, a, b = [], [], []
+    Pairs of a bucket go on as packed (u, v, shared) to the bucket of u, where they are added up.
+    """
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Passes all but packed rows; these stay in ``blobs``."""
         for batch in batches:
-            kind = batch.column(1).to_numpy()
-            docs = batch.filter(pa.array(kind == 0))
-            if docs.num_rows:
-                yield pa.RecordBatch.from_arrays([docs.column(i) for i in (1, 2, 3, 4, 5)], ["kind", "u", "v", "name", "n"])
-            rest = batch.filter(pa.array(kind != 0))
-            for x, y, k in zip(rest.column(6).to_pylist(), rest.column(7).to_pylist(), rest.column(1).to_pylist()):
-                if k == 1:
-                    blobs.append(x)
-                if k == 2:
-                    a.append(np.frombuffer(x, "<i8"))
-                    b.append(np.frombuffer(y, "<i8"))
-        packed = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 12)
-        del blobs
-        whole = np.zeros((len(packed), 8), np.uint8)
-        whole[:, :5] = packed[:, :5]
-        key = whole.view("<u8").ravel().copy()
-        whole[:, :6] = packed[:, 6:]
-        node = whole.view("<i8").ravel().copy()
-        x, y, _ = _stars(key, packed[:, 5].copy(), node)
-        u, v = _edges(np.concatenate([x, *a]), np.concatenate([y, *b]))
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), 2), pa.int32()), pa.array(u), pa.array(v), pa.nulls(len(u), pa.string()), pa.nulls(len(u), pa.int64())], ["kind", "u", "v", "name", "n"])
-
-    return first.repartition(partitions, "bucket").mapInArrow(run, "kind int, u long, v long, name string, n long")
+            packed = batch.column(1).to_numpy() == 1
+            if not packed.all():
+                yield batch.filter(pa.array(~packed))
+            if packed.any():
+                blobs.extend(batch.filter(pa.array(packed)).column(6).to_pylist())
+
+    blobs: list[bytes] = []
+
+    def unpacked(width: int) -> np.ndarray:
+        whole = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
+        blobs.clear()
+        return whole
+
+    def number(part: np.ndarray) -> np.ndarray:
+        wide = np.zeros((len(part), 8), np.uint8)
+        wide[:, : part.shape[1]] = part
+        return wide.view("<i8").ravel().copy()
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs.clear()
+        yield from split(batches)
+        packed = unpacked(12)
+        key, size, node = number(packed[:, :5]).view(np.uint64), packed[:, 5].copy(), number(packed[:, 6:])
+        order, starts, counts = _grouped(key, node)
+        key, node, size = key[order], node[order], size[order]
+        large = np.repeat(counts > GROUP, counts)
+        if large.any():
+            yield _to_bucket(_hubs(key[large] << np.uint64(24), node[large], size[large]), 0)
+        u, v, shared = _pairs(node, size, starts, counts)
+        out = np.empty((len(u), 13), np.uint8)
+        out[:, :6] = u.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+        out[:, 6:12] = v.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+        out[:, 12] = np.minimum(shared, SHARED)
+        bucket = (mix64(u.astype(np.uint64)) % np.uint64(4 * partitions)).astype(np.int64)
+        yield from _packed_rows(out, bucket, 4 * partitions)
+
+    def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs.clear()
+        for plain in split(batches):
+            yield pa.RecordBatch.from_arrays(plain.columns[1:6], ["kind", "u", "v", "name", "n"])
+        packed = unpacked(13)
+        u, v, shared = number(packed[:, :6]), number(packed[:, 6:12]), packed[:, 12]
+        order = np.lexsort((v, u))
+        u, v, shared = u[order], v[order], shared[order]
+        starts = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])))) if len(u) else np.empty(0, np.int64)
+        if len(starts):
+            enough = starts[np.add.reduceat(shared.astype(np.int64), starts) >= SHARED]
+            yield _rows(2, u[enough], v[enough])
+
+    in_buckets = first.repartition(partitions, "bucket").mapInArrow(pairs, PASS_SCHEMA)
+    return in_buckets.repartition(partitions, "bucket").mapInArrow(add_up, "kind int, u long, v long, name string, n long")
+
+
+def _candidates(joined: DataFrame) -> DataFrame:
+    """Edges (u, v) between classes that share enough signatures, or with the hubs of large groups."""
+    member = joined.where("kind = 3").select("u", "v", "n").distinct()
+    # a pair without SHARED signatures in small groups has at least as many in large ones
+    often = member.groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("u")
+    return joined.where("kind = 2").select("u", "v").unionByName(member.select("u", "v").join(often, "u", "left_semi"))
+
+
+#: Bits of the filter that spares most texts the shuffle of the second pass; its 8 MB do not grow.
+FILTER_BITS = 1 << 26
+
+
+def _likely(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``documents`` that may have one of the ids (doc_id), and all that have one."""
+    place = lambda: F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = ids.select(place().alias("at")).selectExpr("bitmap_bucket_number(at) as part", "bitmap_bit_position(at) as bit").groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("bits"))
+    placed = documents.withColumn("at", place()).selectExpr("*", "bitmap_bucket_number(at) as part", "bitmap_bit_position(at) as bit")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bit div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    near = placed.join(F.broadcast(bits), "part").withColumn("byte", byte).where(F.expr("shiftright(byte, cast(bit % 8 as int)) & 1") == 1)
+    return near.select(*documents.columns)
 
 
 def connected(edges: DataFrame, kind: str = "long") -> DataFrame:
@@ -336,7 +495,7 @@ class Leaf:
     def __init__(self, names: list[str], weights: list[int], sets: list[np.ndarray]):
         self.names, self.weights, self.sets = names, np.array(weights, np.int64), sets
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        self.points = self._points()
+        self.points = self._points().astype(np.int32)
         self.box = self.points.max(axis=0)
 
     def _points(self) -> np.ndarray:
@@ -366,7 +525,7 @@ def leaf_links(x: Leaf, y: Leaf | None, percent: int) -> tuple[np.ndarray, np.nd
         maybe &= np.triu(np.ones(maybe.shape, bool), 1)
     i, j = np.nonzero(maybe)
     if len(i):
-        bound = np.concatenate([np.minimum(x.points[i[a : a + 4096]], other.points[j[a : a + 4096]]).sum(axis=1) for a in range(0, len(i), 4096)])
+        bound = np.concatenate([np.minimum(x.points[i[a : a + 16384]], other.points[j[a : a + 16384]]).sum(axis=1) for a in range(0, len(i), 16384)])
         alive = bound >= need[i, j]
         i, j = i[alive], j[alive]
     if not len(i):
@@ -375,26 +534,43 @@ def leaf_links(x: Leaf, y: Leaf | None, percent: int) -> tuple[np.ndarray, np.nd
         overlap = np.array([len(np.intersect1d(x.sets[a], other.sets[b], assume_unique=True)) for a, b in zip(i, j)])
     else:
         left, right = np.unique(i), np.unique(j)
-        a, b = _incidence([x.sets[p] for p in left], [other.sets[p] for p in right])
-        overlap = np.rint(a @ b.T).astype(np.int64)[np.searchsorted(left, i), np.searchsorted(right, j)]
+        total = _overlaps([x.sets[p] for p in left], [other.sets[p] for p in right], y is None)
+        overlap = total[np.searchsorted(left, i), np.searchsorted(right, j)]
     good = overlap >= need[i, j]
     return i[good], j[good]
 
 
-def _incidence(left: list[np.ndarray], right: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """0/1 rows over the keys that both sides hold."""
-    common = np.intersect1d(np.concatenate(left), np.concatenate(right))
+#: Keys whose 0/1 columns are multiplied at once.
+COLUMNS = 2048
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np.ndarray:
+    """Shared keys of every set on the left with every one on the right, by products of 0/1 columns."""
+    if same:
+        flat, count = np.unique(np.concatenate(left + right), return_counts=True)
+        common = flat[count > 2]  # a set is on both sides; what only one holds is never shared with another
+    else:
+        common = np.intersect1d(np.concatenate(left), np.concatenate(right))
 
-    def rows(sets):
-        out = np.zeros((len(sets), len(common)), np.float32)
+    def places(sets):
         flat = np.concatenate(sets)
         row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         at = np.minimum(np.searchsorted(common, flat), max(len(common) - 1, 0))
-        hit = common[at] == flat if len(common) else np.zeros(len(flat), bool)
-        out[row[hit], at[hit]] = 1
-        return out
-
-    return rows(left), rows(right)
+        hit = np.flatnonzero(common[at] == flat) if len(common) else np.empty(0, np.int64)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        return row[order], at[order]
+
+    sides = [(places(s), len(s)) for s in (left, right)]
+    total = np.zeros((len(left), len(right)), np.float32)
+    for lo in range(0, len(common), COLUMNS):
+        parts = []
+        for (row, at), k in sides:
+            a, b = np.searchsorted(at, [lo, lo + COLUMNS])
+            part = np.zeros((k, min(COLUMNS, len(common) - lo)), np.float32)
+            part[row[a:b], at[a:b] - lo] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return np.rint(total).astype(np.int64)
 
 
 def _report(x: Leaf, y: Leaf | None, percent: int, out: dict[str, list]) -> None:
@@ -508,17 +684,23 @@ def _across(leaves: DataFrame, percent: int) -> DataFrame:
 
 def jaccard_groups(documents: DataFrame, n: int = 2, percent: int = 60) -> DataFrame:
     """doc_id, n_shingles, n_similar, component_id, the class ``name`` (digest of the set) and ``text_key`` (xxhash64 of the text), per row."""
+    with arrow_batches(documents.sparkSession, 16 << 20):
+        return _groups(documents, n, percent)
+
+
+def _groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(frequent_keys(documents, n))
+    shared = spark.sparkContext.broadcast(frequent(documents, n))
     # a posting takes 12 bytes; its number follows that of the documents
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // 20_000 + 1)
     joined = persist(_join_postings(_first_pass(documents, shared, n, percent, 4 * partitions), partitions), "jaccard-first")
     rows = joined.where("kind = 0").select(F.col("u").alias("doc_id"), F.col("v").alias("text_key"), "name", "n")
     classes = rows.groupBy("name").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("size"))
-    comps = persist(connected(joined.where("kind = 2").select("u", "v")), "jaccard-candidates")
+    comps = persist(connected(_candidates(joined)), "jaccard-candidates")
     node = F.conv(F.substring("name", 1, 12), 16, 10).cast("long")
     wanted = classes.where("size > 0").withColumn("node", node).join(comps, "node").select(F.col("root").alias("comp"), "name", "weight", "least", "size")
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")))
+    wanted = persist(wanted, "jaccard-wanted")
+    texts = _likely(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select(F.col("least").alias("doc_id"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("least")))
     leaves = persist(_leaves(texts, shared, n, percent), "jaccard-leaves")
     links = leaves.where("kind = 0").select("name", "links", "root").unionByName(_across(leaves.where("kind = 1").select("comp", "leaf", "low", "high", "box", "packed"), percent))
     links = persist(links, "jaccard-links")
