@@ -1,11 +1,229 @@
-"""Registered queries and their SQL counterparts."""
+"""Registered queries over the driver's tables, each with its SQL counterpart."""
 
-FLAGSHIP = "hop_forward"
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .engine import Engine
+from .functions import scalars
+from .lang.tree import EdgeType, Follow, Linear
+from .operators import linker
+from .operators.traverse import walk
+from .plans.registry import tabular_registry
+from .sources.graph import latest_per, overlay, stale_versions
+from .sources.tabular import tabular_graph
+from .streaming import queues
 
-def oracle_sql():
-    return {}
+FLAGSHIP = "path_two_grouped"
+
+
+def engine(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(tabular_graph(spark, sf_dir), tabular_registry())
+
+
+# name: (language, text, SQL); columns "A.id" and so on are named by their aliases
+_TEXTS: dict[str, tuple[str, str, str]] = {
+    "scan_type": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"nation"} AS A', "SELECT 'nation:' || n_nationkey AS a, n_name AS n FROM nation"),
+    "scan_types": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:["nation","region"]} AS A', "SELECT 'nation:' || n_nationkey AS a, n_name AS n FROM nation UNION ALL SELECT 'region:' || r_regionkey, r_name FROM region"),
+    "scan_name_exact": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"region",name:"ASIA"} AS A', "SELECT 'region:' || r_regionkey AS a, r_name AS n FROM region WHERE r_name = 'ASIA'"),
+    "scan_name_in": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"order",name:["O","P"]} AS A', "SELECT 'order:' || o_orderkey AS a, o_orderstatus AS n FROM orders WHERE o_orderstatus IN ('O', 'P')"),
+    "scan_name_wildcard": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"customer",name:"*1?0"} AS A', "SELECT 'customer:' || c_custkey AS a, c_name AS n FROM customer WHERE c_name LIKE '%1_0'"),
+    "scan_name_regex": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"customer",name:"/Customer#0*[1-3]5/"} AS A', "SELECT 'customer:' || c_custkey AS a, c_name AS n FROM customer WHERE regexp_full_match(c_name, 'Customer#0*[1-3]5')"),
+    "scan_name_or": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"event",name:["click","pur*","/v.+w/"]} AS A', "SELECT 'event:' || event_id AS a, event_type AS n FROM events WHERE event_type = 'click' OR event_type LIKE 'pur%' OR regexp_full_match(event_type, 'v.+w')"),
+    "scan_index": ("r", 'SELECT A.id AS a, A.name AS n FROM root{type:"part",index:[1,7]} AS A', "SELECT 'part:' || p_partkey AS a, p_name AS n FROM part WHERE p_size IN (1, 7)"),
+    "scan_id": ("r", 'SELECT A.id AS a, A.name AS n FROM root{id:["customer:7","nation:3"]} AS A', "SELECT 'customer:' || c_custkey AS a, c_name AS n FROM customer WHERE c_custkey = 7 UNION ALL SELECT 'nation:' || n_nationkey, n_name FROM nation WHERE n_nationkey = 3"),
+    "scan_props": ("r", 'SELECT A.id AS a FROM root{type:"customer",props:{"segment":"BUILDING","segment":"MACHINERY"}} AS A', "SELECT 'customer:' || c_custkey AS a FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "scan_not_type": ("r", 'SELECT A.id AS a FROM root{not_type:["event","turn","document","order","part","customer"]} AS A', "SELECT 'nation:' || n_nationkey AS a FROM nation UNION ALL SELECT 'region:' || r_regionkey FROM region UNION ALL SELECT 'supplier:' || s_suppkey FROM supplier"),
+    "scan_all": ("r", "SELECT COUNT(A) AS n FROM root{all} AS A", "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) + (SELECT count(*) FROM events) + (SELECT count(*) FROM conversations) + (SELECT count(*) FROM documents) AS n"),
+    "file_filter": ("r", 'SELECT A.id AS a FROM %targeting(file="1*.txt") root{type:"document"} AS A', "SELECT 'document:' || doc_id AS a FROM documents WHERE doc_id::VARCHAR LIKE '1%'"),
+    "hop_forward": ("r", 'SELECT A.id AS a, B.id AS b, B.name AS n FROM root{type:"customer"} AS A TRACE join[A].linear_traverse[t["placed"]] AS B', "SELECT 'customer:' || o_custkey AS a, 'order:' || o_orderkey AS b, o_orderstatus AS n FROM orders"),
+    "hop_reverse": ("r", 'SELECT A.id AS a, B.name AS n FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse]] AS B', "SELECT 'order:' || o_orderkey AS a, c_name AS n FROM orders JOIN customer ON c_custkey = o_custkey"),
+    "hop_multi_type": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["contains","shipped_by"]] AS B', "SELECT a, b FROM (SELECT DISTINCT 'order:' || l_orderkey AS a, 'part:' || l_partkey AS b, l_returnflag, l_linenumber FROM lineitem) UNION ALL SELECT a, b FROM (SELECT DISTINCT 'order:' || l_orderkey AS a, 'supplier:' || l_suppkey AS b, l_linestatus, l_linenumber FROM lineitem)"),
+    "hop_edge_name": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t[{type:"contains",name:"R"}]] AS B', "SELECT a, b FROM (SELECT DISTINCT 'order:' || l_orderkey AS a, 'part:' || l_partkey AS b, l_linenumber FROM lineitem WHERE l_returnflag = 'R')"),
+    "hop_edge_index": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t[{type:"contains",index:[1,2]}]] AS B', "SELECT a, b FROM (SELECT DISTINCT 'order:' || l_orderkey AS a, 'part:' || l_partkey AS b, l_returnflag, l_linenumber FROM lineitem WHERE l_linenumber IN (1, 2))"),
+    "path_two": ("r", 'SELECT A.id AS a, B.name AS n FROM root{type:"customer"} AS A TRACE join[A].linear_traverse[t["cust_nation"],t["in_region"]] AS B', "SELECT 'customer:' || c_custkey AS a, r_name AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    "path_two_grouped": ("r", 'SELECT C.name AS nation, COUNT(A) AS orders FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse],t["cust_nation"]] AS C', "SELECT n_name AS nation, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1"),
+    "path_optional": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"customer"} AS A TRACE join[A].linear_traverse[?["cust_nation"],?["in_region"]] AS B', "WITH j AS (SELECT 'customer:' || c_custkey AS a, 'nation:' || n_nationkey AS n, 'region:' || n_regionkey AS r FROM customer JOIN nation ON n_nationkey = c_nationkey) SELECT a, a AS b FROM j UNION ALL SELECT a, n FROM j UNION ALL SELECT a, r FROM j"),
+    "path_star": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"turn",index:0} AS A TRACE join[A].linear_traverse[*["next_turn"]] AS B', "WITH RECURSIVE w AS (SELECT conv_id, turn, turn AS e FROM conversations WHERE turn = 0 UNION ALL SELECT w.conv_id, w.turn, c.turn FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.e + 1) SELECT 'turn:' || conv_id || ':' || turn AS a, 'turn:' || conv_id || ':' || e AS b FROM w"),
+    "path_star_then_hop": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"turn",index:0} AS A TRACE join[A].linear_traverse[*["next_turn"],t["next_turn"]] AS B', "WITH RECURSIVE w AS (SELECT conv_id, turn, turn AS e FROM conversations WHERE turn = 0 UNION ALL SELECT w.conv_id, w.turn, c.turn FROM w JOIN conversations c ON c.conv_id = w.conv_id AND c.turn = w.e + 1) SELECT 'turn:' || conv_id || ':' || turn AS a, 'turn:' || conv_id || ':' || e AS b FROM w WHERE e > turn"),
+    "repeat_plus": ("r", 'SELECT A.id AS a, B.name AS n, COUNT(B) AS c FROM root{type:"turn",index:0} AS A TRACE join[A].repeated_traverse{follow:[],repeat:[t["next_turn"]]} AS B', "SELECT 'turn:' || conv_id || ':0' AS a, role AS n, count(*) AS c FROM conversations WHERE turn > 0 GROUP BY 1, 2"),
+    "cycle_guard": ("r", 'SELECT A.id AS a, B.id AS b FROM root{id:["customer:1","customer:2"]} AS A TRACE join[A].linear_traverse[*["placed","placed".reverse]] AS B', "SELECT 'customer:' || c_custkey AS a, 'customer:' || c_custkey AS b FROM customer WHERE c_custkey IN (1, 2) UNION ALL SELECT 'customer:' || o_custkey, 'order:' || o_orderkey FROM orders WHERE o_custkey IN (1, 2)"),
+    "node_check": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"customer"} AS A TRACE join[A].linear_traverse[t["placed"]].node_check{type:"order",name:"F"} AS B', "SELECT 'customer:' || o_custkey AS a, 'order:' || o_orderkey AS b FROM orders WHERE o_orderstatus = 'F'"),
+    "join_left": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"order"} AS A TRACE left_join[A].linear_traverse[t[{type:"contains",name:"R"}]] AS B', "SELECT 'order:' || o_orderkey AS a, b FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, 'part:' || l_partkey AS b, l_linenumber FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey"),
+    "join_fork": ("r", 'SELECT A.id AS a, B.name AS b, C.name AS c FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse]] AS B TRACE join[A].linear_traverse[t["shipped_by"]] AS C', "SELECT 'order:' || o_orderkey AS a, c_name AS b, s_name AS c FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT DISTINCT l_orderkey, l_suppkey, l_linestatus, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey"),
+    "join_fork_left": ("r", 'SELECT A.id AS a, B.id AS b, C.id AS c FROM root{type:"nation"} AS A TRACE join[A].linear_traverse[t["in_region"]] AS B TRACE left_join[A].linear_traverse[t["supp_nation".reverse]] AS C', "SELECT 'nation:' || n_nationkey AS a, 'region:' || n_regionkey AS b, 'supplier:' || s_suppkey AS c FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    "join_chain": ("r", 'SELECT A.name AS a, B.name AS b, C.name AS c FROM root{type:"supplier"} AS A TRACE join[A].linear_traverse[t["supp_nation"]] AS B TRACE join[B].linear_traverse[t["in_region"]] AS C', "SELECT s_name AS a, n_name AS b, r_name AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey"),
+    "anti": ("r", 'SELECT A.id AS a FROM root{type:"order"} AS A TRACE left_join[A].linear_traverse[t["contains"]] AS B HAVING B IS_NULL', "SELECT 'order:' || o_orderkey AS a FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)"),
+    "having_not_null": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"nation"} AS A TRACE left_join[A].linear_traverse[t["supp_nation".reverse]] AS B HAVING B IS_NOT_NULL', "SELECT 'nation:' || s_nationkey AS a, 'supplier:' || s_suppkey AS b FROM supplier"),
+    "having_or": ("r", 'SELECT A.id AS a, B.id AS b, C.id AS c FROM root{type:"order"} AS A TRACE left_join[A].linear_traverse[t[{type:"contains",index:7}]] AS B TRACE left_join[A].linear_traverse[t[{type:"shipped_by",name:"F",index:1}]] AS C HAVING_OR B IS_NOT_NULL HAVING_OR C IS_NOT_NULL', "SELECT 'order:' || o_orderkey AS a, b, c FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k, 'part:' || l_partkey AS b, l_returnflag FROM lineitem WHERE l_linenumber = 7) AS x ON x.k = o_orderkey LEFT JOIN (SELECT DISTINCT l_orderkey AS k, 'supplier:' || l_suppkey AS c FROM lineitem WHERE l_linenumber = 1 AND l_linestatus = 'F') AS y ON y.k = o_orderkey WHERE b IS NOT NULL OR c IS NOT NULL"),
+    "intersect": ("r", 'SELECT A.id AS a, B.id AS b FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse],t["cust_nation"]] AS B TRACE join[A].linear_traverse[t["shipped_by"],t["supp_nation"]] AS C INTERSECT B, C', "SELECT 'order:' || o_orderkey AS a, 'nation:' || c_nationkey AS b FROM orders JOIN customer ON c_custkey = o_custkey JOIN (SELECT DISTINCT l_orderkey, l_suppkey, l_linestatus, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE s_nationkey = c_nationkey"),
+    "cat": ("r", 'SELECT CAT(A.name, B.name) AS c, PATHCAT(A.id, B.name) AS p FROM root{type:"nation"} AS A TRACE left_join[A].linear_traverse[t["supp_nation".reverse]] AS B', "SELECT n_name || coalesce(s_name, '') AS c, 'nation:' || n_nationkey || '/' || coalesce(s_name, '') AS p FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey"),
+    "count_all": ("r", 'SELECT COUNT(A, B) AS n FROM root{type:"nation"} AS A TRACE join[A].linear_traverse[t["in_region"]] AS B', "SELECT 2 * count(*) AS n FROM nation"),
+    "count_group": ("r", 'SELECT B.name AS n, COUNT(A) AS c FROM root{type:"part"} AS A TRACE join[A].linear_traverse[t["contains".reverse]] AS B', "SELECT o_orderstatus AS n, count(*) AS c FROM (SELECT DISTINCT l_orderkey, l_partkey, l_returnflag, l_linenumber FROM lineitem) JOIN orders ON o_orderkey = l_orderkey GROUP BY 1"),
+    "distinct_order": ("r", 'SELECT B.name AS n, A.name AS m FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse],t["cust_nation"]] AS B ORDER BY n DESC, m', "SELECT DISTINCT n_name AS n, o_orderstatus AS m FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey"),
+    "order_grouped_top": ("r", 'SELECT B.name AS n, COUNT(A) AS c FROM root{type:"order"} AS A TRACE join[A].linear_traverse[t["placed".reverse]] AS B ORDER BY c DESC, n LIMIT 20', "SELECT c_name AS n, count(*) AS c FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1 ORDER BY c DESC, n LIMIT 20"),
+    "limit_offset": ("r", 'SELECT A.id AS a FROM root{type:"part"} AS A OFFSET 10 LIMIT 25', "SELECT 'part:' || p_partkey AS a FROM part ORDER BY 1 LIMIT 25 OFFSET 10"),
+    "scroll": ("r", '%scroll(A:["tables","customer","customer:5"]) SELECT A.id AS a FROM root{type:"customer"} AS A LIMIT 50', "SELECT 'customer:' || c_custkey AS a FROM customer WHERE 'customer:' || c_custkey >= 'customer:5' ORDER BY 1 LIMIT 50"),
+    "logic_simple": ("l", "tables::customer(C). tables::placed(C, O)[name=\"F\"]. %SELECT(C.name AS c, O.id AS o).", "SELECT c_name AS c, 'order:' || o_orderkey AS o FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'F'"),
+    "logic_cost_root": ("l", 'tables::region(R)[name="ASIA"]. tables::in_region(N, R). tables::cust_nation(C, N). tables::placed(C, O). %SELECT(N.name AS n, COUNT(O) AS orders).', "SELECT n_name AS n, count(*) AS orders FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name = 'ASIA' GROUP BY 1"),
+    "logic_cycle": ("l", "tables::placed(C, O). tables::cust_nation(C, N). tables::shipped_by(O, S). tables::supp_nation(S, N). %SELECT(O.id AS o, N.name AS n).", "SELECT 'order:' || o_orderkey AS o, n_name AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN (SELECT DISTINCT l_orderkey, l_suppkey, l_linestatus, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey AND s_nationkey = n_nationkey"),
+    "logic_optional": ("l", 'tables::order(O). tables::contains(O, P)[name="R"]?. %SELECT(O.id AS o, P.id AS p).', "SELECT 'order:' || o_orderkey AS o, p FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey, 'part:' || l_partkey AS p, l_linenumber FROM lineitem WHERE l_returnflag = 'R') ON l_orderkey = o_orderkey"),
+    "logic_repeated": ("l", "tables::turn(T)[index=1]. tables::later_turn(T, U). %root(T). %SELECT(T.id AS t, U.id AS u).", "SELECT 'turn:' || conv_id || ':0' AS t, 'turn:' || conv_id || ':' || turn AS u FROM conversations WHERE turn > 0"),
+}
+
+
+def collect_group(spark, sf_dir):
+    out = engine(spark, sf_dir).relational('SELECT B.name AS n, COLLECT(A.name) AS l FROM root{type:"nation"} AS A TRACE join[A].linear_traverse[t["in_region"]] AS B')
+    return out.select("n", F.array_join(F.array_sort("l"), ",").alias("l"))
+
+
+def graph_trace(spark, sf_dir):
+    return engine(spark, sf_dir).graph('root{type:"supplier"}.linear_traverse[t["supp_nation"]].linear_traverse[?["in_region"]]')
+
+
+def bounded_repeat(spark, sf_dir):
+    source = tabular_graph(spark, sf_dir)
+    rows = source.nodes(["turn"]).where("index = 0").select("id", F.col("id").alias("at"))
+    return walk(rows, source, Linear((Follow("*", (EdgeType("next_turn"),)),)), deepest=2).toDF("a", "b")
+
+
+def logic_components(spark, sf_dir):
+    """Two unconnected parts, each its own plan."""
+    e, text = engine(spark, sf_dir), 'tables::nation(N). tables::in_region(N, R). tables::part(P)[name="*steel*"].'
+    a, b = e.logic(text, 0).toDF("n", "r"), e.logic(text, 1).select(F.col("P").alias("n"), F.lit(None).cast("string").alias("r"))
+    return a.unionByName(b)
+
+
+def order_json_compat(spark, sf_dir):
+    out = engine(spark, sf_dir).relational('SELECT B.name AS n, COUNT(A) AS c FROM root{type:"supplier"} AS A TRACE join[A].linear_traverse[t["supp_nation"]] AS B ORDER BY c DESC', compat=True)
+    return out.select("n", "c")
+
+
+def _pieces(spark, sf_dir):
+    """Documents with the position of their second line."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    cut = F.instr("text", "\n")
+    rows = docs.select("doc_id", F.lit("tables").alias("key"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.lit(0).alias("start_index"), F.when(cut > 0, cut - 1).otherwise(F.length("text")).alias("end_index"), F.lit(2).alias("start_line"), F.lit(3).alias("end_line"))
+    return engine(spark, sf_dir).hydrate(rows)
+
+
+def hydrate_extract(spark, sf_dir):
+    return _pieces(spark, sf_dir).select("doc_id", "extracted")
+
+
+def hydrate_nearby(spark, sf_dir):
+    return _pieces(spark, sf_dir).select("doc_id", "nearby", "truncated")
+
+
+def checksum(spark, sf_dir):
+    return _pieces(spark, sf_dir).select("doc_id", "checksum")
+
+
+def overlay_index(spark, sf_dir):
+    """Orders of status F as a diff over all orders; customers stand for files."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    rows = orders.select("o_orderkey", F.col("o_custkey").alias("path"), F.lit("root").alias("key")).unionByName(orders.where("o_orderstatus = 'F'").select("o_orderkey", F.col("o_custkey").alias("path"), F.lit("diff").alias("key")))
+    return overlay(rows, "root", "diff", rows.where("key = 'diff'").select("path")).select("o_orderkey", F.col("path").alias("file"), "key")
+
+
+def latest_version(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return latest_per(events, "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+def stale(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return stale_versions(events, ["user_id", "event_type"], "ts", "event_id").groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+def running_progress(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return queues.running_progress(events.select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("event_id", "done", F.round("share", 6).alias("share"))
+
+
+def dedupe_queue(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return queues.first_per_key(events, ["user_id", "event_type"], "ts", "event_id").select("user_id", "event_type", "event_id")
+
+
+def bucket_queue(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("id", F.col("event_id"))
+    return queues.next_per_bucket(events, events.where("event_type = 'click'"), "user_id", "value", "event_id").select("user_id", "event_id")
+
+
+def link_lookups(spark, sf_dir):
+    """Order lines look up the supplier that their part's next line names; shape of the linker join."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lookups = lines.select(F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("index"))
+    definitions = lines.select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("index"), F.col("l_suppkey").alias("def_path"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index")).distinct()
+    symbols = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("path"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index"), F.col("s_nationkey").alias("node_id"))
+    return linker.link(lookups, definitions, symbols).select("from", "to")
+
+
+def commit_chain(spark, sf_dir):
+    """Turns of a conversation as a chain of commits."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    at = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
+    commits = turns.select(at(F.col("turn")).alias("sha"), F.when(F.col("turn") > 0, F.array(at(F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"))
+    return linker.commit_chain(commits, "0:3", 3)
+
+
+def schema_violations(spark, sf_dir):
+    source = tabular_graph(spark, sf_dir)
+    legal = spark.createDataFrame([("customer", "cust_nation", "nation"), ("nation", "in_region", None)], "from_type string, type string, to_type string")
+    edges = source.edges("cust_nation").unionByName(source.edges("in_region")).unionByName(source.edges("supp_nation"))
+    return linker.schema_violations(source.nodes(["customer", "supplier", "nation", "region"]), edges, legal).select("from", "type", "to")
+
+
+def left_right_full(spark, sf_dir):
+    """Rows per kind of match of a two-sided outer keyed join."""
+    orders, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    a, b = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), F.lit(1).alias("l")), lines.where("l_linenumber = 1").select(F.col("l_orderkey").alias("key"), F.lit(1).alias("r"))
+    return linker.keyed_join(a, b, "key", True, True).groupBy(F.coalesce("l", F.lit(0)).alias("l"), F.coalesce("r", F.lit(0)).alias("r")).agg(F.count("*").alias("n"))
+
+
+def scalar_helpers(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    key = scalars.index_key(F.lit("-1"), F.lit("a/b"), F.col("page_id"), F.lit(7))
+    return pages.select("page_id", key.alias("key"), scalars.repo_of_key(key).alias("repo"), scalars.range_text(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("shown"), F.url_encode("url").alias("url"))
+
+
+_CODE = [collect_group, graph_trace, bounded_repeat, logic_components, order_json_compat, hydrate_extract, hydrate_nearby, checksum, overlay_index, latest_version, stale, running_progress, dedupe_queue, bucket_queue, link_lookups, commit_chain, schema_violations, left_right_full, scalar_helpers]
+
+_END = "CASE WHEN instr(text, chr(10)) > 0 THEN instr(text, chr(10)) - 1 ELSE length(text) END"
+_SQL = {
+    "collect_group": "SELECT r_name AS n, string_agg(n_name, ',' ORDER BY n_name) AS l FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
+    "graph_trace": "WITH j AS (SELECT 'supplier:' || s_suppkey AS root, 'nation:' || n_nationkey AS trace_1, 'region:' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT root, trace_1, trace_1 AS trace_2, trace_1 AS terminus FROM j UNION ALL SELECT root, trace_1, r, r FROM j",
+    "bounded_repeat": "SELECT 'turn:' || conv_id || ':0' AS a, 'turn:' || conv_id || ':' || turn AS b FROM conversations WHERE turn <= 2",
+    "logic_components": "SELECT 'nation:' || n_nationkey AS n, 'region:' || n_regionkey AS r FROM nation UNION ALL SELECT 'part:' || p_partkey, NULL FROM part WHERE p_name LIKE '%steel%'",
+    "order_json_compat": "SELECT n_name AS n, count(*) AS c FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1",
+    "hydrate_extract": f"SELECT doc_id, substr(text, 1, least(400, {_END})) AS extracted FROM documents WHERE text IS NOT NULL",
+    "hydrate_nearby": "SELECT doc_id, CASE WHEN length(c) <= 10000 THEN c END AS nearby, length(c) > 10000 AS truncated FROM (SELECT doc_id, array_to_string(string_split(text, chr(10))[1:5], chr(10)) AS c FROM documents WHERE text IS NOT NULL)",
+    "checksum": f"SELECT doc_id, base64(unhex(sha256(substr(text, 1, {_END})))) AS checksum FROM documents WHERE text IS NOT NULL",
+    "overlay_index": "WITH f AS (SELECT * FROM orders WHERE o_orderstatus = 'F') SELECT o_orderkey, o_custkey AS file, 'root' AS key FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM f) UNION ALL SELECT o_orderkey, o_custkey, 'diff' FROM f",
+    "latest_version": "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
+    "stale": "SELECT event_type, count(*) AS n FROM (SELECT event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) > 1) GROUP BY 1",
+    "running_progress": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done, round(count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) / count(*) OVER (PARTITION BY user_id), 6) AS share FROM events",
+    "dedupe_queue": "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) = 1",
+    "bucket_queue": "SELECT user_id, event_id FROM events WHERE event_type <> 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) = 1",
+    "link_lookups": 'SELECT DISTINCT a.l_orderkey AS "from", s_nationkey AS "to" FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_linenumber = b.l_linenumber JOIN supplier ON s_suppkey = b.l_suppkey',
+    "commit_chain": "SELECT '0:' || turn AS sha, (3 - turn)::INTEGER AS depth FROM conversations WHERE conv_id = 0 AND turn <= 3 AND EXISTS (SELECT 1 FROM conversations WHERE conv_id = 0 AND turn = 3)",
+    "schema_violations": "SELECT 'supplier:' || s_suppkey AS \"from\", 'supp_nation' AS type, 'nation:' || s_nationkey AS \"to\" FROM supplier",
+    "left_right_full": "SELECT coalesce(l, 0) AS l, coalesce(r, 0) AS r, count(*) AS n FROM (SELECT o_orderkey AS k, 1 AS l FROM orders WHERE o_orderstatus = 'F') AS a FULL JOIN (SELECT l_orderkey AS k, 1 AS r FROM lineitem WHERE l_linenumber = 1) AS b USING (k) GROUP BY 1, 2",
+    "scalar_helpers": "SELECT page_id, '-1/a/b/' || page_id || '/7' AS key, page_id::INTEGER AS repo, 'L1:2-L3:4' AS shown, replace(url_encode(url), '%20', '+') AS url FROM pages",
+}
+
+
+def _text_query(kind: str, text: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: (engine(spark, sf_dir).logic if kind == "l" else engine(spark, sf_dir).relational)(text)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _text_query(kind, text) for name, (kind, text, _) in _TEXTS.items()} | {f.__name__: f for f in _CODE}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, _, sql) in _TEXTS.items()} | _SQL
