@@ -1,0 +1,260 @@
+"""Each operator on rows that are null, empty, repeated, very long or few, and against brute force."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from graphscan.llm import decontaminate, jaccard_join, language_id, quality, secrets, sentencepiece_codec, token_counts, token_files, topk, toxicity
+from graphscan.llm._common import byte_slices
+from graphscan.llm.queries import tokenizer_path
+from pyspark.sql import functions as F
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+SHAPES = [
+    (1, "the cat sat on the mat and the dog sat too", "en", "s", 42), (2, "the cat sat on the mat and the dog sat too", "en", "s", 42), (3, None, None, None, None), (4, "", "en", "s", 0), (5, "!!! ... 12345", "en", "s", 13),
+    (None, "no id here at all", "en", "s", 17), (6, "word", "en", "s", 4), (7, "le chat est assis sur le tapis avec un idiot", "fr", "s", 40), (7, "le chat est assis sur le tapis avec un idiot", "fr", "s", 40),
+    (8, "long " * 30_000, "en", "s", 150_000), (9, "password = hunter2Zq8kLw0 and tail 中文 \u0000 \U0001f600", "en", "s", 30),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(SHAPES, DOCS)
+
+
+@pytest.fixture(scope="module")
+def none(docs):
+    return docs.where("false")
+
+
+def labels_of(spark, rows, column):
+    return spark.createDataFrame(rows, f"doc_id long, {column} int")
+
+
+def test_language(spark, docs, none):
+    model = language_id.fit(docs.where("lang is not null"))
+    rows = language_id.identify(docs, model).collect()
+    by = {r.doc_id: r for r in rows}
+    assert len(rows) == len(SHAPES) and by[3].lang_pred == by[4].lang_pred == by[5].lang_pred == "und" and by[3].score == 0
+    assert by[1].lang_pred == "en" and by[7].lang_pred == "fr" and all(0 <= r.score <= 1 for r in rows)
+    assert language_id.identify(none, model).count() == 0
+    assert {r.lang_pred for r in language_id.identify(docs, language_id.fit(none)).collect()} == {"und"}
+
+
+def test_hypervectors_are_bundles_of_bound_letters():
+    vectors, has = language_id.Profiler(3, 256).vectors(["ab", "", "7"])
+    assert has.tolist() == [True, False, False]
+    a, b, edge = (language_id.letter_vectors(np.array([p], np.uint32), 256)[0].astype(int) for p in (97, 98, 0))
+    edge = np.abs(edge)
+    want = np.roll(edge, 2) * np.roll(a, 1) * b + np.roll(a, 2) * np.roll(b, 1) * edge
+    assert np.allclose(vectors[0], want / np.linalg.norm(want), atol=1e-6)
+
+
+def test_block_max_search_is_exact():
+    rng = np.random.default_rng(0)
+    entries = rng.random((500, 40)).astype(np.float32) * (rng.random((500, 40)) < 0.1)
+    entries = entries[entries.any(axis=1)]
+    entries /= np.linalg.norm(entries, axis=1, keepdims=True)
+    queries = entries[:50] + 0.1 * entries[50:100]
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    index = toxicity.BlockMaxIndex(entries)
+    best, who = index.search(queries, 7)
+    assert np.allclose(best, -np.sort(-(queries @ entries.T), axis=1)[:, :7], atol=1e-5)
+
+
+def test_toxicity_and_quality(spark, docs, none):
+    many = spark.createDataFrame([(i, f"plain words number {i} here" + (" idiot moron" if i % 4 == 0 else ""), "en", "s", 0) for i in range(200)], DOCS)
+    model = toxicity.fit(many, labels_of(spark, [(i, int(i % 4 == 0)) for i in range(0, 200)] + [(None, 1), (5, None)], "toxic"))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got[7].predicted == 1 and got[1].predicted == 0 and got[3].score == got[4].score and got[7].examples
+    assert toxicity.reject_toxic(docs.withColumn("keep", F.lit(1)), model).count() == len(SHAPES) - 2
+    assert toxicity.score_toxicity(none, model).count() == 0
+    blank = toxicity.fit(many, labels_of(spark, [], "toxic"))
+    assert {r.score for r in toxicity.score_toxicity(docs, blank).collect()} == {0.0}
+    noisy = spark.createDataFrame([(i, ("### %%% $$$ " * 5 if i % 4 == 0 else "some calm words, in a row. ") * (1 + i % 7), "en", "s", 0) for i in range(200)], DOCS)
+    judge = quality.fit(noisy, labels_of(spark, [(i, int(i % 4 != 0)) for i in range(200)], "quality"))
+    scores = {r.doc_id: r.predicted for r in quality.score_quality(noisy, judge).collect()}
+    assert all(scores[i] == (i % 4 != 0) for i in range(200))
+    assert quality.score_quality(docs, judge).count() == len(SHAPES)
+    assert {r.score for r in quality.score_quality(docs, quality.fit(noisy, labels_of(spark, [], "quality"))).collect()} == {0.0}
+
+
+def test_secrets(docs):
+    rows = {r.doc_id: r for r in secrets.find_secrets(docs).collect()}
+    assert rows[9].n_assign == 1 and rows[3].spans == "" and rows[9].spans.startswith("assign:0:")
+    assert secrets.guess_cost("password2024") < 8 < secrets.guess_cost("gX7#qT2v!Lw9")
+    text = docs.where("doc_id = 9").transform(secrets.redact_secrets).first()
+    assert "hunter2" not in text.text and text.n_chars == len(text.text)
+    assert secrets.redact_secrets(docs).columns == docs.columns
+
+
+def test_guess_cost_is_the_minimum():
+    def brute(value):
+        n, best = len(value), [0.0] * (len(value) + 1)
+        one = np.log10(26)
+        for j in range(1, n + 1):
+            options = [best[i] + (i > 0) * secrets._PRICE + (j - i) * one for i in range(j)]
+            options += [best[i] + (i > 0) * secrets._PRICE + np.log10(secrets._RANK[value[i:j]] + 10) for i in range(j) if j - i >= 3 and value[i:j] in secrets._RANK]
+            best[j] = min(options)
+        return best[n]
+
+    for value in ("xkpasswordzq", "catdogtestbox", "qgtokenh"):
+        assert secrets.guess_cost(value) <= brute(value) + 1e-9
+
+
+def test_decontamination(spark, docs, none):
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(n))) for i, n in enumerate((30, 12, 10, 4, 1))] + [(9, None), (10, ""), (None, "w1 w2")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = [(100 + i, " ".join(rng.choice(words) for _ in range(20)) + " " + (items[i % 5][1] if i % 2 else "") + ". W3", "en", "s", 1) for i in range(40)]
+    both = docs.unionByName(spark.createDataFrame(made, DOCS))
+    rows = decontaminate.decontaminate(both, bench).collect()
+    sharded = decontaminate.decontaminate(both, bench, shard_bytes=60).collect()
+    key = lambda rs: sorted((str(r.doc_id), r.n_words, r.n_hit, r.items_sha256) for r in rs)
+    assert key(rows) == key(sharded)
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+    found = {r.doc_id: r for r in rows}
+    for i, text, *_ in made:
+        w, hit, names = split(text), set(), set()
+        for item, t in items:
+            ws = split(t)
+            k = min(10, len(ws))
+            if item is not None and k:
+                grams = {tuple(ws[j : j + k]) for j in range(len(ws) - k + 1)}
+                for j in range(len(w) - k + 1):
+                    if tuple(w[j : j + k]) in grams:
+                        hit.update(range(j, j + k))
+                        names.add(str(item))
+        assert (found[i].n_words, found[i].n_hit, set(found[i]["items"])) == (len(w), len(hit), names)
+    assert decontaminate.drop_contaminated(both, bench).count() == sum(r.n_hit == 0 for r in rows)
+    assert decontaminate.decontaminate(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.where("false")).where("contaminated").count() == 0
+
+
+def test_top_k(spark):
+    rng = random.Random(1)
+    rows = [(i % 90, [rng.uniform(-1, 1) for _ in range(8)]) for i in range(200)] + [(50, None), (None, [1.0] * 8), (100, [float("nan")] * 8), (101, [None] * 8), (0, [0.0] * 8), (50, [0.5] * 3)]
+    rows.append(rows[0])
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, topk.exact_top_k(vectors, F.col("vec_id") % 50 == 0).collect()))
+    clean = [(i, [int(np.floor(256 * x)) for x in v] + [0] * (8 - len(v))) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for n, (i, v) in enumerate(clean):
+        if i % 50 == 0:
+            near = sorted((-sum(a * b for a, b in zip(v, u)), j) for m, (j, u) in enumerate(clean) if m != n)[:5]
+            want += [(i, r + 1, j, -s) for r, (s, j) in enumerate(near)]
+    assert got == sorted(want)
+    assert topk.exact_top_k(vectors.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_jaccard(spark, docs, none):
+    rng = random.Random(3)
+    rows = list(SHAPES)
+    for g in range(25):
+        base = [f"t{rng.randint(0, 4000)}" for _ in range(rng.choice([3, 6, 12, 40, 200, 500]))]
+        for c in range(rng.randint(1, 6)):
+            text = [w if rng.random() > 0.12 * (c % 3) else f"x{rng.randint(0, 9999)}" for w in base]
+            rows.append((1000 + 10 * g + c, " ".join(text), "en", "s", 0))
+    table = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = sorted((str(r.doc_id), r.n_shingles, r.n_similar, str(r.component_id)) for r in jaccard_join.jaccard_groups(table).collect())
+    sets = []
+    for _, text, *_ in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+        sets.append({tuple(w[i : i + 2]) for i in range(len(w) - 1)} if len(w) > 1 else {tuple(w)} if w else set())
+    n = len(rows)
+    links = [[j for j in range(n) if i != j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])] for i in range(n)]
+    want = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = [j for j in links[todo.pop()] if j not in seen]
+            seen.update(new)
+            todo += new
+        ids = [rows[j][0] for j in seen if rows[j][0] is not None]
+        want.append((str(rows[i][0]), len(sets[i]), len(links[i]), str(min(ids) if ids else None)))
+    assert got == sorted(want)
+    assert jaccard_join.jaccard_groups(none).count() == 0
+    kept = jaccard_join.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 3, 4, 5, None, 6, 7, 8, 9], key=str)
+
+
+def test_signatures_of_linked_sets_meet():
+    rng, tight = random.Random(5), jaccard_join.tight_sizes(60)
+    for _ in range(4000):
+        u = rng.choice([rng.randint(1, 40), rng.randint(40, 900)])
+        union = [rng.getrandbits(60) for _ in range(u)]
+        a, b, side = set(union), set(union), rng.random()
+        for x in rng.sample(union, min(u, rng.randint(int(0.3 * u), int(0.4 * u) + 1))):
+            (a if rng.random() < side else b).discard(x)
+        if a and b and a != b and 100 * len(a & b) >= 60 * len(a | b):
+            x, y = (np.sort(np.array(list(s), np.uint64)) for s in (a, b))
+            need = jaccard_join.SHARED if min(jaccard_join.sure_shared(len(s), 60) for s in (a, b)) >= jaccard_join.SHARED else 1
+            assert len(np.intersect1d(jaccard_join.signatures(x, 60, tight), jaccard_join.signatures(y, 60, tight))) >= need
+
+
+def test_sentencepiece(spark, docs, none):
+    import sentencepiece
+
+    path = tokenizer_path("piece_bpe_32k.model")
+    own = sentencepiece.SentencePieceProcessor(model_file=path)
+    encoded = sentencepiece_codec.encode_documents(docs, path)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in encoded.collect():
+        assert r["ids"] == own.encode(texts[r.doc_id] or "") and r.n_unlike == 0 and r.round_trip
+    back = {r.doc_id: r.text for r in sentencepiece_codec.decode_documents(encoded, path).collect()}
+    assert all(back[k] == (t or "") for k, t in texts.items())
+    assert sentencepiece_codec.encode_documents(none, path).count() == 0
+
+
+def test_token_files(docs, none, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rows = sorted(map(tuple, token_files.token_files(docs, path, f"file://{tmp_path}").collect()), key=lambda r: r[1])
+    at = 0
+    texts = sorted(((d.doc_id, d.text) for d in docs.collect()), key=lambda d: (d[0] is not None, d[0] or 0))
+    for row, (doc_id, text) in zip(rows, texts, strict=True):
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        assert row == (doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+    assert token_files.token_files(none, path, f"file://{tmp_path}/none").count() == 0
+    ids = np.array([5] * 100 + [10**6] + list(range(300)), np.uint32)
+    reader = token_files.BlockReader(token_files.encode_blocks(ids))
+    assert (reader.blocks(0, reader.n_blocks) == ids).all() and (reader.ids(90, 260) == ids[90:260]).all()
+
+
+def test_token_counts(docs, none):
+    initial, continuation = token_counts.byte_level_vocabulary(tokenizer_path("byte_bpe_50k.json"))
+    first, later = set(initial), set(continuation)
+    for r in token_counts.token_counts(docs, initial, continuation).collect():
+        text = next(t for i, t, *_ in SHAPES if i == r.doc_id) or ""
+        words = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\x20\x09-\x0d]", text.encode())
+        sizes = [token_counts.greedy_length(b" " + w, first, later) for w in words]
+        assert (r.n_words, r.n_unknown, r.n_tokens) == (len(words), sum(s < 0 for s in sizes), sum(abs(s) for s in sizes))
+    assert token_counts.token_counts(none, initial, continuation).count() == 0
+
+
+def test_pipeline(spark, tmp_path):
+    rows = [(i, f"document {i} says " + " ".join(f"v{i * 41 + j}" for j in range(40)) + (" idiot moron" if i % 5 == 1 else ""), "en", "s", 1) for i in range(0, 300)]
+    rows += [(1000, rows[0][1], "en", "s", 1), (1001, "see " + " ".join(f"b{i}" for i in range(12)), "en", "s", 1), (1002, "api_key = Zk39xQpLw82mNv", "en", "s", 1), (1003, None, None, None, None), (1004, "", "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, [(i, int(i % 5 == 1)) for i in range(300)], "toxic").withColumn("quality", F.lit(1)).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(12)))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert set(out) == {i for i in range(300) if i % 5 != 1} | {1002, 1003, 1004}
+    text = {r.doc_id: r.text for r in sentencepiece_codec.decode_documents(spark.createDataFrame([(1002, out[1002]["ids"])], "doc_id long, ids array<int>"), tokenizer_path("piece_bpe_32k.model")).collect()}[1002]
+    assert text == "[SECRET]"
+
+
+def test_slices_hold_every_byte():
+    import pyarrow as pa
+
+    column = pa.array(["ab", None, "", "é" * 50, "z"])
+    seen = [bytes(data[a : b - 1]).decode() for _, _, data, at in byte_slices(column, 40) for a, b in zip(at[:-1], at[1:])]
+    assert seen == ["ab", "", "", "é" * 50, "z"]
