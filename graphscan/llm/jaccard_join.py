@@ -534,7 +534,7 @@ def leaf_links(x: Leaf, y: Leaf | None, percent: int) -> tuple[np.ndarray, np.nd
         overlap = np.array([len(np.intersect1d(x.sets[a], other.sets[b], assume_unique=True)) for a, b in zip(i, j)])
     else:
         left, right = np.unique(i), np.unique(j)
-        total = _overlaps([x.sets[p] for p in left], [other.sets[p] for p in right], y is None)
+        total = _overlaps([x.sets[p] for p in left], [other.sets[p] for p in right], None if y else [x.sets[p] for p in np.union1d(left, right)])
         overlap = total[np.searchsorted(left, i), np.searchsorted(right, j)]
     good = overlap >= need[i, j]
     return i[good], j[good]
@@ -544,11 +544,14 @@ def leaf_links(x: Leaf, y: Leaf | None, percent: int) -> tuple[np.ndarray, np.nd
 COLUMNS = 2048
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], same: bool) -> np.ndarray:
-    """Shared keys of every set on the left with every one on the right, by products of 0/1 columns."""
-    if same:
-        flat, count = np.unique(np.concatenate(left + right), return_counts=True)
-        common = flat[count > 2]  # a set is on both sides; what only one holds is never shared with another
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], within: list[np.ndarray] | None) -> np.ndarray:
+    """Shared keys of every set on the left with every one on the right, by products of 0/1 columns.
+
+    ``within`` holds each set of either side once, if both are of one leaf.
+    """
+    if within is not None:
+        flat, count = np.unique(np.concatenate(within), return_counts=True)
+        common = flat[count > 1]  # what only one holds is never shared with another
     else:
         common = np.intersect1d(np.concatenate(left), np.concatenate(right))
 

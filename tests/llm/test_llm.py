@@ -197,6 +197,23 @@ def test_signatures_of_linked_sets_meet():
             assert len(np.intersect1d(jaccard_join.signatures(x, 60, tight), jaccard_join.signatures(y, 60, tight))) >= need
 
 
+def test_links_within_a_leaf():
+    rng = np.random.default_rng(7)
+
+    def brute(sets):
+        return {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])}
+
+    fresh = lambda k: {int(v) for v in rng.integers(0, 1 << 62, k)}
+    disjoint = [s | fresh(1) for s in [fresh(99) for _ in range(9)] for _ in (0, 1)]
+    middle = fresh(60)
+    star = [middle] + [set(sorted(middle)[i : i + 40]) | fresh(2) for i in range(0, 20, 2)]
+    for sets in (disjoint, star, disjoint + star, disjoint[:2] + star):
+        for turn in (sets, sets[::-1]):
+            leaf = jaccard_join.Leaf([f"{i:032d}" for i in range(len(turn))], [1] * len(turn), [np.sort(np.array(list(s), np.uint64)) for s in turn])
+            i, j = jaccard_join.leaf_links(leaf, None, 60)
+            assert len(brute(turn)) > 8 and set(zip(i.tolist(), j.tolist())) == brute(turn)
+
+
 def test_sentencepiece(spark, docs, none):
     import sentencepiece
 
