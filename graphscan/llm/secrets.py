@@ -11,7 +11,8 @@ walks and brute-force spans (each span's log10 of guesses, plus a price per
 further span), found by dynamic programming over the value's positions; it is
 linear in the value's length, as each kind of span has a bounded number of
 starts per end.  Values that a guesser reaches quickly (placeholders, plain
-words) are thus left alone.
+words) are thus left alone.  A value that one base span covers whole is not
+scored again; one that it covers in part is, and redaction masks both as one.
 
 Cases.  A null text is empty and has no spans; values of any length are
 scored whole; repeated documents are each reported; extra columns are ignored.
@@ -127,7 +128,8 @@ def find(text: str | None, least_cost: float = 12.0) -> list[tuple[str, int, int
             a, b = m.span(1)
             value = m.group(1).rstrip(".,;:!?)]}")
             b = a + len(value)
-            if len(value) >= 6 and not any(x < b and a < y for x, y in base) and guess_cost(value) >= least_cost:
+            # a base span may end inside the value, or begin there: only one that covers it whole spares the rest
+            if len(value) >= 6 and not any(x <= a and b <= y for x, y in base) and guess_cost(value) >= least_cost:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
