@@ -11,7 +11,8 @@ Tokenising.  Byte-level BPE works on each piece of a fixed pre-split alone, so
 a text is split by vectorised character classes, its distinct pieces are
 encoded by the tokenizers library (once per worker, in a bounded cache), and
 the ids are gathered by piece.  Documents with characters outside the classes
-that are handled, or with contractions, go through the library whole.
+that are handled, with contractions, or with the literal of an added token
+(which has its own id, as the library gives it), go through the library whole.
 
 Scale.  One range partitioning by doc_id; each task sorts, encodes and writes
 its own file, under a name no other attempt uses, and reports it; only
@@ -190,7 +191,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
+        #: Whether pieces in a row may make up an added token that none of them holds.
+        self.crossing = any(" " in x[1:] for x in self.added)
         pre = self.tokenizer.pre_tokenizer
         self.by_piece = pre is not None and "ByteLevel(add_prefix_space=False" in repr(pre) and self.tokenizer.normalizer is None
         self.classes = _classes()
@@ -218,6 +221,12 @@ class PieceEncoder:
         if len(quote):
             quote = quote[np.isin(cps[quote + 1], [115, 116, 109, 100, 114, 118, 108])]
             odd[np.searchsorted(offsets, quote, "right") - 1] = True
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                i = int(np.searchsorted(offsets, at, "right")) - 1
+                odd[i] = True
+                at = whole.find(token, max(at + 1, int(ends[i]) + 1 - len(token)))
         starts, stops = self._pieces(cps, kind, offsets, ends)
         doc = np.searchsorted(offsets, starts, "right") - 1
         if odd.any():
@@ -270,7 +279,7 @@ class PieceEncoder:
         Pieces of a space and letters split back into themselves when they
         stand in a row, so they are encoded many to a text.
         """
-        plain = np.array([len(x) > 1 and x[0] == " " and x[1:].isalpha() for x in pieces])
+        plain = np.array([not self.crossing and len(x) > 1 and x[0] == " " and x[1:].isalpha() for x in pieces])
         sizes = np.zeros(len(pieces), np.int64)
         parts: dict[bool, np.ndarray] = {}
         chosen = [pieces[i] for i in np.flatnonzero(plain).tolist()]

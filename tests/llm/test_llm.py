@@ -258,6 +258,24 @@ def test_token_files(docs, none, tmp_path):
     assert (reader.blocks(0, reader.n_blocks) == ids).all() and (reader.ids(90, 260) == ids[90:260]).all()
 
 
+def test_added_tokens_keep_their_ids(tmp_path):
+    from tokenizers import AddedToken, Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    texts = ["a <|endoftext|> b", "plain words", "<|endoftext|>", "", "<|endoftext|><|endoftext|> x", "<|endoftext|", ">", "new york", " new", " york", "in new york it", "last <|endoftext|>"]
+    more = Tokenizer.from_file(path)
+    more.add_tokens([AddedToken("new york", normalized=False), AddedToken("s\nx")])
+    more.save(f"{tmp_path}/more.json")
+    for p in (path, f"{tmp_path}/more.json"):
+        library, encoder = Tokenizer.from_file(p), token_files.PieceEncoder(p)
+        assert encoder.by_piece
+        for part in (texts, texts[::-1], ["cats", "x"], [" new york" for _ in range(3)]):
+            ids, sizes = encoder.encode(part)
+            want = [library.encode(t, add_special_tokens=False).ids for t in part]
+            assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    assert token_files.PieceEncoder(path).encode(texts[:1])[0].tolist() == [64, 220, 50256, 275]
+
+
 def test_token_counts(docs, none):
     initial, continuation = token_counts.byte_level_vocabulary(tokenizer_path("byte_bpe_50k.json"))
     first, later = set(initial), set(continuation)
