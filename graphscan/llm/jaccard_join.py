@@ -13,8 +13,9 @@ Method.
    arrays (``signatures``); sets that share fewer than three kept signatures
    (one for small sets) are never compared.  Small groups under a signature
    give counted pairs; a group beyond ``GROUP`` gives edges to a hub, for
-   members that are in at least three such groups.  Both are joined into
-   candidate components.
+   members that are in at least three such groups (in one, if small or of a
+   size that may share fewer with a small set).  Both are joined into candidate
+   components.
 3. In a component, keys are hashed into 64 groups; the group counts of a set
    are its point.  Points are packed by size into leaves of at most 1024, each
    with its bounding box.  The overlap of two points is at most the sum over
@@ -43,6 +44,7 @@ null id; other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
@@ -71,6 +73,8 @@ GROUP = 128
 #: Signatures that a task sends at once.
 FLUSH = 2_000_000
 HUB = 1 << 50
+#: Marks in a posting's byte beside the size class (modulo 64): see ``flags``.
+SMALL, FEW = 128, 64
 
 _WORD = np.ones(256, bool)
 _WORD[[32, *range(9, 14)]] = False
@@ -175,6 +179,29 @@ def sure_shared(n: int, percent: int) -> float:
     return n * (2 * percent - 100 - TAIL) / 100 - 1
 
 
+@functools.cache
+def few_sizes(percent: int) -> frozenset[int]:
+    """Sizes of sets that are sure of SHARED signatures among their like, yet not with every small set that they link with.
+
+    Of the neighbouring keys that a small set takes signatures of, a key of its own parts two pairs, one of
+    the other set one; the other's left-out tail reaches as far as it is longer than what the small set leaves out.
+    """
+    out: set[int] = set()
+    if 2 * percent - 100 <= TAIL:
+        return frozenset()  # all sets are small
+    for n in itertools.takewhile(lambda n: sure_shared(n, percent) < SHARED, itertools.count(1)):
+        head = min(n, (200 - 2 * percent) * n // 100 + 2)
+        for m in range(n, n * 100 // percent + 1):
+            both = needed(n + m, percent)
+            if both <= n and sure_shared(m, percent) >= SHARED and head - 1 - 2 * (n - both) - (m - both) - max(0, TAIL * m // 100 - (n - head)) < SHARED:
+                out.add(m)
+    return frozenset(out)
+
+
+def flags(n: int, percent: int) -> int:
+    return SMALL if sure_shared(n, percent) < SHARED else FEW if n in few_sizes(percent) else 0
+
+
 def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]]) -> np.ndarray:
     """Hashes of neighbouring keys, of which linked sets share some.
 
@@ -256,7 +283,7 @@ def _grouped(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def _pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(u, v, shared signatures) of groups of 2 to GROUP nodes; pairs with a small set count as SHARED."""
     names, ids = np.unique(node, return_inverse=True)
-    small, class_ = size >= 128, (size & 127).astype(np.int16)
+    small, class_ = size >= SMALL, (size & 63).astype(np.int16)
     pairs, weights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for m in np.unique(counts[(counts > 1) & (counts <= GROUP)]).tolist():
         i, j = np.triu_indices(m, 1)
@@ -264,7 +291,7 @@ def _pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, counts: np.nd
         for lo in range(0, len(at), max(1, 2_000_000 // len(i))):
             part = at[lo : lo + max(1, 2_000_000 // len(i)), None]
             a, b = (part + i).ravel(), (part + j).ravel()
-            fits = np.abs(class_[a] - class_[b]) <= 1
+            fits = (class_[a] - class_[b] + 1) & 63 <= 2
             a, b = a[fits], b[fits]
             found, back = np.unique(ids[a] * len(names) + ids[b], return_inverse=True)
             pairs.append(found)
@@ -326,7 +353,7 @@ def _packed_rows(packed: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterat
 
 
 def _hubs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
-    return _rows(3, node, ((key >> np.uint64(24)).astype(np.int64) & ((1 << 40) - 1)) | HUB, None, np.where(size >= 128, SHARED, 1))
+    return _rows(3, node, ((key >> np.uint64(24)).astype(np.int64) & ((1 << 40) - 1)) | HUB, None, np.where(size >= FEW, SHARED, 1))
 
 
 def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int) -> DataFrame:
@@ -360,7 +387,7 @@ def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int
     def flush(held, part) -> Iterator[pa.RecordBatch]:
         lengths = np.array([len(p) for p, _, _ in held])
         whole = np.array([x for _, x, _ in held])
-        flagged = size_class(whole, percent) | np.where([sure_shared(x, percent) < SHARED for x in whole], 128, 0).astype(np.uint8)
+        flagged = size_class(whole, percent) & 63 | np.array([flags(x, percent) for x in whole.tolist()], np.uint8)
         key, sizes, node = np.concatenate([p for p, _, _ in held]), np.repeat(flagged, lengths), np.repeat(np.array([x for _, _, x in held], np.int64), lengths)
         order, starts, counts = _grouped(key, node)
         key, sizes, node = key[order], sizes[order], node[order]
@@ -444,7 +471,7 @@ def _join_postings(first: DataFrame, partitions: int) -> DataFrame:
 def _candidates(joined: DataFrame) -> DataFrame:
     """Edges (u, v) between classes that share enough signatures, or with the hubs of large groups."""
     member = joined.where("kind = 3").select("u", "v", "n").distinct()
-    # a pair without SHARED signatures in small groups has at least as many in large ones
+    # a pair without SHARED signatures in small groups has at least as many in large ones, or one if n is SHARED for both
     often = member.groupBy("u").agg(F.sum("n").alias("n")).where(F.col("n") >= SHARED).select("u")
     return joined.where("kind = 2").select("u", "v").unionByName(member.select("u", "v").join(often, "u", "left_semi"))
 

@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -226,6 +227,23 @@ def test_links_within_a_leaf():
             assert len(brute(turn)) > 8 and set(zip(i.tolist(), j.tolist())) == brute(turn)
 
 
+def test_a_small_and_a_larger_set_meet_in_large_groups_only(spark):
+    names = [f"k{i}" for i in range(2000)]
+    data, offsets = next((d, o) for _, _, d, o in byte_slices(pa.array(names)))
+    key = dict(zip(names, (int(k[0]) for k in jaccard_join.Shingles(1).sets(data, offsets))))
+    names.sort(key=key.get)
+    larger = names[0:80:10]
+    small = larger[:1] + larger[2:]
+    a, b = (np.sort(np.array([key[w] for w in s], np.uint64)) for s in (small, larger))
+    assert len(np.intersect1d(*(jaccard_join.signatures(x, 80, jaccard_join.tight_sizes(80)) for x in (a, b)))) == 2
+    rows = [(1, " ".join(small)), (2, " ".join(larger))] + [(1000 * j + i, f"{small[j]} {small[j + 1]} {names[100 + 150 * j + i]}") for j in (1, 2) for i in range(150)]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    first = jaccard_join._first_pass(table, spark.sparkContext.broadcast(()), 1, 80, 8)
+    roots = {r.node: r.root for r in jaccard_join.connected(jaccard_join._candidates(jaccard_join._join_postings(first, 4))).collect()}
+    u, v = (jaccard_join.node_of(jaccard_join.digest(k)) for k in (a, b))
+    assert u in roots and roots[u] == roots.get(v)
+
+
 def test_sentencepiece(spark, docs, none):
     import sentencepiece
 
