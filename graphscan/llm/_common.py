@@ -50,13 +50,26 @@ def persist(df: DataFrame, name: str) -> DataFrame:
 @contextlib.contextmanager
 def arrow_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
     """Limits the Arrow batches of jobs that run meanwhile."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n_bytes))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(n_bytes))
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        spark.conf.set(_BATCH, before)
+
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Bytes of an Arrow batch sent to a worker, where the session keeps Spark's own bound of 64 MB.
+BATCH_BYTES = 4 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound of Arrow batches, unless it is set to something else than Spark's own.
+
+    It must hold when a returned DataFrame runs, so it stays lowered.
+    """
+    if spark.conf.get(_BATCH) == "67108864b":
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -201,50 +214,103 @@ def lower_table() -> np.ndarray:
 LOWER = lower_table()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimiser's size of ``df``: that of the files behind it, without reading them; 0 if it cannot tell."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue())
+    except AttributeError:  # no classic session
+        return 0
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 class PieceCache:
-    """Ids of distinct pieces, found by 64-bit hash, begun anew when full."""
+    """Ids of distinct pieces, found by 64-bit hash.
+
+    When it is full, pieces that were met again since the last time stay and
+    the rest go, so its memory is bounded by ``limit`` and one slice's pieces.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.clear()
-
-    def clear(self) -> None:
-        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int64)
-        self.pool, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
-        self.flag = np.empty(0, bool)
-
-    def lookup(self, whole: str, cps: np.ndarray, starts: np.ndarray, stops: np.ndarray, encode) -> np.ndarray:
-        """Entry of each piece whole[start:stop]; ``encode`` gives (ids, sizes, flags) of the unseen ones."""
-        hashes = span_hashes(cps, starts, stops)
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hashes) > self.limit:
-            self.clear()
-        at = np.minimum(np.searchsorted(self.hashes, distinct), max(0, len(self.hashes) - 1))
-        known = self.hashes[at] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        fresh = np.flatnonzero(~known)
+        self.hashes, self.place = np.empty(0, np.uint64), np.empty(0, np.int32)
+        self.pool, self.begin, self.size = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.flag, self.used = np.empty(0, np.int8), np.empty(0, bool)
+
+    def _shrink(self, room: int) -> None:
+        keep = self.used if self.used.sum() + room <= self.limit else np.zeros(len(self.used), bool)
+        new = (np.cumsum(keep) - 1).astype(np.int32)
+        kept = keep[self.place]
+        self.hashes, self.place = self.hashes[kept], new[self.place[kept]]
+        self.pool = self.pool[ragged(self.begin[keep].astype(np.int64), self.size[keep])]
+        self.size, self.flag = self.size[keep], self.flag[keep]
+        self.begin = (np.cumsum(self.size) - self.size).astype(np.int32)
+        self.used = np.zeros(len(self.size), bool)
+
+    def lookup(self, pieces: pa.Array, encode) -> np.ndarray:
+        """Entry of each of the non-empty binary ``pieces``; ``encode`` gives (ids, sizes, flags) of a column of unseen ones."""
+        if not len(pieces):
+            return np.empty(0, np.int64)
+        coded = pieces.dictionary_encode()
+        names = coded.dictionary
+        bounds = np.frombuffer(names.buffers()[1], np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+        hashes = span_hashes(np.frombuffer(names.buffers()[2], np.uint8), bounds[:-1], bounds[1:])
+        if len(self.begin) + len(names) > self.limit:
+            self._shrink(len(names))
+        entry = np.full(len(names), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            entry[known] = self.place[at[known]]
+            self.used[entry[known]] = True
+        fresh = np.flatnonzero(entry < 0)
         if len(fresh):
-            spans = zip(starts[first[fresh]].tolist(), stops[first[fresh]].tolist())
-            ids, sizes, flags = encode([whole[a:b] for a, b in spans])
-            base = len(self.begin)
-            self.begin = np.concatenate([self.begin, len(self.pool) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
+            ids, sizes, flags = encode(names.take(pa.array(fresh)))
+            entry[fresh] = len(self.begin) + np.arange(len(fresh))
+            self.begin = np.concatenate([self.begin, (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
+            self.size = np.concatenate([self.size, sizes.astype(np.int32)])
             self.pool = np.concatenate([self.pool, ids.astype(np.uint32)])
-            self.flag = np.concatenate([self.flag, flags])
-            merged = np.concatenate([self.hashes, distinct[fresh]])
-            order = np.argsort(merged, kind="stable")
-            self.hashes = merged[order]
-            self.place = np.concatenate([self.place, base + np.arange(len(fresh))])[order]
-            at = np.searchsorted(self.hashes, distinct)
-        return self.place[at][back]
+            self.flag = np.concatenate([self.flag, flags.astype(np.int8)])
+            self.used = np.concatenate([self.used, np.zeros(len(fresh), bool)])
+            order = fresh[np.argsort(hashes[fresh])]
+            where = np.searchsorted(self.hashes, hashes[order])
+            self.hashes = np.insert(self.hashes, where, hashes[order])
+            self.place = np.insert(self.place, where, entry[order])
+        return entry[coded.indices.to_numpy()]
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of entries in a row, and their number per entry."""
-        counts = self.size[entries]
-        return self.pool[ragged(self.begin[entries], counts)], counts
+        counts = self.size[entries].astype(np.int64)
+        return self.pool[ragged(self.begin[entries].astype(np.int64), counts)], counts
+
+
+def pieces_of(whole: str, cps: np.ndarray, edges: np.ndarray) -> pa.Array:
+    """The pieces of a text between neighbouring ``edges`` (code points), as a binary column without copies."""
+    data = whole.encode("utf-8", "surrogatepass")
+    if len(data) != len(cps):
+        size = np.ones(len(cps), np.int8)
+        for least in (0x80, 0x800, 0x10000):
+            size += cps >= least
+        edges = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))[edges]
+    return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(data)])
+
+
+_kept: dict[tuple, object] = {}
+
+
+def once(key: tuple, make: Callable[[], object]):
+    """What ``make`` gave first for this key in this worker; later tasks of the worker find it again."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def library_threads(n: int = 2) -> None:
+    """Threads of the tokenizers library in this worker, where the environment says nothing; to be called before its first use."""
+    os.environ.setdefault("RAYON_NUM_THREADS", str(n))
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
 
 
 WORD_BYTES = np.zeros(256, bool)

@@ -10,12 +10,15 @@ Encoding.  No piece of such models holds the marker after another character,
 so a text is cut before each marker that follows one, and each part has its
 own best segmentation; for a model where that does not hold, texts are encoded
 whole.  The distinct parts of a slice are encoded in one multithreaded batch
-call (threads as ``RAYON_NUM_THREADS`` allows), kept in a bounded cache, and
-compared there with the SentencePiece library's own result (``verify``).
+call (threads as ``RAYON_NUM_THREADS`` allows, 2 if it is not set), kept in a
+bounded cache of the worker, and compared there with the SentencePiece
+library's own result (``verify``); a text with a part that this library never
+sees alone (a marker with nothing behind it) is compared whole.
 
 Cases.  A null or empty text has no ids and decodes to the empty text; texts
-of any length are encoded whole; repeated documents are each reported; extra
-columns are ignored.
+of any length are encoded whole; repeated documents are each reported, null
+doc_ids included; an empty table gives no rows; extra columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import PieceCache, code_points, map_arrow, ragged, string_slices
+from ._common import PieceCache, bounded_batches, code_points, library_threads, map_arrow, once, pieces_of, ragged, string_slices
 
 MARK = "▁"
+#: Bytes of text encoded at once.
+SLICE = 1_000_000
+#: Marks of parts: not as the SentencePiece library has them; not to be compared alone.
+UNLIKE, OPEN = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -131,9 +138,11 @@ def build_tokenizer(model: dict):
 class Codec:
     """Encodes and decodes batches of texts with one model file."""
 
-    CACHE = 800_000
+    #: Distinct parts kept per worker (about 40 bytes each).
+    CACHE = 400_000
 
     def __init__(self, path: str, verify: bool = False):
+        library_threads()
         with open(path, "rb") as source:
             data = source.read()
         self.model = parse_model(data)
@@ -163,15 +172,14 @@ class Codec:
             return (MARK if self.model["dummy_prefix"] and text else "") + text.replace(" ", MARK)
         return self._prepare.normalize_str(text) if text else ""
 
-    def _cuts(self, cps: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Starts and stops of the parts of normalised texts."""
+    def _cuts(self, cps: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Edges between the parts of normalised texts."""
         edge = np.zeros(len(cps) + 1, bool)
         edge[offsets] = True
         if self.by_part and len(cps):
             mark = cps == ord(MARK)
             edge[1:-1] |= mark[1:] & ~mark[:-1]
-        starts = np.flatnonzero(edge[:-1])
-        return starts, np.append(starts[1:], len(cps))
+        return np.flatnonzero(edge)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All ids one after another, ids per text, and parts per text that differ from the SentencePiece library's."""
@@ -179,25 +187,33 @@ class Codec:
         whole = "".join(normal)
         cps = code_points(whole)
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in normal])))
-        starts, stops = self._cuts(cps, offsets)
+        edges = self._cuts(cps, offsets)
         # a text's ids lie between the ids of its first and of the next text's first part
-        entries = self.cache.lookup(whole, cps, starts, stops, self._fresh) if len(starts) else np.empty(0, np.int64)
+        entries = self.cache.lookup(pieces_of(whole, cps, edges), self._fresh) if len(edges) > 1 else np.empty(0, np.int64)
         ids, counts = self.cache.ids(entries)
-        first = np.searchsorted(starts, offsets)
-        sizes = np.diff(np.concatenate(([0], np.cumsum(counts)))[first])
-        wrong = np.diff(np.concatenate(([0], np.cumsum(self.cache.flag[entries])))[first])
-        return ids.astype(np.int32), sizes.astype(np.int64), wrong.astype(np.int64)
-
-    def _fresh(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-        unlike = np.zeros(len(parts), bool)
+        first = np.searchsorted(edges[:-1], offsets)
+        bounds = np.concatenate(([0], np.cumsum(counts)))[first]
+        flag = self.cache.flag[entries]
+        wrong = np.diff(np.concatenate(([0], np.cumsum(flag == UNLIKE)))[first])
+        for i in np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(flag == OPEN)))[first])).tolist():
+            wrong[i] += self.reference.encode(texts[i]) != ids[bounds[i] : bounds[i + 1]].tolist()
+        return ids.astype(np.int32), np.diff(bounds).astype(np.int64), wrong.astype(np.int64)
+
+    def _fresh(self, unseen: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        parts = unseen.cast(pa.string()).to_pylist()
+        got = [x.ids for lo in range(0, len(parts), 20_000) for x in self.tokenizer.encode_batch_fast(parts[lo : lo + 20_000], add_special_tokens=False)]
+        flags = np.zeros(len(parts), np.int8)
         if self.reference is not None:
             prefix = self.model["dummy_prefix"]
-            at = [i for i, p in enumerate(parts) if not prefix or p.startswith(MARK) and len(p) > 1]
+            for i, part in enumerate(parts):
+                if prefix and not (part.startswith(MARK) and len(part) > 1):
+                    flags[i] = OPEN
+            at = np.flatnonzero(flags == 0).tolist()
             for i, own in zip(at, self.reference.encode([parts[i][prefix:].replace(MARK, " ") for i in at], num_threads=1)):
-                unlike[i] = own != got[i]
+                if own != got[i]:
+                    flags[i] = UNLIKE
         sizes = np.array([len(x) for x in got], np.int64)
-        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes, unlike
+        return np.fromiter((i for x in got for i in x), np.uint32, int(sizes.sum())), sizes, flags
 
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[str]:
         """Texts of ids: pieces' bytes in a row, the marker a space, the dummy prefix dropped."""
@@ -214,14 +230,12 @@ class Codec:
 
 def encode_documents(documents: DataFrame, model_path: str, verify: bool = True) -> DataFrame:
     """Per document: ids, their number, byte-fallback ids, decoded text's CRC and whether it restores the normalised text, parts unlike the SentencePiece library's."""
-    made: list[Codec] = []
+    bounded_batches(documents.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Codec(model_path, verify))
-        codec = made[0]
+        codec = once(("codec", model_path, verify), lambda: Codec(model_path, verify))
         ids, sizes, wrong, fallback, crc, same = [], [], [], [], [], []
-        for _, _, texts in string_slices(batch.column(1)):
+        for _, _, texts in string_slices(batch.column(1), SLICE):
             got, n, bad = codec.encode(texts)
             bounds = np.concatenate(([0], np.cumsum(n)))
             fallback.append(np.diff(np.concatenate(([0], np.cumsum(codec.is_byte[got])))[bounds]))
@@ -245,13 +259,12 @@ def encode_documents(documents: DataFrame, model_path: str, verify: bool = True)
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
     """doc_id and text of rows (doc_id, ids)."""
-    made: list[Codec] = []
+    bounded_batches(encoded.sparkSession)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not made:
-            made.append(Codec(model_path))
+        codec = once(("codec", model_path, False), lambda: Codec(model_path))
         lists = [x or [] for x in batch.column(1).to_pylist()]
-        texts = made[0].decode(np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64)) if lists else []
+        texts = codec.decode(np.array([i for x in lists for i in x], np.int64), np.array([len(x) for x in lists], np.int64)) if lists else []
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return map_arrow(encoded.selectExpr("cast(doc_id as long) as doc_id", "ids"), work, "doc_id long, text string")

@@ -2,29 +2,36 @@
 
 Format.  The ids of a file are cut into blocks of 128.  A block stores its
 minimum, the width that covers a percentile of its values less the minimum
-(that of ``PERCENTILES`` which makes the block smallest), those values' low bits packed at that width, and a list of exceptions
-(position and high bits) for the rest.  A table of block starts, with
-minimum, width and exception count, allows any block to be read alone; a
-table of documents holds each document's id and first id position.
+(that of ``PERCENTILES`` which makes the block smallest), those values' low
+bits packed at that width, and a list of exceptions (position and high bits)
+for the rest.  The blocks come first, so a file is written as its ids come;
+behind them a table of block starts, with minimum, width and exception count,
+allows any block to be read alone, and a table of documents holds each
+document's id and first id position.
 
 Tokenising.  Byte-level BPE works on each piece of a fixed pre-split alone, so
 a text is split by vectorised character classes, its distinct pieces are
-encoded by the tokenizers library (once per worker, in a bounded cache), and
+encoded by the tokenizers library (kept in a bounded cache of the worker), and
 the ids are gathered by piece.  Documents with characters outside the classes
 that are handled, with contractions, or with the literal of an added token
 (which has its own id, as the library gives it), go through the library whole.
 
-Scale.  One range partitioning by doc_id; each task sorts, encodes and writes
-its own file, under a name no other attempt uses, and reports it; only
-reported files are read.  Positions before a file come from sums per file.
+Scale.  One range partitioning by doc_id (then by a hash of the text and a
+random number, so that a hot or null id is split too), into as many parts as
+the table's size asks for; each task sorts, encodes and writes its own file,
+under a name no other attempt uses, and reports it; only reported files are
+read.  A task holds one group of blocks, not its file.  Positions before a
+file come from sums per file; each file is read by ranges of blocks.
 
 Cases.  A null text is empty (only the end id); null doc_ids come first;
-repeated doc_ids are ordered by text; an empty table gives no rows; extra
-columns are ignored.
+repeated doc_ids stand in the order of a hash of their text; an empty table
+gives no rows; texts of any length are encoded whole; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import io
 import struct
 import unicodedata
 import uuid
@@ -38,12 +45,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import PieceCache, code_points, persist, ragged, shared_dir, string_slices
+from ._common import PieceCache, bounded_batches, code_points, estimated_bytes, library_threads, once, persist, pieces_of, ragged, shared_dir, string_slices
 
 BLOCK = 128
 #: Percentiles of a block's values whose widths are tried; the smallest block wins.
 PERCENTILES = (75, 90, 95, 98, 100)
-MAGIC = b"PFOR0001"
+MAGIC = b"PFOR0002"
+#: Bytes of text encoded at once, and bytes of input (as the optimiser sees them) that a task should get.
+SLICE, PART_BYTES = 1_000_000, 128 << 20
 
 # ---------------------------------------------------------------- blocks
 
@@ -71,16 +80,64 @@ def _bit_length(values: np.ndarray) -> np.ndarray:
 
 
 #: Ids that are packed at once, which bounds the temporary arrays.
-GROUP = BLOCK << 11
+GROUP = BLOCK << 10
 
 
 def encode_blocks(ids: np.ndarray) -> bytes:
-    """The blocks of one file with their table of starts."""
-    ids = np.ascontiguousarray(ids, np.uint32)
-    parts = [_pack_group(ids[i : i + GROUP]) for i in range(0, len(ids), GROUP)]
-    sizes = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
-    columns = [(np.cumsum(sizes) - sizes).astype("<u8").tobytes()] + [b"".join(p[k] for p in parts) for k in (1, 2, 3, 4)]
-    return b"".join([struct.pack("<QQ", len(ids), len(sizes)), *columns])
+    """A file of ids without documents."""
+    out = io.BytesIO()
+    writer = FileWriter(out)
+    writer.add([], np.empty(0, np.int64), np.ascontiguousarray(ids, np.uint32))
+    writer.close()
+    return out.getvalue()
+
+
+class FileWriter:
+    """Writes a token file to a stream as ids come; it holds less than a group of them, and the tables."""
+
+    def __init__(self, out):
+        self.out, self.held, self.n_held = out, [], 0
+        self.n_ids, self.n_docs, self.body = 0, 0, 0
+        self.blocks: list[tuple[np.ndarray, bytes, bytes, bytes]] = []
+        self.has: list[bytes] = []
+        self.ids: list[bytes] = []
+        self.firsts: list[bytes] = []
+        out.write(MAGIC)
+
+    def add(self, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> None:
+        self.has.append(np.array([x is not None for x in doc_ids], np.uint8).tobytes())
+        self.ids.append(np.array([x or 0 for x in doc_ids], "<i8").tobytes())
+        self.firsts.append((self.n_ids + np.cumsum(lengths) - lengths).astype("<u8").tobytes())
+        self.n_docs += len(doc_ids)
+        self.n_ids += len(ids)
+        self.held.append(ids)
+        self.n_held += len(ids)
+        if self.n_held >= GROUP:
+            self._pack(self.n_held // GROUP * GROUP)
+
+    def _pack(self, n: int) -> None:
+        whole = np.concatenate(self.held)
+        for lo in range(0, n, GROUP):
+            sizes, low, width, n_out, body = _pack_group(whole[lo : min(n, lo + GROUP)])
+            self.blocks.append((sizes, low, width, n_out))
+            self.out.write(body)
+            self.body += len(body)
+        self.held, self.n_held = [whole[n:].copy()], len(whole) - n
+
+    def close(self) -> None:
+        if self.n_held:
+            self._pack(self.n_held)
+        sizes = np.concatenate([b[0] for b in self.blocks]) if self.blocks else np.empty(0, np.int64)
+        self.out.write((np.cumsum(sizes) - sizes).astype("<u8").tobytes())
+        for k in (1, 2, 3):
+            self.out.write(b"".join(b[k] for b in self.blocks))
+        for table in (self.has, self.ids, self.firsts):
+            self.out.write(b"".join(table))
+        self.out.write(struct.pack(TRAILER, self.n_ids, len(sizes), self.n_docs, self.body) + MAGIC)
+
+
+#: Ids, blocks, documents and bytes of all blocks, before a second MAGIC at the end.
+TRAILER = "<QQQQ"
 
 
 def _pack_group(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes, bytes]:
@@ -112,27 +169,44 @@ def _pack_group(ids: np.ndarray) -> tuple[np.ndarray, bytes, bytes, bytes, bytes
 
 
 class BlockReader:
-    """Reads all ids, or those from block i to block j, of encoded blocks."""
-
-    def __init__(self, data: bytes):
-        self.n, self.n_blocks = struct.unpack_from("<QQ", data)
-        at, k = 16, self.n_blocks
-        self.starts = np.frombuffer(data, "<u8", k, at).astype(np.int64)
-        self.low = np.frombuffer(data, "<u4", k, at + 8 * k)
-        self.width = np.frombuffer(data, np.uint8, k, at + 12 * k)
-        self.n_out = np.frombuffer(data, np.uint8, k, at + 13 * k)
-        self.body = np.frombuffer(data, np.uint8, offset=at + 14 * k)
+    """Reads any run of blocks or ids of a seekable file; of the rest it holds the tables only."""
+
+    def __init__(self, source):
+        tail = struct.calcsize(TRAILER) + len(MAGIC)
+        source.seek(0, 2)
+        end = source.tell()
+        source.seek(max(0, end - tail))
+        last = source.read(tail)
+        if end < tail + len(MAGIC) or last[-len(MAGIC) :] != MAGIC:
+            raise ValueError("not a token file")
+        self.source = source
+        self.n, k, n_docs, self.size = struct.unpack(TRAILER, last[: -len(MAGIC)])
+        self.n_blocks = k
+        source.seek(len(MAGIC) + self.size)
+        data = source.read(14 * k + 17 * n_docs)
+        self.starts = np.append(np.frombuffer(data, "<u8", k).astype(np.int64), self.size)
+        self.low = np.frombuffer(data, "<u4", k, 8 * k)
+        self.width = np.frombuffer(data, np.uint8, k, 12 * k)
+        self.n_out = np.frombuffer(data, np.uint8, k, 13 * k)
+        at = 14 * k
+        self.has = np.frombuffer(data, np.uint8, n_docs, at).astype(bool)
+        self.doc_ids = np.frombuffer(data, "<i8", n_docs, at + n_docs)
+        #: Where each document's ids begin, and where the last one's end.
+        self.firsts = np.append(np.frombuffer(data, "<u8", n_docs, at + 9 * n_docs).astype(np.int64), self.n)
 
     def blocks(self, lo: int, hi: int) -> np.ndarray:
         """Ids of blocks lo..hi-1 (the last block's padding left out)."""
-        starts, width, n_out = self.starts[lo:hi], self.width[lo:hi], self.n_out[lo:hi].astype(np.int64)
+        begin, end = int(self.starts[lo]), int(self.starts[hi])
+        self.source.seek(len(MAGIC) + begin)
+        body = np.frombuffer(self.source.read(end - begin), np.uint8)
+        starts, width, n_out = self.starts[lo:hi] - begin, self.width[lo:hi], self.n_out[lo:hi].astype(np.int64)
         out = np.zeros((hi - lo, BLOCK), np.uint32)
         for w in np.unique(width).tolist():
             rows = np.flatnonzero(width == w)
-            packed = self.body[ragged(starts[rows], np.full(len(rows), 16 * w))].reshape(len(rows), 16 * w)
+            packed = body[ragged(starts[rows], np.full(len(rows), 16 * w))].reshape(len(rows), 16 * w)
             out[rows] = unpack_bits(packed, w)
         if n_out.sum():
-            patch = self.body[ragged(starts + 16 * width.astype(np.int64), 5 * n_out)].reshape(-1, 5)
+            patch = body[ragged(starts + 16 * width.astype(np.int64), 5 * n_out)].reshape(-1, 5)
             block = np.repeat(np.arange(hi - lo), n_out)
             high = np.ascontiguousarray(patch[:, 1:]).view("<u4").ravel().astype(np.uint64) << width[block].astype(np.uint64)
             out[block, patch[:, 0]] |= high.astype(np.uint32)
@@ -144,26 +218,12 @@ class BlockReader:
         lo, hi = first // BLOCK, -(-last // BLOCK)
         return self.blocks(lo, hi)[first - lo * BLOCK : last - lo * BLOCK] if last > first else np.empty(0, np.uint32)
 
-
-def encode_file(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """MAGIC, document table (has id, id, first position), blocks."""
-    n = len(doc_ids)
-    return b"".join([
-        MAGIC, struct.pack("<Q", n), np.array([x is not None for x in doc_ids], np.uint8).tobytes(), np.array([x or 0 for x in doc_ids], "<i8").tobytes(),
-        (np.cumsum(lengths) - lengths).astype("<u8").tobytes(), encode_blocks(ids),
-    ])
-
-
-def decode_file(data: bytes) -> tuple[list[int | None], np.ndarray, BlockReader]:
-    """Document ids, first positions (and the end), reader of ids."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a token file")
-    (n,) = struct.unpack_from("<Q", data, 8)
-    has = np.frombuffer(data, np.uint8, n, 16)
-    ids = np.frombuffer(data, "<i8", n, 16 + n)
-    reader = BlockReader(data[16 + 17 * n :])
-    firsts = np.append(np.frombuffer(data, "<u8", n, 16 + 9 * n).astype(np.int64), reader.n)
-    return [x if h else None for x, h in zip(ids.tolist(), has.tolist())], firsts, reader
+    def crc(self, first: int, last: int, step: int = 1 << 20) -> int:
+        """crc32 of ids first..last-1 as little-endian 32-bit integers, some at a time."""
+        value = 0
+        for lo in range(first, last, step):
+            value = zlib.crc32(self.ids(lo, min(last, lo + step)).astype("<u4").tobytes(), value)
+        return value
 
 
 # ------------------------------------------------------------- tokenising
@@ -181,23 +241,38 @@ def _classes() -> np.ndarray:
     return table
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it is printable, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class PieceEncoder:
     """Ids of texts by one tokenizers-library file, piece by piece."""
 
-    #: Distinct pieces kept per worker before the cache starts anew.
-    CACHE = 1_000_000
+    #: Distinct pieces kept per worker (about 40 bytes each).
+    CACHE = 600_000
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        library_threads(1)
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values() if x.content]
-        #: Whether pieces in a row may make up an added token that none of them holds.
-        self.crossing = any(" " in x[1:] for x in self.added)
         pre = self.tokenizer.pre_tokenizer
         self.by_piece = pre is not None and "ByteLevel(add_prefix_space=False" in repr(pre) and self.tokenizer.normalizer is None
         self.classes = _classes()
         self.cache = PieceCache(self.CACHE)
+        #: The same model for pieces that are split already, parted by blanks (which the byte letters lack).
+        self.split = Tokenizer(self.tokenizer.model)
+        self.split.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        if hasattr(self.split.model, "_resize_cache"):
+            self.split.model._resize_cache(0)  # pieces are told apart here; the library's own cache would only grow
+        self.letters = byte_letters()
+        #: Bytes of each id's token, by which the ids of pieces in a row are told apart.
+        size = self.tokenizer.get_vocab_size()
+        self.token_size = np.array([len(self.tokenizer.id_to_token(i) or "") for i in range(size)], np.int64)
 
     def library(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -227,12 +302,12 @@ class PieceEncoder:
                 i = int(np.searchsorted(offsets, at, "right")) - 1
                 odd[i] = True
                 at = whole.find(token, max(at + 1, int(ends[i]) + 1 - len(token)))
-        starts, stops = self._pieces(cps, kind, offsets, ends)
-        doc = np.searchsorted(offsets, starts, "right") - 1
+        edges, keep = self._pieces(cps, kind, offsets, ends)
+        doc = np.searchsorted(offsets, edges[:-1], "right") - 1
         if odd.any():
-            keep = ~odd[doc]
-            starts, stops, doc = starts[keep], stops[keep], doc[keep]
-        ids, counts = self.cache.ids(self.cache.lookup(whole, cps, starts, stops, self._fresh))
+            keep &= ~odd[doc]
+        doc = doc[keep]
+        ids, counts = self.cache.ids(self.cache.lookup(pieces_of(whole, cps, edges).filter(pa.array(keep)), self._fresh))
         per_text = np.bincount(doc, counts, len(texts)).astype(np.int64)
         if odd.any():
             which = np.flatnonzero(odd)
@@ -247,9 +322,8 @@ class PieceEncoder:
 
     @staticmethod
     def _pieces(cps, kind, offsets, ends):
-        """Starts and stops of the pieces: letter, number and other runs, each with one space before it; and runs of white space."""
+        """Edges between the pieces (letter, number and other runs, each with one space before it; runs of white space), and which are no separators."""
         n = len(cps)
-        inner = np.ones(n + 1, bool)
         cut = np.zeros(n + 1, bool)
         if n:
             cut[1:n] = kind[1:] != kind[:-1]
@@ -266,81 +340,66 @@ class PieceEncoder:
         cut[:n] |= before
         joined = np.flatnonzero(before & (cps == 32)) + 1
         cut[joined] = False
-        starts = np.flatnonzero(cut[:n])
-        stops = np.append(starts[1:], n)
-        separator = np.zeros(n, bool)
+        edges = np.flatnonzero(cut)
+        separator = np.zeros(n + 1, bool)
         separator[ends[:-1]] = True
-        keep = ~separator[starts]
-        return starts[keep], stops[keep]
-
-    def _fresh(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Ids and their number for each piece.
-
-        Pieces of a space and letters split back into themselves when they
-        stand in a row, so they are encoded many to a text.
-        """
-        plain = np.array([not self.crossing and len(x) > 1 and x[0] == " " and x[1:].isalpha() for x in pieces])
-        sizes = np.zeros(len(pieces), np.int64)
-        parts: dict[bool, np.ndarray] = {}
-        chosen = [pieces[i] for i in np.flatnonzero(plain).tolist()]
-        groups = [chosen[i : i + 500] for i in range(0, len(chosen), 500)]
-        ids, counts = [], []
-        for group, got in zip(groups, self.tokenizer.encode_batch(["".join(g) for g in groups], add_special_tokens=False)):
-            per = np.bincount(np.array(got.word_ids, np.int64), minlength=len(group))
-            if len(per) != len(group):
-                raise RuntimeError("pieces were split anew")
-            ids.append(np.array(got.ids, np.uint32))
-            counts.append(per)
-        sizes[plain] = np.concatenate(counts) if counts else 0
-        parts[True] = np.concatenate(ids) if ids else np.empty(0, np.uint32)
-        rest = self.library([pieces[i] for i in np.flatnonzero(~plain).tolist()])
-        sizes[~plain] = [len(x) for x in rest]
-        parts[False] = np.fromiter((i for x in rest for i in x), np.uint32)
-        out = np.empty(int(sizes.sum()), np.uint32)
-        firsts = np.cumsum(sizes) - sizes
-        for which, mask in ((True, plain), (False, ~plain)):
-            out[ragged(firsts[mask], sizes[mask])] = parts[which]
-        return out, sizes, np.zeros(len(sizes), bool)
+        return edges, ~separator[edges[:-1]]
+
+    def _fresh(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids and their number for each piece, which are given to the library in its byte letters, many to a text."""
+        n = len(pieces)
+        bounds = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset : pieces.offset + n + 1]
+        data = pieces.buffers()[2].to_pybytes()[bounds[0] : bounds[-1]].decode("latin-1").translate(self.letters)
+        at = (bounds - bounds[0]).tolist()
+        ids = []
+        for lo in range(0, n, 16_384):
+            some = [" ".join([data[a:b] for a, b in zip(at[i : i + 64], at[i + 1 : min(i + 64, n) + 1])]) for i in range(lo, min(n, lo + 16_384), 64)]
+            ids.append(np.concatenate([np.array(x.ids, np.uint32) for x in self.split.encode_batch_fast(some, add_special_tokens=False)]))
+        flat = np.concatenate(ids) if ids else np.empty(0, np.uint32)
+        ends = np.cumsum(self.token_size[flat])
+        last = np.searchsorted(ends, bounds[1:] - bounds[0])
+        if n and (last[-1] + 1 != len(ends) or not np.array_equal(ends[last], bounds[1:] - bounds[0])):
+            raise RuntimeError("a token spans two pieces")
+        return flat, np.diff(last, prepend=-1), np.zeros(n, bool)
 
 
 # ----------------------------------------------------------------- Spark
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2) -> DataFrame:
+def write_token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2, part_bytes: int = PART_BYTES) -> DataFrame:
     """Encode documents in ascending doc_id order into files; a manifest row per file.
 
     Columns: part (file number in order), path, n_docs, n_ids.
     """
     spark = documents.sparkSession
+    bounded_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
-    ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made: list[PieceEncoder] = []
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(documents) // part_bytes))
+    keyed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", F.xxhash64("text").alias("key"), "text", F.rand(7).alias("salt"))
+    ordered = keyed.repartitionByRange(parts, "doc_id", "key", "salt").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.append(PieceEncoder(tokenizer_path))
-        doc_ids, lengths, ids = [], [], []
+        encoder = once(("token encoder", tokenizer_path), lambda: PieceEncoder(tokenizer_path))
+        writer, stream, path = None, None, ""
         for batch in batches:
-            doc_ids += batch.column(0).to_pylist()
-            for _, _, texts in string_slices(batch.column(1)):
-                got, sizes = made[0].encode(texts)
+            if writer is None and batch.num_rows:
+                path = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.pfor"
+                fs, local = pafs.FileSystem.from_uri(path)
+                fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+                stream = fs.open_output_stream(local)
+                writer = FileWriter(stream)
+            doc_ids = batch.column(0).to_pylist()
+            for lo, hi, texts in string_slices(batch.column(1), SLICE):
+                got, sizes = encoder.encode(texts)
                 out = np.full(len(got) + len(sizes), end_id, np.uint32)
                 out[ragged(np.cumsum(sizes + 1) - sizes - 1, sizes)] = got
-                lengths.append(sizes + 1)
-                ids.append(out)
-        if not doc_ids:
-            return
-        part = TaskContext.get().partitionId()
-        data = encode_file(doc_ids, np.concatenate(lengths), np.concatenate(ids))
-        path = f"{folder}/{part:06d}-{uuid.uuid4().hex}.pfor"
-        fs, local = pafs.FileSystem.from_uri(path)
-        fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
-        with fs.open_output_stream(local) as out:
-            out.write(data)
-        yield pa.RecordBatch.from_pydict({"part": [part], "path": [path], "n_docs": [len(doc_ids)], "n_ids": [int(sum(x.sum() for x in lengths))]})
-
-    manifest = ordered.mapInArrow(run, "part long, path string, n_docs long, n_ids long")
-    return persist(manifest, "token-manifest")
+                writer.add(doc_ids[lo:hi], sizes + 1, out)
+        if writer is not None:
+            writer.close()
+            stream.close()
+            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [path], "n_docs": [writer.n_docs], "n_ids": [writer.n_ids]})
+
+    return persist(ordered.mapInArrow(run, "part long, path string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -360,25 +419,33 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 fs, local = pafs.FileSystem.from_uri(path)
-                with fs.open_input_stream(local) as source:
-                    doc_ids, firsts, reader = decode_file(source.read())
-                lengths = np.diff(firsts)
-                crcs = np.empty(len(doc_ids), np.int64)
-                lo = 0
-                while lo < len(doc_ids):  # a bounded run of ids at a time
-                    hi = max(lo + 1, int(np.searchsorted(firsts, firsts[lo] + (1 << 20), "right")) - 1)
-                    raw = memoryview(reader.ids(int(firsts[lo]), int(firsts[hi])).astype("<u4").tobytes())
-                    for i in range(lo, hi):
-                        crcs[i] = zlib.crc32(raw[4 * int(firsts[i] - firsts[lo]) : 4 * int(firsts[i + 1] - firsts[lo])])
-                    lo = hi
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64()), pa.array(base + firsts[:-1], pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                with fs.open_input_file(local) as source:
+                    yield from _documents(BlockReader(source), base)
 
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def _documents(reader: BlockReader, base: int, step: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Rows of a file's documents; about ``step`` ids are in memory at a time, also of one long document."""
+    firsts, lo = reader.firsts, 0
+    while lo < len(reader.doc_ids):
+        hi = max(lo + 1, int(np.searchsorted(firsts, firsts[lo] + step, "right")) - 1)
+        if hi == lo + 1:
+            crcs = [reader.crc(int(firsts[lo]), int(firsts[hi]), step)]
+        else:
+            raw = memoryview(reader.ids(int(firsts[lo]), int(firsts[hi])).astype("<u4").tobytes())
+            at = (4 * (firsts[lo : hi + 1] - firsts[lo])).tolist()
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(at, at[1:])]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(reader.doc_ids[lo:hi], pa.int64(), mask=~reader.has[lo:hi]), pa.array(base + firsts[lo:hi], pa.int64()), pa.array(np.diff(firsts[lo : hi + 1]), pa.int64()),
+                pa.array(crcs, pa.int64()),
+            ],
+            ["doc_id", "start", "n_tokens", "ids_crc32"],
+        )
+        lo = hi
+
+
 def token_files(documents: DataFrame, tokenizer_path: str, folder: str | None = None, end_id: int = 2) -> DataFrame:
     """Write the files and report each document as read back from them."""
     return read_token_files(write_token_files(documents, tokenizer_path, folder, end_id))

@@ -1,5 +1,6 @@
 """Each operator on rows that are null, empty, repeated, very long or few, and against brute force."""
 
+import io
 import random
 import re
 import zlib
@@ -272,7 +273,7 @@ def test_token_files(docs, none, tmp_path):
         at += len(ids)
     assert token_files.token_files(none, path, f"file://{tmp_path}/none").count() == 0
     ids = np.array([5] * 100 + [10**6] + list(range(300)), np.uint32)
-    reader = token_files.BlockReader(token_files.encode_blocks(ids))
+    reader = token_files.BlockReader(io.BytesIO(token_files.encode_blocks(ids)))
     assert (reader.blocks(0, reader.n_blocks) == ids).all() and (reader.ids(90, 260) == ids[90:260]).all()
 
 
