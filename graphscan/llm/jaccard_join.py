@@ -71,7 +71,11 @@ SHARED = 3
 #: Sets under one signature up to which it gives pairs; a larger group is joined by a hub.
 GROUP = 128
 #: Signatures that a task sends at once.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
+#: Bytes of postings that a bucket holds before surplus members of large groups are passed on.
+HELD_BYTES = 64 << 20
+#: Leaves on each side of a tile, the unit in which pairs of leaves are compared.
+TILE = 8
 HUB = 1 << 50
 #: Marks in a posting's byte beside the size class (modulo 64): see ``flags``.
 SMALL, FEW = 128, 64
@@ -202,7 +206,7 @@ def flags(n: int, percent: int) -> int:
     return SMALL if sure_shared(n, percent) < SHARED else FEW if n in few_sizes(percent) else 0
 
 
-def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]]) -> np.ndarray:
+def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]], exact: bool = False) -> np.ndarray:
     """Hashes of neighbouring keys, of which linked sets share some.
 
     Let u be the size of the union, in the order of keys, and d the number of
@@ -216,7 +220,8 @@ def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]]) -> n
     one such place at most) and keep of the rest, by hash, a share that leaves
     ``EXPECTED`` of the least possible number.  Two linked sets share fewer
     than 5 of these with a probability under 1e-10 at the very threshold and in
-    the worst order of keys.  Smaller sets keep all; those too small to be sure
+    the worst order of keys; with ``exact`` all are kept, which leaves nothing
+    to chance.  Smaller sets keep all; those too small to be sure
     of ``SHARED`` need one, which is among the first (2 - percent/50) n + 2 keys
     of either, and the smallest give one for each subset that can be the whole
     intersection.  Up to 50 percent every key of the usual prefix is one.
@@ -228,7 +233,7 @@ def signatures(keys: np.ndarray, percent: int, tight: dict[int, list[int]]) -> n
     head = keys[: n - TAIL * n // 100] if sure >= SHARED else keys[: (200 - 2 * percent) * n // 100 + 2]
     mixed = mix64(head)
     out = mix64(mixed[:-1] * _FACTORS[1] + mixed[1:])
-    if sure > EXPECTED:
+    if sure > EXPECTED and not exact:
         return out[out < np.uint64(EXPECTED / sure * 2.0**64)]
     if n in tight:
         mixed = mix64(keys)
@@ -334,9 +339,9 @@ def _rows(kind: int, u, v=None, name=None, n=None) -> pa.RecordBatch:
     )
 
 
-def _to_bucket(rows: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
+def _to_bucket(rows: pa.RecordBatch, bucket: int | np.ndarray) -> pa.RecordBatch:
     k = rows.num_rows
-    return pa.RecordBatch.from_arrays([pa.array(np.full(k, bucket), pa.int32()), *rows.columns, pa.nulls(k, pa.binary())], names=["bucket", *rows.schema.names, "packed"])
+    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(bucket, k), pa.int32()), *rows.columns, pa.nulls(k, pa.binary())], names=["bucket", *rows.schema.names, "packed"])
 
 
 def _packed_rows(packed: np.ndarray, bucket: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -356,7 +361,7 @@ def _hubs(key: np.ndarray, node: np.ndarray, size: np.ndarray) -> pa.RecordBatch
     return _rows(3, node, ((key >> np.uint64(24)).astype(np.int64) & ((1 << 40) - 1)) | HUB, None, np.where(size >= FEW, SHARED, 1))
 
 
-def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int) -> DataFrame:
+def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int, exact: bool = False) -> DataFrame:
     """Rows of documents (kind 0: doc_id, text key, class, size), packed postings (kind 1) and members of large groups (kind 3)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,7 +379,7 @@ def _first_pass(documents: DataFrame, shared, n: int, percent: int, buckets: int
                     counts.append(len(keys))
                     if len(keys) and name not in seen:
                         seen.add(name)
-                        signs = signatures(keys, percent, tight)
+                        signs = signatures(keys, percent, tight, exact)
                         held.append((signs, len(keys), node_of(name)))
                         size += len(signs)
                         if size >= FLUSH:
@@ -433,23 +438,41 @@ def _join_postings(first: DataFrame, partitions: int) -> DataFrame:
         wide[:, : part.shape[1]] = part
         return wide.view("<i8").ravel().copy()
 
+    def trimmed() -> Iterator[pa.RecordBatch]:
+        """Surplus members of large groups among ``blobs``, as hub rows; at most GROUP + 1 of each signature stay."""
+        packed = unpacked(12)
+        key, size, node = number(packed[:, :5]).view(np.uint64), packed[:, 5], number(packed[:, 6:])
+        order, starts, counts = _grouped(key, node)
+        beyond = np.arange(len(order)) - np.repeat(starts, counts) > GROUP
+        if beyond.any():
+            out = order[beyond]
+            yield _to_bucket(_hubs(key[out] << np.uint64(24), node[out], size[out]), spread(node[out]))
+        blobs.append(packed[order[~beyond]].tobytes())
+
+    def spread(node: np.ndarray) -> np.ndarray:
+        return (mix64(node.astype(np.uint64)) % np.uint64(4 * partitions)).astype(np.int64)
+
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs.clear()
-        yield from split(batches)
+        limit = HELD_BYTES
+        for batch in batches:
+            yield from split([batch])
+            if sum(map(len, blobs)) > limit:
+                yield from trimmed()
+                limit = max(HELD_BYTES, 2 * len(blobs[0]))
         packed = unpacked(12)
         key, size, node = number(packed[:, :5]).view(np.uint64), packed[:, 5].copy(), number(packed[:, 6:])
         order, starts, counts = _grouped(key, node)
         key, node, size = key[order], node[order], size[order]
         large = np.repeat(counts > GROUP, counts)
         if large.any():
-            yield _to_bucket(_hubs(key[large] << np.uint64(24), node[large], size[large]), 0)
+            yield _to_bucket(_hubs(key[large] << np.uint64(24), node[large], size[large]), spread(node[large]))
         u, v, shared = _pairs(node, size, starts, counts)
         out = np.empty((len(u), 13), np.uint8)
         out[:, :6] = u.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
         out[:, 6:12] = v.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
         out[:, 12] = np.minimum(shared, SHARED)
-        bucket = (mix64(u.astype(np.uint64)) % np.uint64(4 * partitions)).astype(np.int64)
-        yield from _packed_rows(out, bucket, 4 * partitions)
+        yield from _packed_rows(out, spread(u), 4 * partitions)
 
     def add_up(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs.clear()
@@ -693,37 +716,59 @@ def _leaves(rows: DataFrame, shared, n: int, percent: int) -> DataFrame:
 
 
 def _across(leaves: DataFrame, percent: int) -> DataFrame:
-    """Links between different leaves of a component."""
-    box = leaves.select("comp", "leaf", "low", "high", "box")
-    x, y = box.toDF("comp", "x", "x_low", "x_high", "x_box"), box.toDF("comp", "y", "y_low", "y_high", "y_box")
+    """Links between different leaves of a component.
+
+    Leaves stand in order of size in tiles of ``TILE``; a leaf goes once to
+    every pair of tiles that has a pair of leaves of its to compare.  Only the
+    bounds of leaves (one row for some hundred sets) meet by component.
+    """
+    box = leaves.select("comp", "leaf", "low", "high", "box", F.floor((F.row_number().over(W.partitionBy("comp").orderBy("low", "high", "leaf")) - 1) / TILE).alias("tile"))
+    x, y = box.toDF("comp", "x", "x_low", "x_high", "x_box", "x_tile"), box.toDF("comp", "y", "y_low", "y_high", "y_box", "y_tile")
     ratio = lambda a, b: F.col(a) * 100 >= F.col(b) * percent
     fits = (F.col("x") < F.col("y")) & ratio("x_high", "y_low") & ratio("y_high", "x_low")
     overlap = F.aggregate(F.zip_with("x_box", "y_box", lambda a, b: F.least(a, b)), F.lit(0).cast("long"), lambda s, v: s + v)
-    pairs = x.join(y, "comp").where(fits).where(overlap * (100 + percent) >= percent * (F.col("x_low") + F.col("y_low"))).select("x", "y")
-    packed = leaves.select("leaf", "packed")
-    rows = pairs.join(packed.toDF("x", "a"), "x").join(packed.toDF("y", "b"), "y").select("a", "b")
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    near = x.join(y, "comp").where(fits).where(overlap * (100 + percent) >= percent * (F.col("x_low") + F.col("y_low")))
+    tile = F.struct("comp", F.least("x_tile", "y_tile").alias("a"), F.greatest("x_tile", "y_tile").alias("b")).alias("tile")
+    sides = near.select(tile, F.explode(F.array(F.struct(F.col("x").alias("leaf"), F.col("y").alias("other")), F.struct(F.col("y").alias("leaf"), F.lit(None).cast("string").alias("other")))).alias("s"))
+    sent = sides.groupBy("tile", "s.leaf").agg(F.collect_list("s.other").alias("others"))  # at most 2 x TILE
+    rows = sent.join(leaves.select("leaf", "packed"), "leaf").select(F.concat_ws(" ", "tile.comp", "tile.a", "tile.b").alias("tile"), "leaf", "others", "packed")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, held = None, {}
+        for batch in batches:
+            for name, leaf, others, packed in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3)):
+                if name != tile:
+                    yield from compared(held)
+                    tile, held = name, {}
+                held[leaf] = (Leaf.unpack(packed.as_py()), others)
+        yield from compared(held)
+
+    def compared(held: dict[str, tuple[Leaf, list[str]]]) -> Iterator[pa.RecordBatch]:
         out = {"name": [], "links": [], "root": []}
-        for a, b in zip(batch.column(0), batch.column(1)):
-            _report(Leaf.unpack(a.as_py()), Leaf.unpack(b.as_py()), percent, out)
-        return pa.RecordBatch.from_arrays([pa.array(out["name"], pa.string()), pa.array(out["links"], pa.int64()), pa.array(out["root"], pa.string())], ["name", "links", "root"])
+        for leaf, others in held.values():
+            for other in others:
+                _report(leaf, held[other][0], percent, out)
+        if out["name"]:
+            yield pa.RecordBatch.from_arrays([pa.array(out["name"], pa.string()), pa.array(out["links"], pa.int64()), pa.array(out["root"], pa.string())], ["name", "links", "root"])
+
+    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(work, "name string, links long, root string")
 
-    return map_arrow(rows, work, "name string, links long, root string")
 
+def jaccard_groups(documents: DataFrame, n: int = 2, percent: int = 60, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, n_similar, component_id, the class ``name`` (digest of the set) and ``text_key`` (xxhash64 of the text), per row.
 
-def jaccard_groups(documents: DataFrame, n: int = 2, percent: int = 60) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id, the class ``name`` (digest of the set) and ``text_key`` (xxhash64 of the text), per row."""
-    with arrow_batches(documents.sparkSession, 16 << 20):
-        return _groups(documents, n, percent)
+    ``exact`` keeps every signature of large sets (about twice the shuffled bytes) instead of a hashed share.
+    """
+    with arrow_batches(documents.sparkSession, 8 << 20):
+        return _groups(documents, n, percent, exact)
 
 
-def _groups(documents: DataFrame, n: int, percent: int) -> DataFrame:
+def _groups(documents: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(frequent(documents, n))
     # a posting takes 12 bytes; its number follows that of the documents
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // 20_000 + 1)
-    joined = persist(_join_postings(_first_pass(documents, shared, n, percent, 4 * partitions), partitions), "jaccard-first")
+    joined = persist(_join_postings(_first_pass(documents, shared, n, percent, 4 * partitions, exact), partitions), "jaccard-first")
     rows = joined.where("kind = 0").select(F.col("u").alias("doc_id"), F.col("v").alias("text_key"), "name", "n")
     classes = rows.groupBy("name").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("size"))
     comps = persist(connected(_candidates(joined)), "jaccard-candidates")
