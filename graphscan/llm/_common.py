@@ -28,11 +28,14 @@ _M64 = (1 << 64) - 1
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables that every executor can reach.
 
-    It lies under ``spark.checkpoint.dir``; a temporary folder stands in only
-    where the session has no such setting (tests on one machine).
+    It lies under ``spark.checkpoint.dir``.  A temporary folder stands in where
+    the session has no such setting and all of it runs on one machine (tests);
+    on a cluster that is an error, since executors would not see each other's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = os.path.join(tempfile.gettempdir(), "graphscan-shared")
         os.makedirs(base, exist_ok=True)
         base = "file://" + base
@@ -318,16 +321,31 @@ WORD_BYTES[0x30:0x3A] = WORD_BYTES[0x41:0x5B] = WORD_BYTES[0x61:0x7B] = True
 WORD_BYTES[0x80:] = True
 
 
+def hashed_rows(rows: DataFrame, total: int, bound: int, *key: str) -> DataFrame:
+    """About ``bound`` of ``total`` rows, those with the smallest hashes of ``key`` (doc_id and text): a filter, without a shuffle.
+
+    The same at any partitioning; all rows, if they are no more than ``bound``.
+    Rows that agree in ``key`` are taken together, so callers aggregate them.
+    """
+    if total <= bound:
+        return rows
+    return rows.where(F.xxhash64(*(key or ("doc_id", "text"))) < int(-(2**63) + bound / total * 2.0**64))
+
+
 def labelled_sample(documents: DataFrame, labels: DataFrame, target: str, bound: int) -> DataFrame:
     """(doc_id, text, target) of at most ``bound`` labelled documents, the first by a hash of their id.
 
-    Only ids are ranked; at most ``bound`` of them are sent to the scan of the
-    documents, which is what bounds that broadcast.  Of labels that disagree,
-    the larger counts.
+    A filter by hash precedes the ranking of ids, so few go to one place; at
+    most ``bound`` ids are sent to the scan of the documents, which bounds that
+    broadcast.  Of labels that disagree the larger counts; of texts under one
+    id that with the smallest hash, so that a repeated id gives one row.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy("doc_id").agg(F.max(target).alias(target))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    return documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    near = hashed_rows(known, known.count(), bound + 8 * int(bound**0.5) + 8, "doc_id")
+    chosen = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    found = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("key"), "text")).alias("row"), F.max(target).alias(target))
+    return texts.select("doc_id", "row.text", target)
 
 
 def batch_with(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.RecordBatch:
