@@ -8,19 +8,26 @@ The method adds kind ``guess``: values in a credential context, whatever their
 alphabet, whose estimated guess cost is high.  The cost is the minimum over
 all segmentations of the value into common words, dates, repeats, keyboard
 walks and brute-force spans (each span's log10 of guesses, plus a price per
-further span), found by dynamic programming over the value's positions; it is
-linear in the value's length, as each kind of span has a bounded number of
-starts per end.  Values that a guesser reaches quickly (placeholders, plain
-words) are thus left alone.  A value that one base span covers whole is not
-scored again; one that it covers in part is, and redaction masks both as one.
+further span), found by dynamic programming over the value's positions.  A
+span may begin at any place; of the starts inside a run those that can never
+win again are dropped, so the work stays near linear in the value's length.
+Values that a guesser reaches quickly (placeholders, plain words) are thus
+left alone.  A value that one base span covers whole is not scored again; one
+that it covers in part is, and redaction masks both as one.
+
+Words are ranked: usual passwords first, then the words of a public vocabulary
+file (``vocabulary``, a tokenizers-library file whose ids follow frequency).
 
 Cases.  A null text is empty and has no spans; values of any length are
-scored whole; repeated documents are each reported; extra columns are ignored.
+scored whole; repeated documents are each reported, null doc_ids too; an empty
+table gives no rows; extra columns are ignored by ``find_secrets`` and kept by
+``redact_secrets``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 
@@ -28,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import annotate, map_arrow, string_slices
+from ._common import annotate, bounded_batches, map_arrow, once, string_slices
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")  # an inner start ends where the outer does, so a minimum length drops the same runs
@@ -50,8 +57,6 @@ _WORDS = (
     "will been were said each which their time would there could other than then them these some make like into over such only also after first well water world "
     "about again place great where right still mean same tell does set three want air also play small end put hand port large spell add even land must big high"
 ).split()
-_RANK = {w: i + 1 for i, w in reversed(list(enumerate(dict.fromkeys(_WORDS))))}
-_LONGEST = max(map(len, _RANK))
 _LEET = str.maketrans("@4310$57!", "aaeiossti")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "9876543210")
 _NEXT: dict[str, set[str]] = {}
@@ -59,52 +64,117 @@ for _row in _ROWS:
     for _a, _b in zip(_row, _row[1:]):
         _NEXT.setdefault(_a, set()).add(_b)
         _NEXT.setdefault(_b, set()).add(_a)
-_DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d", re.A)
+_DATES = [
+    re.compile(p, re.A)
+    for p in (r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d", r"(?:19|20)\d\d")
+]
+#: Least lengths of repeats and of walks.
+REPEAT, WALK = 3, 4
 _PRICE = math.log10(2)  # for each further span: where it begins and of which kind it is
 
 
-def guess_cost(value: str) -> float:
+class Words:
+    """Ranks of words of three or more letters."""
+
+    def __init__(self, vocabulary: str | None = None):
+        words = dict.fromkeys(_WORDS)
+        if vocabulary:
+            with open(vocabulary, encoding="utf-8") as source:
+                ids = json.load(source)["model"]["vocab"]
+            # a word begins with the letter that stands for a blank, or ends with a mark
+            starts = sorted((i, w.removeprefix("\u0120").removesuffix("</w>").lower()) for w, i in ids.items() if w.startswith("\u0120") or w.endswith("</w>"))
+            words |= dict.fromkeys(w for _, w in starts if len(w) >= 3 and w.isascii() and w.isalpha())
+        self.rank = {w: i + 1 for i, w in enumerate(words)}
+        self.longest = max(map(len, self.rank))
+
+
+_USUAL = Words()
+
+
+def guess_cost(value: str, words: Words = _USUAL) -> float:
     """log10 of the guesses needed for a value: the cheapest segmentation."""
-    return segment(value)[0]
+    return segment(value, words)[0]
+
+
+def alphabet_cost(value: str) -> float:
+    """log10 of the guesses for one character by brute force."""
+    return math.log10(max(sum(size for pattern, size in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"[0-9]", 10), (r"[^A-Za-z0-9]", 33)) if re.search(pattern, value)), 10))
+
+
+def word_cost(value: str, low: str, plain: str, rank: int) -> float:
+    """Of a word, written ``value``, in lower case ``low`` and with digits for letters undone ``plain``."""
+    return math.log10(rank + 10) + (value != low) * math.log10(4) + (low != plain) * math.log10(4)
+
+
+def repeat_cost(one: float, size: int) -> float:
+    return one + math.log10(size)
 
 
-def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
+def walk_cost(size: int) -> float:
+    return math.log10(94 * 4 * size)
+
+
+def date_cost(size: int) -> float:
+    return math.log10(365 * 120 if size > 4 else 130)
+
+
+class _Starts:
+    """The starts in a run that may still be the cheapest: cost(i) + log10(j - i) for growing j."""
+
+    def __init__(self):
+        self.held: list[tuple[int, float]] = []
+
+    def cheapest(self, j: int) -> tuple[float, int]:
+        costs = [c + math.log10(j - i) for i, c in self.held]
+        m = min(range(len(costs)), key=costs.__getitem__)
+        i, c = self.held[m]
+        # a later start that loses now loses ever after; an earlier one that began dearer never wins again
+        if len(costs) > 1:
+            self.held = [x for x, cost in zip(self.held, costs) if x[0] == i or x[0] < i and x[1] < c or x[0] > i and cost < costs[m]]
+        return costs[m], i
+
+
+def segment(value: str, words: Words = _USUAL) -> tuple[float, list[tuple[str, int, int]]]:
     """Minimum log10 guesses and the segmentation (kind, start, end) that has it."""
     n = len(value)
     low = value.lower() if len(value.lower()) == n else value
     plain = low.translate(_LEET)
-    alphabet = sum(size for pattern, size in ((r"[a-z]", 26), (r"[A-Z]", 26), (r"[0-9]", 10), (r"[^A-Za-z0-9]", 33)) if re.search(pattern, value))
-    one = math.log10(max(alphabet, 10))
+    one = alphabet_cost(value)
     edges: dict[int, list[tuple[int, str, float]]] = {}
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
-            if rank:
-                extra = (value[i:j] != low[i:j]) * math.log10(4) + (low[i:j] not in _RANK) * math.log10(4)
-                edges.setdefault(j, []).append((i, "word", math.log10(rank + 10) + extra))
-    # a search from each position: dates may overlap one another
-    for i in range(n):
-        if value[i].isdigit() and (m := _DATE.match(value, i)):
-            edges.setdefault(m.end(), []).append((i, "date", math.log10(365 * 120 if m.end() - i > 4 else 130)))
+        for j in range(i + 3, min(n, i + words.longest) + 1):
+            options = [word_cost(value[i:j], low[i:j], w, words.rank[w]) for w in {low[i:j], plain[i:j]} if w in words.rank]
+            if options:
+                edges.setdefault(j, []).append((i, "word", min(options)))
+        if value[i].isdigit():
+            for m in (p.match(value, i) for p in _DATES):
+                if m:
+                    edges.setdefault(m.end(), []).append((i, "date", date_cost(m.end() - i)))
     best = [0.0] * (n + 1)
     back: list[tuple[int, str]] = [(0, "")] * (n + 1)
-    run = walk = brute = 0  # where the current repeat, walk and the cheapest brute-force span begin
+    begun = lambda i: best[i] + (i > 0) * _PRICE
+    run = walk = brute = 0  # where the current repeat and walk begin, and the cheapest brute-force span
+    repeats, walks = _Starts(), _Starts()
     for j in range(1, n + 1):
         if j > 1:
             if low[j - 1] != low[j - 2]:
-                run = j - 1
+                run, repeats = j - 1, _Starts()
             if low[j - 1] not in _NEXT.get(low[j - 2], ()):
-                walk = j - 1
+                walk, walks = j - 1, _Starts()
             # best[i] - i * one decides among brute-force starts, so one is carried
-            if best[j - 1] + (j - 1 > 0) * _PRICE - (j - 1) * one < best[brute] + (brute > 0) * _PRICE - brute * one:
+            if begun(j - 1) - (j - 1) * one < begun(brute) - brute * one:
                 brute = j - 1
-        options = [(best[brute] + (brute > 0) * _PRICE + (j - brute) * one, brute, "brute")]
+        options = [(begun(brute) + (j - brute) * one, brute, "brute")]
         for i, kind, cost in edges.get(j, ()):
-            options.append((best[i] + (i > 0) * _PRICE + cost, i, kind))
-        if j - run >= 3:
-            options.append((best[run] + (run > 0) * _PRICE + one + math.log10(j - run), run, "repeat"))
-        if j - walk >= 4:
-            options.append((best[walk] + (walk > 0) * _PRICE + math.log10(94 * 4 * (j - walk)), walk, "walk"))
+            options.append((begun(i) + cost, i, kind))
+        if j - run >= REPEAT:
+            repeats.held.append((j - REPEAT, begun(j - REPEAT)))
+            cost, i = repeats.cheapest(j)
+            options.append((cost + repeat_cost(one, 1), i, "repeat"))
+        if j - walk >= WALK:
+            walks.held.append((j - WALK, begun(j - WALK)))
+            cost, i = walks.cheapest(j)
+            options.append((cost + walk_cost(1), i, "walk"))
         best[j], *back[j : j + 1] = min(options)[0], min(options)[1:]
     spans, j = [], n
     while j:
@@ -114,7 +184,7 @@ def segment(value: str) -> tuple[float, list[tuple[str, int, int]]]:
     return best[n], spans[::-1]
 
 
-def find(text: str | None, least_cost: float = 12.0) -> list[tuple[str, int, int]]:
+def find(text: str | None, least_cost: float = 12.0, words: Words = _USUAL) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) by start, then by kind as listed in KINDS."""
     text = text or ""
     low = text.lower()
@@ -129,7 +199,7 @@ def find(text: str | None, least_cost: float = 12.0) -> list[tuple[str, int, int
             value = m.group(1).rstrip(".,;:!?)]}")
             b = a + len(value)
             # a base span may end inside the value, or begin there: only one that covers it whole spares the rest
-            if len(value) >= 6 and not any(x <= a and b <= y for x, y in base) and guess_cost(value) >= least_cost:
+            if len(value) >= 6 and not any(x <= a and b <= y for x, y in base) and guess_cost(value, words) >= least_cost:
                 spans.append(("guess", a, b))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -153,15 +223,18 @@ def _written(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find_secrets(documents: DataFrame, least_cost: float = 12.0, text_column: str = "text", with_redacted: bool = False) -> DataFrame:
+def find_secrets(documents: DataFrame, least_cost: float = 12.0, text_column: str = "text", with_redacted: bool = False, vocabulary: str | None = None) -> DataFrame:
     """One row per document: counts per kind, spans as text, digest of the base spans, redacted text if asked."""
 
+    bounded_batches(documents.sparkSession)
+
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = once(("words", vocabulary), lambda: Words(vocabulary))
         counts = {k: [] for k in KINDS}
         digests, written, redacted = [], [], []
         for _, _, texts in string_slices(batch.column(1)):
             for text in texts:
-                spans = find(text, least_cost)
+                spans = find(text, least_cost, words)
                 for k in KINDS:
                     counts[k].append(sum(s[0] == k for s in spans))
                 digests.append(hashlib.sha256(_written(s for s in spans if s[0] != "guess").encode()).hexdigest())
@@ -179,13 +252,16 @@ def find_secrets(documents: DataFrame, least_cost: float = 12.0, text_column: st
     return map_arrow(documents.selectExpr("cast(doc_id as long) as doc_id", f"`{text_column}` as text"), work, schema)
 
 
-def redact_secrets(documents: DataFrame, least_cost: float = 12.0) -> DataFrame:
+def redact_secrets(documents: DataFrame, least_cost: float = 12.0, vocabulary: str | None = None) -> DataFrame:
     """All rows and columns of ``documents``, found spans replaced in the text; ``n_chars``, if there, follows."""
 
+    bounded_batches(documents.sparkSession)
+
     def work(texts: pa.Array) -> dict[str, pa.Array]:
+        words = once(("words", vocabulary), lambda: Words(vocabulary))
         out: list[str | None] = []
         for _, _, part in string_slices(texts):
-            found = [find(text, least_cost) for text in part]
+            found = [find(text, least_cost, words) for text in part]
             out += [redact(text, spans) if spans else None for text, spans in zip(part, found)]
         return {"redacted_text": pa.array(out, pa.string())}
 
