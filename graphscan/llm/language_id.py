@@ -10,14 +10,18 @@ whose prototype has the largest cosine, and a softmax of the cosines as score.
 
 Letters are case-folded; runs of anything else are one boundary symbol.
 
-Scale.  Prototypes are fitted on at most ``sample`` labelled documents (sums
-per task, then added up); every text is then read once, without a shuffle.
-The model is a few vectors per language.
+Scale.  A prototype is fitted on about ``sample`` labelled documents of its
+language, those with the smallest hashes of id and text (so a rare language
+has all of its own); vectors are added up per language in Spark.  Every text
+is then read once, without a shuffle.  N-grams are bound some thousands at a
+time, so memory does not follow the number of different ones.  The model is a
+vector per language.
 
 Cases.  A null text, an empty one and one without letters are ``und`` with
-score 0; with no labelled documents every text is; ties go to the first
-language by name; repeated documents each get their row; texts of any length
-are used whole; other columns are ignored.
+score 0; with no labelled documents, or an empty table, every text is; ties go
+to the first language by name; repeated documents each get their row, null
+doc_ids too; texts of any length are used whole; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import code_points, map_arrow, mix64, string_slices
+from ._common import bounded_batches, code_points, map_arrow, mix64, string_slices
 
 DIMENSIONS = 1024
-#: Documents multiplied at once: bounds the count matrix.
-ROWS = 128
+#: Documents and n-grams multiplied at once: bound the matrices.
+ROWS, GRAMS = 128, 8192
 _FOLD: np.ndarray | None = None
 
 
@@ -98,24 +102,32 @@ class Profiler:
             used, gram = np.unique(code, return_inverse=True)
         letters = letter_vectors(points, self.dimensions)
         letters[0] = np.abs(letters[0])  # the boundary symbol is neutral
-        bound = np.ones((len(used), self.dimensions), np.int8)
-        rest = used.copy()
-        for j in range(self.n - 1, -1, -1):
-            bound *= np.roll(letters, self.n - 1 - j, axis=1)[rest % k]
-            rest //= k
-        bound = bound.astype(np.float32)
         first = np.searchsorted(owner, np.arange(0, n + ROWS, ROWS))
-        for b, lo in enumerate(range(0, n, ROWS)):
-            hi = min(n, lo + ROWS)
-            a, z = first[b], first[b + 1]
-            if a == z:
-                continue
-            counts = np.bincount((owner[a:z] - lo) * len(used) + gram[a:z], minlength=(hi - lo) * len(used)).reshape(hi - lo, len(used))
-            # frequent n-grams would drown the rest in long texts
-            out[lo:hi] = np.sqrt(counts.astype(np.float32)) @ bound
+        for g in range(0, len(used), GRAMS):
+            some = used[g : g + GRAMS]
+            bound = self._bound(some, letters, k)
+            for b, lo in enumerate(range(0, n, ROWS)):
+                hi = min(n, lo + ROWS)
+                a, z = first[b], first[b + 1]
+                row, column = owner[a:z] - lo, gram[a:z] - g
+                if len(used) > GRAMS:
+                    mine = (column >= 0) & (column < len(some))
+                    row, column = row[mine], column[mine]
+                if len(row):
+                    counts = np.bincount(row * len(some) + column, minlength=(hi - lo) * len(some)).reshape(hi - lo, len(some))
+                    # frequent n-grams would drown the rest in long texts
+                    out[lo:hi] += np.sqrt(counts.astype(np.float32)) @ bound
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return out / np.where(norm == 0, 1, norm), has
 
+    def _bound(self, grams: np.ndarray, letters: np.ndarray, k: int) -> np.ndarray:
+        """Vectors of n-grams: their letters' vectors, rotated by place and multiplied."""
+        out, rest = np.ones((len(grams), self.dimensions), np.int8), grams.copy()
+        for j in range(self.n - 1, -1, -1):
+            out *= np.roll(letters, self.n - 1 - j, axis=1)[rest % k]
+            rest //= k
+        return out.astype(np.float32)
+
     @staticmethod
     def _compact(folded: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         present = np.unique(folded[folded < 0x3000])
@@ -126,12 +138,14 @@ class Profiler:
         return table[folded], points
 
 
-def fit(documents: DataFrame, sample: int = 20_000, profiler: Profiler | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages and their centred unit prototypes from (doc_id, text, lang), at most ``sample`` rows of it (the first by hash of the id)."""
+def fit(documents: DataFrame, sample: int = 5_000, profiler: Profiler | None = None) -> tuple[list[str], np.ndarray]:
+    """Languages and their unit prototypes from (doc_id, text, lang), of about ``sample`` rows of each language."""
     profiler = profiler or Profiler()
-    known = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    chosen = known.select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").distinct()
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").select("text", "lang")
+    bounded_batches(documents.sparkSession)
+    known = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    place = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
+    rows = known.join(share, "lang").where(place < F.col("share")).select("text", "lang")
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         sums: dict[str, np.ndarray] = {}
@@ -143,11 +157,12 @@ def fit(documents: DataFrame, sample: int = 20_000, profiler: Profiler | None =
                 if mine.any():
                     sums[lang] = sums.get(lang, 0) + vectors[mine].sum(axis=0, dtype=np.float64)
         names = sorted(sums)
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].astype("<f8").tobytes() for k in names], pa.binary())], ["lang", "total"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].tolist() for k in names], pa.list_(pa.float64()))], ["lang", "total"])
 
+    added = map_arrow(rows, work, "lang string, total array<double>").select("lang", F.posexplode("total").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     total: dict[str, np.ndarray] = {}
-    for row in map_arrow(rows, work, "lang string, total binary").collect():  # a vector per language and batch of the sample
-        total[row.lang] = total.get(row.lang, 0) + np.frombuffer(row.total, "<f8")
+    for row in added.collect():  # a vector per language
+        total.setdefault(row.lang, np.zeros(profiler.dimensions))[row.i] = row.x
     names = sorted(total)
     if not names:
         return [], np.zeros((0, profiler.dimensions), np.float32)
@@ -173,6 +188,7 @@ def classify(vectors: np.ndarray, has: np.ndarray, names: list[str], unit: np.nd
 def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], profiler: Profiler | None = None) -> DataFrame:
     """doc_id, lang_pred, score of every row."""
     profiler = profiler or Profiler()
+    bounded_batches(documents.sparkSession)
     names, unit = model
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
