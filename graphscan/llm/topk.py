@@ -15,7 +15,10 @@ nothing is broadcast.  Its k + 1 best per query meet by query in one small
 shuffle.
 
 Cases.  Rows whose id or vector is null, or that hold a null or non-finite
-component, take no part; missing components of shorter vectors count as 0; a
+component, take no part; a floor(scale * x) beyond 64 bits counts as the
+largest or smallest 64-bit integer, and so does a score, summed exactly
+before (scores cut so tie); rows with such sums are scored one by one in whole
+numbers of any size; missing components of shorter vectors count as 0; a
 query's own row is left out once, so equal rows of the same id still see one
 another; ties go to the smaller id; fewer candidates give fewer rows; an empty
 table gives none.
@@ -48,8 +51,7 @@ class SortedLists:
         self.n, self.d = self.rows.shape
         self.lists = np.argsort(self.rows, axis=0, kind="stable").T.astype(np.int32).copy()
         self.values = np.take_along_axis(self.rows, self.lists.T.astype(np.int64), axis=0).T.copy()
-        bound = float(np.abs(self.rows).max(initial=0))
-        self.largest = bound
+        self.largest = float(np.abs(self.rows.astype(np.float64)).max(initial=0))
 
     def top(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best, best first."""
@@ -57,7 +59,7 @@ class SortedLists:
         k = min(k, self.n)
         if not len(dims):
             return self.ids[:k], np.zeros(k, np.int64)
-        if float(np.abs(query).max()) * self.largest * len(dims) >= 2.0**62:
+        if float(np.abs(query.astype(np.float64)).max()) * self.largest * len(dims) >= 2.0**62:
             return self._big(query, k)
         weights = query[dims]
         up = weights > 0
@@ -89,11 +91,13 @@ class SortedLists:
         return self.ids[best_rows], best
 
     def _big(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers that 64 bits may not hold: exact sums without them, then cut to what the column can show."""
-        scores = [sum(int(a) * int(b) for a, b in zip(row, query)) for row in self.rows]
+        """As ``top`` for numbers that 64 bits may not hold: exact sums, cut to what the column can show."""
+        scores = [max(LEAST, min(MOST, int(x))) for x in self.rows.astype(object) @ query.astype(object)]
         pick = sorted(range(self.n), key=lambda i: (-scores[i], i))[:k]
-        limit = 2**63 - 1
-        return self.ids[pick], np.array([max(-limit, min(limit, scores[i])) for i in pick], np.int64)
+        return self.ids[pick], np.array([scores[i] for i in pick], np.int64)
+
+
+LEAST, MOST = -(2**63), 2**63 - 1
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -115,7 +119,9 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_c
     clean = vectors.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector_column).alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     )
-    whole = clean.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    # a cast from double cannot fail between these bounds, the largest and smallest doubles within 64 bits
+    whole_number = lambda x: F.when(x >= 9.2233720368547748e18, F.lit(MOST)).when(x <= -9.2233720368547748e18, F.lit(LEAST)).otherwise(F.floor(x))
+    whole = clean.select("vec_id", F.transform("v", lambda x: whole_number(x.cast("double") * scale)).alias("v"))
     path = shared_dir(spark, "queries")
     whole.where(is_query).select(F.monotonically_increasing_id().alias("q"), "vec_id", "v").write.parquet(path)
     queries = spark.read.schema("q long, vec_id long, v array<long>").parquet(path)
@@ -150,7 +156,8 @@ def exact_top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_c
             )
 
     near = whole.mapInArrow(run, "q long, query_id long, vec_id long, score long")
-    own = queries.select("q", F.col("vec_id").alias("query_id"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x).alias("own"))
+    square = F.aggregate("v", F.lit(0).cast("decimal(38,0)"), lambda a, x: F.coalesce(F.try_add(a, F.try_multiply(x.cast("decimal(19,0)"), x.cast("decimal(19,0)"))).cast("decimal(38,0)"), F.lit(MOST).cast("decimal(38,0)")))
+    own = queries.select("q", F.col("vec_id").alias("query_id"), F.least(square, F.lit(MOST).cast("decimal(38,0)")).cast("long").alias("own"))
     order = [F.desc("score"), F.asc("vec_id")]
     first = near.withColumn("place", F.row_number().over(W.partitionBy("q").orderBy(*order))).where(F.col("place") <= k + 1)
     # the query's own row is among the k + 1 best or beaten by k + 1 others
