@@ -8,14 +8,17 @@ kept.  The score is a logistic function (fitted on the same labelled rows) of
 the difference of the classes' log densities: Mahalanobis terms by triangular
 solves, and log determinants.
 
-Scale.  The fit uses at most ``sample`` labelled documents, of which the
-driver sees only the statistics (18 numbers each); every text is read once,
-whole, without a shuffle, and the model is two means and two factors.
+Scale.  The fit uses at most ``sample`` labelled documents (one row of each
+id), of which the driver sees only the statistics (18 numbers each); every
+text is read once, whole, without a shuffle, and the model is two means and
+two factors.
 
 Cases.  Null and empty texts have the statistics of an empty text and get a
 score; with fewer than two labelled documents of a class the score is the rate
-of label 1 (0 without labels); repeated rows each get theirs; other columns
-are ignored.
+of label 1 (0 without labels); repeated rows each get theirs, null doc_ids
+too; texts of any length are used whole; an empty table gives no rows; other
+columns are ignored by ``score_quality`` and kept by ``keep_quality``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._common import LOWER, WORD_BYTES, annotate, batch_with, byte_slices, labelled_sample, map_arrow, span_hashes, true_runs
+from ._common import LOWER, WORD_BYTES, annotate, batch_with, bounded_batches, byte_slices, labelled_sample, map_arrow, span_hashes, true_runs
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 capital, 3 digit, 4 blank, 5 sentence mark, 6 other mark
 _KIND[33:127] = 6
@@ -81,6 +84,14 @@ def _distinct(doc: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((keys[fresh] >> np.uint64(40)).astype(np.int64), minlength=n).astype(np.float64)
 
 
+def forward(factor: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solution y of factor @ y = right for a lower triangular factor."""
+    out = np.empty_like(right)
+    for i, row in enumerate(factor):
+        out[i] = (right[i] - row[:i] @ out[:i]) / row[i]
+    return out
+
+
 class Discriminant:
     """Two shrunk Gaussians and a logistic calibration."""
 
@@ -113,12 +124,12 @@ class Discriminant:
             cov = (1 - pooled) * within[c] + pooled * both
             cov = (1 - ridge) * cov + ridge * np.trace(cov) / len(cov) * np.eye(len(cov)) + 1e-9 * np.eye(len(cov))
             factor = np.linalg.cholesky(cov)
-            out.append((z[y == c].mean(axis=0), np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum()))
+            out.append((z[y == c].mean(axis=0), factor, 2 * np.log(np.diag(factor)).sum()))
         return out
 
     @staticmethod
     def _margin(z, parts):
-        density = [-0.5 * ((((z - mean) @ solve.T) ** 2).sum(axis=1) + logdet) for mean, solve, logdet in parts]
+        density = [-0.5 * ((forward(factor, (z - mean).T) ** 2).sum(axis=0) + logdet) for mean, factor, logdet in parts]
         return np.arcsinh((density[1] - density[0]) / 4)  # outliers must not rule the calibration
 
     @staticmethod
@@ -147,6 +158,7 @@ def _statistics_of(column: pa.Array) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, target: str = "quality", sample: int = 20_000) -> Discriminant:
+    bounded_batches(documents.sparkSession)
     rows = labelled_sample(documents, labels, target, sample)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
