@@ -7,19 +7,26 @@ occurrence of a window are hit.
 Method.  Every run of ``k`` words is hashed, and of each ``window - k + 1``
 neighbouring hashes the smallest is kept (winnowing).  A shared span of
 ``window`` words holds a whole neighbourhood, so both sides keep the same hash
-in it: joining the kept hashes finds every shared window.  Each joined pair of
-positions is then extended word by word, which also removes hash collisions.
+in it: joining the kept hashes finds every shared window.  Each joined hash is
+then extended to the windows that hold it, which are looked up among the
+item's and compared word by word; neighbouring windows become one span.
 Items too short for a neighbourhood are looked up by the hash of their whole
 word sequence, and verified likewise.
 
-Scale.  Documents are read once and never shuffled.  The fingerprints of one
-benchmark shard go to the workers; a shard's text is bounded by ``shard_bytes``
-(measured before it is gathered), and a larger benchmark takes several shards,
-whose hits are merged per document.
+Scale.  The fingerprints of one benchmark shard go to the workers; a shard's
+text is bounded by ``shard_bytes`` (measured before it is gathered).  With one
+shard, documents are read once and not shuffled.  A larger benchmark takes
+several shards: each reads the documents once and keeps what it hits, under a
+digest of the text, and only (id, words, digest) rows meet these hits.  Of an
+item, a joined hash leads to at most ``window - k + 1`` windows to compare, so
+the work is linear in a text's words also where words repeat.
 
 Cases.  Null or wordless texts have no words and no hits; wordless items never
-hit; repeated item ids or texts count as one item id; repeated documents are
-each reported; extra columns are ignored; an empty benchmark hits nothing.
+hit; repeated item ids or texts count as one item id; repeated documents and
+null doc_ids are each reported; texts of any length are used whole; extra
+columns are ignored by ``decontaminate`` and kept by ``drop_contaminated``,
+whatever their names; an empty benchmark hits nothing; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, annotate, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
+from ._common import LOWER, annotate, bounded_batches, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_ranges array<int>, items array<string>"
 
@@ -81,7 +88,8 @@ class BenchmarkIndex:
     def __init__(self, items: list[tuple[str, str | None]], window: int = 10, k: int = 7):
         self.window, self.k, self.w = window, k, window - k + 1
         self.items: list[tuple[str, list[bytes]]] = []
-        self.long: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.long: dict[int, list[int]] = defaultdict(list)
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for name, words in sorted({(str(i), tuple(words_of(t))) for i, t in items if i is not None}):
             if not words:
@@ -95,8 +103,8 @@ class BenchmarkIndex:
                 self.short[len(words)][int(_gram_hashes(hashes, len(words))[0])].append(number)
                 continue
             grams = _gram_hashes(hashes, k)
-            for at in _winnow(grams, self.w).tolist():
-                self.long[int(grams[at])].append((number, at))
+            for gram in np.unique(grams[_winnow(grams, self.w)]).tolist():
+                self.long[gram].append(number)
         self.long, self.short = dict(self.long), {n: dict(x) for n, x in self.short.items()}
         self.filters = {0: self._filter(self.long)} | {n: self._filter(x) for n, x in self.short.items()}
 
@@ -139,30 +147,41 @@ class BenchmarkIndex:
                 raw = data[offsets[doc] : offsets[doc + 1]].tobytes()
                 base = int(offsets[doc])
                 words = [raw[a - base : b - base] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
-                ranges, names = self._verify(words, [(n, at - lo, h) for n, at, h in sought[doc]])
+                ranges, names = self._verify(words, hashes[lo:hi], [(n, at - lo, h) for n, at, h in sought[doc]])
             yield doc, int(counts[doc]), ranges, names
 
-    def _verify(self, words: list[bytes], found: list[tuple[int, int, int]]):
-        spans, names, reach = [], set(), {}
+    def _windows_of(self, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct hashes of an item's windows, and where each first occurs."""
+        if number not in self.windows:
+            words = self.items[number][1]
+            ends = np.cumsum([len(x) for x in words])
+            hashes = span_hashes(np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], ends[:-1])), ends)
+            self.windows[number] = np.unique(_gram_hashes(hashes, self.window), return_index=True)
+        return self.windows[number]
+
+    def _verify(self, words: list[bytes], hashes: np.ndarray, found: list[tuple[int, int, int]]):
+        spans, names, near = [], set(), defaultdict(set)
         for n, at, gram in found:
             if n:
-                if words[at : at + n] in (self.items[i][1] for i in self.short[n][gram]):
+                same = {self.items[i][0] for i in self.short[n][gram] if self.items[i][1] == words[at : at + n]}
+                if same:
                     spans.append((at, at + n))
-                    names.update(self.items[i][0] for i in self.short[n][gram] if self.items[i][1] == words[at : at + n])
+                    names |= same
                 continue
-            for number, pos in self.long[gram]:
-                name, item = self.items[number]
-                if at < reach.get((number, at - pos), 0):
-                    continue  # inside a span that was extended already
-                a, p = at, pos
-                while a < len(words) and p < len(item) and words[a] == item[p]:
-                    a, p = a + 1, p + 1
-                b, q = at, pos
-                while b > 0 and q > 0 and words[b - 1] == item[q - 1]:
-                    b, q = b - 1, q - 1
-                reach[number, at - pos] = a
-                if a - b >= self.window:
-                    spans.append((b, a))
+            windows = range(max(0, at - self.w + 1), min(at, len(words) - self.window) + 1)
+            for number in self.long[gram]:
+                near[number].update(windows)
+        whole = _gram_hashes(hashes, self.window)
+        for number, starts in near.items():
+            if not starts:
+                continue
+            name, item = self.items[number]
+            known, first = self._windows_of(number)
+            at = np.array(sorted(starts), np.int64)
+            where = np.minimum(np.searchsorted(known, whole[at]), len(known) - 1)
+            for i, p in zip(at[known[where] == whole[at]].tolist(), first[where[known[where] == whole[at]]].tolist()):
+                if words[i : i + self.window] == item[p : p + self.window]:
+                    spans.append((i, i + self.window))
                     names.add(name)
         return merged(spans), names
 
@@ -208,11 +227,12 @@ def _scan_shard(documents: DataFrame, items: list[tuple[str, str | None]], windo
     return map_arrow(documents, work, SCHEMA)
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 7, shard_bytes: int = 32 << 20) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 7, shard_bytes: int = 8 << 20) -> DataFrame:
     """One row per document: words, words hit, items found, hit word ranges.
 
     ``hit_ranges`` lists start and end (exclusive) word numbers in turn.
     """
+    bounded_batches(documents.sparkSession)
     docs = documents.select("doc_id", "text")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.length("item_id")), F.lit(0))).first()[0]
@@ -220,16 +240,14 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = 10,
     if shards == 1:
         return _scan_shard(docs, [tuple(r) for r in items.collect()], window, k)
     shards *= 2  # filled by hash of the item to half the bound, on average
-    docs = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    texts = docs.groupBy("key").agg(F.first("text").alias("text"))
+    keyed = docs.withColumn("key", F.sha2(F.coalesce("text", F.lit("")), 256))
     found = None
     for shard in range(shards):
         part = [tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).collect()]
-        if not part:
-            continue
-        rows = persist(_scan_keyed(texts, part, window, k).where("n_hit > 0"), "decontaminate")
-        found = rows if found is None else found.unionByName(rows)
-    return _merge_shards(docs, found)
+        if part:
+            rows = persist(_scan_keyed(keyed, part, window, k).where("n_hit > 0").dropDuplicates(["key"]), "decontaminate")
+            found = rows if found is None else found.unionByName(rows)
+    return _merge_shards(keyed, found)
 
 
 def _scan_keyed(texts: DataFrame, items, window: int, k: int) -> DataFrame:
@@ -256,22 +274,27 @@ def _scan_keyed(texts: DataFrame, items, window: int, k: int) -> DataFrame:
 def _merge_shards(docs: DataFrame, found: DataFrame) -> DataFrame:
     """Hits of all shards, merged per distinct text and put beside every document."""
     per_text = found.groupBy("key").agg(F.collect_list("hit_ranges").alias("parts"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("found"))
-    joined = docs.join(per_text, "key", "left").select("doc_id", "text", "parts", "found")
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         n_words = []
         for _, _, data, offsets in byte_slices(batch.column(1)):
             starts, _ = true_runs(_WORD[LOWER[data]])
             n_words.extend(np.diff(np.searchsorted(starts, offsets)).tolist())
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n_words, pa.int64()), batch.column(2)], ["doc_id", "n_words", "key"])
+
+    joined = map_arrow(docs.select("doc_id", "text", "key"), count, "doc_id long, n_words long, key string").join(per_text, "key", "left").select("doc_id", "n_words", "parts", "found")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts, names = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         ranges = [merged([(r[i], r[i + 1]) for r in p or [] for i in range(0, len(r), 2)]) for p in parts]
-        return _report(batch.column(0), n_words, ranges, [set(x or []) for x in names])
+        return _report(batch.column(0), batch.column(1).to_pylist(), ranges, [set(x or []) for x in names])
 
     return map_arrow(joined, work, SCHEMA)
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 7, shard_bytes: int = 32 << 20) -> DataFrame:
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 7, shard_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``documents`` without a word inside any benchmark window; all columns as they were."""
+    bounded_batches(documents.sparkSession)
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + F.length("item_id")), F.lit(0))).first()[0]
     shards = 2 * -(-size // shard_bytes) if size > shard_bytes else 1
