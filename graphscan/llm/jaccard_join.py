@@ -57,7 +57,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import LOWER, arrow_batches, byte_slices, map_arrow, mix64, persist, span_hashes, true_runs
+from ._common import LOWER, arrow_batches, byte_slices, hashed_rows, map_arrow, mix64, persist, span_hashes, true_runs
 
 GROUPS = 64
 LEAF_ROWS = 1024
@@ -306,10 +306,9 @@ def _pairs(node: np.ndarray, size: np.ndarray, starts: np.ndarray, counts: np.nd
     return names[found // max(len(names), 1)], names[found % max(len(names), 1)], weight
 
 
-def frequent(documents: DataFrame, n: int, sample: int = 4_000, least: int = 3) -> tuple[Ranks, Ranks]:
-    """Ranks of words and of shingles that occur at least ``least`` times in at most ``sample`` texts."""
-    chosen = documents.where("text is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text")
+def frequent(documents: DataFrame, n: int, total: int, sample: int = 4_000, least: int = 3) -> tuple[Ranks, Ranks]:
+    """Ranks of words and of shingles that occur at least ``least`` times in about ``sample`` of ``total`` texts (they affect speed only)."""
+    texts = hashed_rows(documents.select("doc_id", "text").where("text is not null"), total, sample).select("text")
     maker = Shingles(n)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -715,7 +714,7 @@ def _leaves(rows: DataFrame, shared, n: int, percent: int) -> DataFrame:
     return ordered.select("comp", "name", "weight", "text").mapInArrow(run, LEAF_SCHEMA)
 
 
-def _across(leaves: DataFrame, percent: int) -> DataFrame:
+def _across(leaves: DataFrame, percent: int, partitions: int) -> DataFrame:
     """Links between different leaves of a component.
 
     Leaves stand in order of size in tiles of ``TILE``; a leaf goes once to
@@ -751,11 +750,11 @@ def _across(leaves: DataFrame, percent: int) -> DataFrame:
         if out["name"]:
             yield pa.RecordBatch.from_arrays([pa.array(out["name"], pa.string()), pa.array(out["links"], pa.int64()), pa.array(out["root"], pa.string())], ["name", "links", "root"])
 
-    return rows.repartition("tile").sortWithinPartitions("tile").mapInArrow(work, "name string, links long, root string")
+    return rows.repartition(4 * partitions, "tile").sortWithinPartitions("tile").mapInArrow(work, "name string, links long, root string")
 
 
 def jaccard_groups(documents: DataFrame, n: int = 2, percent: int = 60, exact: bool = False) -> DataFrame:
-    """doc_id, n_shingles, n_similar, component_id, the class ``name`` (digest of the set) and ``text_key`` (xxhash64 of the text), per row.
+    """doc_id, n_shingles, n_similar, component_id, the class ``name`` (digest of the set), its component's ``root`` class and ``text_key`` (xxhash64 of the text), per row.
 
     ``exact`` keeps every signature of large sets (about twice the shuffled bytes) instead of a hashed share.
     """
@@ -765,9 +764,10 @@ def jaccard_groups(documents: DataFrame, n: int = 2, percent: int = 60, exact: b
 
 def _groups(documents: DataFrame, n: int, percent: int, exact: bool) -> DataFrame:
     spark = documents.sparkSession
-    shared = spark.sparkContext.broadcast(frequent(documents, n))
+    total = documents.count()
+    shared = spark.sparkContext.broadcast(frequent(documents, n, total))  # bounded by the sample
     # a posting takes 12 bytes; its number follows that of the documents
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), documents.count() // 20_000 + 1)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 20_000 + 1)
     joined = persist(_join_postings(_first_pass(documents, shared, n, percent, 4 * partitions, exact), partitions), "jaccard-first")
     rows = joined.where("kind = 0").select(F.col("u").alias("doc_id"), F.col("v").alias("text_key"), "name", "n")
     classes = rows.groupBy("name").agg(F.count("*").alias("weight"), F.min("doc_id").alias("least"), F.first("n").alias("size"))
@@ -777,33 +777,44 @@ def _groups(documents: DataFrame, n: int, percent: int, exact: bool) -> DataFram
     wanted = persist(wanted, "jaccard-wanted")
     texts = _likely(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), wanted.select(F.col("least").alias("doc_id"))).join(wanted, F.col("doc_id").eqNullSafe(F.col("least")))
     leaves = persist(_leaves(texts, shared, n, percent), "jaccard-leaves")
-    links = leaves.where("kind = 0").select("name", "links", "root").unionByName(_across(leaves.where("kind = 1").select("comp", "leaf", "low", "high", "box", "packed"), percent))
+    links = leaves.where("kind = 0").select("name", "links", "root").unionByName(_across(leaves.where("kind = 1").select("comp", "leaf", "low", "high", "box", "packed"), percent, partitions))
     links = persist(links, "jaccard-links")
     groups = connected(links.select(F.col("name").alias("u"), F.col("root").alias("v")), "string")
     counts = links.groupBy("name").agg(F.sum("links").alias("links"))
     per_class = classes.join(counts, "name", "left").join(groups.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
     lowest = per_class.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = persist(per_class.join(lowest, "root").select("name", "weight", F.coalesce("links", F.lit(0)).alias("links"), "component_id"), "jaccard-classes")
+    found = persist(per_class.join(lowest, "root").select("name", "weight", F.coalesce("links", F.lit(0)).alias("links"), "component_id", "root"), "jaccard-classes")
     alone = F.col("n") == 0
     return rows.join(found, "name").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("weight") - 1 + F.col("links")).alias("n_similar"),
-        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "name", "text_key",
+        F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "name", "root", "text_key",
     )
 
 
 def drop_near_duplicates(documents: DataFrame, n: int = 2, percent: int = 60) -> DataFrame:
-    """One row of each component, that of its smallest doc_id; all columns as they were.
+    """One row of each component, all columns as they were: that of the smallest doc_id (nulls last), then of the smallest text hash.
 
-    Rows of the same doc_id and text are one document; documents without an id
-    or without shingles stay.
+    Of rows that agree in both, one stays.  Rows without shingles (null, empty
+    and wordless texts) are no group and stay.
     """
-    groups = persist(jaccard_groups(documents, n, percent).where("doc_id is null or doc_id = component_id").select("doc_id", "text_key"), "jaccard-kept")
-    per_key = groups.groupBy(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key")).agg(F.count("*").alias("n"))
     names = [f"c{i}" for i in range(len(documents.columns))]
     at, text = (names[documents.columns.index(c)] for c in ("doc_id", "text"))
-    plain = documents.toDF(*names).withColumn("key", F.xxhash64(text))
-    kept = plain.join(per_key, F.col(at).cast("long").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")), "left_semi")
-    if not per_key.where("n > 1 and kept_id is not null").isEmpty():
-        numbered = kept.withColumn("place", F.row_number().over(W.partitionBy(at, "key").orderBy(*[c for c in names if c != text and documents.schema[int(c[1:])].dataType.typeName() not in ("map", "variant")])))
-        kept = numbered.where(F.col("place").eqNullSafe(1) | F.col(at).isNull())
-    return kept.select(*names).toDF(*documents.columns)
+    plain = documents.toDF(*names).withColumn("row_id", F.col(at).cast("long")).withColumn("row_key", F.xxhash64(text))
+    groups = persist(jaccard_groups(documents, n, percent).where("n_shingles > 0").select("doc_id", "text_key", "root"), "jaccard-kept")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+    # a row per kept document; the others are known by absence, and texts without shingles by having no group
+    kept = first.select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key")).distinct()
+    grouped = groups.groupBy(F.col("doc_id").alias("any_id"), F.col("text_key").alias("any_key")).agg(F.count("*").alias("n"))
+    state = persist(
+        grouped.join(kept, F.col("any_id").eqNullSafe(F.col("kept_id")) & (F.col("any_key") == F.col("kept_key")), "left").select("any_id", "any_key", "n", F.col("kept_key").isNotNull().alias("stays")), "jaccard-state"
+    )
+    found = plain.join(state.where("not stays").select("any_id", "any_key"), F.col("row_id").eqNullSafe(F.col("any_id")) & (F.col("row_key") == F.col("any_key")), "left_anti")
+    repeated = state.where("stays and n > 1").select("any_id", "any_key")
+    if repeated.isEmpty():
+        return found.select(*names).toDF(*documents.columns)
+    # rows of one id and text differ in other columns at most: any one of them stands for all
+    same = F.col("row_id").eqNullSafe(F.col("any_id")) & (F.col("row_key") == F.col("any_key"))
+    single = found.join(repeated, same, "left_anti").select(*names)
+    twice = found.join(repeated, same, "left_semi")
+    one = twice.groupBy(F.col("row_id"), F.col("row_key")).agg(F.first(F.struct(*names)).alias("row")).select("row.*")
+    return single.unionByName(one).toDF(*documents.columns)
