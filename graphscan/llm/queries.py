@@ -36,13 +36,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     held_out = F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False))
     model = toxicity.fit(documents, table(spark, sf_dir, "labels").where(~held_out))
-    return toxicity.score_toxicity(documents, model, evidence=False).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+    return toxicity.score_toxicity(documents, model).select("doc_id", held_out.alias("held_out"), "score", "predicted", "examples", "cosines")
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .secrets import find_secrets
 
-    return find_secrets(table(spark, sf_dir, "documents"))
+    return find_secrets(table(spark, sf_dir, "documents"), vocabulary=tokenizer_path("byte_bpe_50k.json"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

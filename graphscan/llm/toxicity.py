@@ -1,38 +1,49 @@
 """Operator 2: toxicity by nearest labelled examples.
 
 Terms are words and word beginnings of four and five bytes (which hold what
-made-up variants of a word share).  The vector space is that of the ``terms``
-terms most associated with the label (chi-squared over the labelled
-examples); in it, documents and examples are TF-IDF vectors of length 1.  The
-``k`` nearest examples by exact cosine vote, each with weight 1 / (distance +
-``soft``) and as often as its vector occurs among the examples; the share of
-toxic votes, smoothed by the overall rate, is the score.
-
-Search.  Equal example vectors are one entry with counts.  Entries lie in
-blocks of 64; for every term the block maximum of its weights is kept.  A
-query's bound on a block is the product with those maxima; blocks are opened
-by falling bound until it cannot beat the k-th best.  The result is exact,
-ties going to the smaller entry.
+made-up variants of a word share).  Documents and examples are TF-IDF vectors
+of length 1 over every term of the labelled examples; a term that goes with
+the label (chi-squared over the examples) weighs more, by up to ``boost``.
+The ``k`` nearest examples by exact cosine vote, each with weight
+1 / (distance + ``soft``) and by the root of how often its text occurs among
+the examples; the share of toxic votes, smoothed by the overall rate, is made
+a probability by a logistic function, fitted on the votes that every example
+gets from the others.
+
+Search.  Examples of equal text are one entry.  Every term has a posting list,
+cut into blocks of 64 entries with the largest weight in each; lists of more
+than one entry in ``DENSE`` are kept as rows of weights, which a matrix
+product sums faster than postings.  A query's bound on a block is the largest
+sum over such rows in it, and its other weights times the block maxima; the
+best blocks are opened first, then all others whose bound reaches the k-th
+best cosine so far.  The result is exact (to the rounding of 32-bit sums), ties
+going to the smaller entry.
 
 Scale.  At most ``sample`` labelled documents are indexed (a documented bound
-of the classifier), so the index is a few MB at any size of corpus; every
-text is read once, whole, without a shuffle.
-
-Cases.  Null and empty texts, and those without any of the terms, get the
-toxic rate of examples that have none of them either; no labelled examples:
-score 0; repeated rows each get theirs; other columns are ignored.
+of the classifier), so the index is some MB at any size of corpus; every text
+is read once, whole, without a shuffle.
+
+Cases.  Null and empty texts, and those without any known term, have no
+neighbours and get the calibrated score of the overall rate; no labelled
+examples, or an empty table of labels: score 0; repeated rows each get
+theirs; texts of any length are used whole; other columns are ignored by
+``score_toxicity`` and kept by ``reject_toxic``, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._common import LOWER, WORD_BYTES, annotate, batch_with, byte_slices, labelled_sample, map_arrow, mix64, persist, span_hashes, true_runs
+from ._common import LOWER, WORD_BYTES, annotate, batch_with, bounded_batches, byte_slices, labelled_sample, map_arrow, mix64, persist, ragged, span_hashes, true_runs
 
-BLOCK = 64
+BLOCK, DENSE = 64, 40
+#: Bytes of text, and list blocks or postings, worked on at once.
+SLICE, STEP = 1_000_000, 1_000_000
 
 
 def term_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,158 +65,308 @@ def term_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.concatenate(docs), np.concatenate(keys)
 
 
+def counted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (group, value) pairs in order, and how often each occurs."""
+    if not len(group):
+        return group, value, np.empty(0, np.int64)
+    order = np.lexsort((value, group))
+    group, value = group[order], value[order]
+    first = np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (value[1:] != value[:-1]))))
+    return group[first], value[first], np.diff(np.append(first, len(group)))
+
+
 class Space:
-    """TF-IDF vectors over a small sorted table of terms."""
+    """TF-IDF vectors over a sorted table of terms, each with its weight."""
 
-    def __init__(self, keys: np.ndarray, idf: np.ndarray):
+    def __init__(self, keys: np.ndarray, weights: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.idf = keys[order], idf[order].astype(np.float32)
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(self.keys >> np.uint64(48)).astype(np.int64)] = True
-
-    def vectors(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        n, m = len(offsets) - 1, len(self.keys)
-        if not m:
-            return np.zeros((n, 0), np.float32)
+        self.__setstate__((keys[order], weights[order].astype(np.float32)))
+
+    def __getstate__(self):
+        return self.keys, self.weights
+
+    def __setstate__(self, state):
+        self.keys, self.weights = state
+        self.bits = np.zeros(1 << 22, bool)
+        self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+
+    def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and their terms."""
+        maybe = np.flatnonzero(self.bits[(keys >> np.uint64(42)).astype(np.int64)])
+        if not len(self.keys) or not len(maybe):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
+        hit = self.keys[at] == keys[maybe]
+        return maybe[hit], at[hit]
+
+    def unit(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        """Weights of a sparse matrix whose rows have length 1."""
+        weight = (1 + np.log(count)) * self.weights[term]
+        norm = np.sqrt(np.bincount(doc, weight**2, n))
+        return weight / np.where(norm == 0, 1, norm)[doc]
+
+    def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, weight) of a slice, by document."""
         doc, key = term_keys(data, offsets)
-        maybe = np.flatnonzero(self.bits[(key >> np.uint64(48)).astype(np.int64)])
-        at = np.minimum(np.searchsorted(self.keys, key[maybe]), m - 1)
-        hit = self.keys[at] == key[maybe]
-        counts = np.bincount(doc[maybe[hit]] * m + at[hit], minlength=n * m).reshape(n, m).astype(np.float32)
-        weights = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0).astype(np.float32) * self.idf
-        norm = np.linalg.norm(weights, axis=1, keepdims=True)
-        return weights / np.where(norm == 0, 1, norm)
+        known, term = self.place(key)
+        code, count = np.unique((doc[known].astype(np.int64) << 32) | term, return_counts=True)
+        doc, term = code >> 32, code & 0xFFFFFFFF
+        return doc, term, self.unit(doc, term, count, len(offsets) - 1)
 
 
 class BlockMaxIndex:
-    """Exact top-k by cosine among non-negative unit vectors."""
-
-    def __init__(self, entries: np.ndarray):
-        self.n, self.terms = entries.shape
-        self.blocks, maxima = [], []
-        for lo in range(0, self.n, BLOCK):
-            part = entries[lo : lo + BLOCK]
-            used = np.flatnonzero(part.any(axis=0))  # the terms with a posting in this block
-            self.blocks.append((lo, used, np.ascontiguousarray(part[:, used].T)))
-            maxima.append(part.max(axis=0))
-        self.maxima = np.stack(maxima, axis=1) if maxima else np.zeros((self.terms, 0), np.float32)
-        self.opened = 0
-
-    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines and entries (-1: none) of the k nearest with a cosine above 0, nearest first."""
-        m = len(queries)
-        best, who = np.zeros((m, k), np.float32), np.full((m, k), -1, np.int64)
-        if not m or not len(self.blocks):
+    """Posting lists with block maxima: exact top-k by cosine among non-negative unit vectors."""
+
+    def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int):
+        order = np.lexsort((entry, term))
+        #: Postings by term and entry: all that is sent to workers.
+        self.kept = (n, np.bincount(term, minlength=terms).astype(np.int32), entry[order].astype(np.uint16 if n < 1 << 16 else np.int32), weight[order].astype(np.float32))
+        self._build()
+
+    def __getstate__(self):
+        return self.kept
+
+    def __setstate__(self, kept):
+        self.kept = kept
+        self._build()
+
+    def _build(self) -> None:
+        n, size, entry, weight = self.kept
+        terms = len(size)
+        entry, term = entry.astype(np.int32), np.repeat(np.arange(terms, dtype=np.int32), size)
+        self.n, self.blocks, self.opened = n, -(-n // BLOCK), 0
+        #: Row of each term with a long list, -1 for the others.
+        self.row = np.where(size > n / DENSE, np.cumsum(size > n / DENSE) - 1, -1).astype(np.int32)
+        dense = self.row[term] >= 0
+        self.rows = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * BLOCK), np.float32)
+        self.rows[self.row[term[dense]], entry[dense]] = weight[dense]
+        self.entry, self.weight, term = entry[~dense], weight[~dense], term[~dense]
+        part = self.entry // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])))) if len(term) else np.empty(0, np.int64)
+        self.first = np.append(first, len(term)).astype(np.int32)
+        self.part, self.most = part[first], np.maximum.reduceat(self.weight, first) if len(first) else self.weight
+        self.list = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+
+    def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines and entries (-1: none) of the k nearest of each of m queries with a cosine above 0, nearest first."""
+        best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
+        if not self.n or not len(doc):
             return best, who
-        bound = queries @ self.maxima * np.float32(1.00001)  # rounding must not prune
-        order = np.argsort(-bound, axis=1, kind="stable")
-        active = np.arange(m)
-        for turn in range(len(self.blocks)):
-            block = order[active, turn]
-            top = bound[active, block]
-            alive = (top > 0) & (top >= best[active, k - 1])
-            active, block = active[alive], block[alive]
-            if not len(active):
-                break
-            by = np.argsort(block, kind="stable")
-            edges = np.flatnonzero(np.concatenate(([True], block[by][1:] != block[by][:-1])))
-            for lo, hi in zip(edges, [*edges[1:], len(by)]):
-                rows = active[by[lo:hi]]
-                first, used, weights = self.blocks[block[by[lo]]]
-                self.opened += len(rows)
-                found = queries[np.ix_(rows, used)] @ weights
-                names = np.where(found > 0, first + np.arange(weights.shape[1]), -1)
-                merged, ids = np.concatenate([best[rows], found], axis=1), np.concatenate([who[rows], names], axis=1)
-                ranked = np.lexsort((np.where(ids < 0, self.n, ids), -merged), axis=1)[:, :k]
-                best[rows], who[rows] = np.take_along_axis(merged, ranked, 1), np.take_along_axis(ids, ranked, 1)
+        edges, lo = np.searchsorted(doc, np.arange(m + 1)), 0
+        reach = np.concatenate(([0], np.cumsum(self.list[term + 1] - self.list[term])))[edges]
+        most_rows = max(1, STEP // self.n)
+        while lo < m:
+            hi = min(m, lo + most_rows, max(lo + 1, int(np.searchsorted(reach, reach[lo] + STEP, "right")) - 1))
+            a, b = edges[lo], edges[hi]
+            if b > a:
+                best[lo:hi], who[lo:hi] = self._some(doc[a:b] - lo, term[a:b], weight[a:b].astype(np.float32), hi - lo, k)
+            lo = hi
+        return best, who
+
+    def _some(self, doc, term, weight, m, k):
+        row = self.row[term]
+        dense = row >= 0
+        long_ = np.zeros((m, len(self.rows)), np.float32)
+        long_[doc[dense], row[dense]] = weight[dense]
+        cosine = long_ @ self.rows
+        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
+        lists = (self.list[term + 1] - self.list[term]).astype(np.int64)
+        query, part, weight = np.repeat(doc, lists), ragged(self.list[term].astype(np.int64), lists), np.repeat(weight, lists)
+        block = self.part[part]
+        bound = np.bincount(query * self.blocks + block, weight * self.most[part], m * self.blocks).reshape(m, self.blocks)
+        bound = (bound + cosine.reshape(m, self.blocks, BLOCK).max(axis=2)) * 1.00001  # rounding must not prune
+        cosine = cosine[:, : self.n]
+        open_ = np.zeros(bound.shape, bool)
+        some = min(3, self.blocks)
+        np.put_along_axis(open_, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, 1)
+        self._open(cosine, open_, query, part, block, weight)
+        if self.n > k:
+            kth = np.partition(cosine, self.n - k, axis=1)[:, self.n - k]
+            rest = (bound >= kth[:, None]) & (bound > 0) & ~open_
+        else:
+            rest = (bound > 0) & ~open_
+        self._open(cosine, rest, query, part, block, weight)
+        kth = np.partition(cosine, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(m)
+        row, entry = np.nonzero((cosine >= kth[:, None]) & (cosine > 0))
+        value = cosine[row, entry]
+        order = np.lexsort((entry, -value, row))
+        row, entry, value = row[order], entry[order], value[order]
+        place = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
+        keep = place < k
+        best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
+        best[row[keep], place[keep]], who[row[keep], place[keep]] = value[keep], entry[keep]
         return best, who
 
+    def _open(self, cosine, open_, query, part, block, weight) -> None:
+        """Adds to ``cosine`` what the queries' terms give in the opened blocks."""
+        self.opened += int(open_.sum())
+        mine = np.flatnonzero(open_[query, block])
+        sizes = (self.first[part[mine] + 1] - self.first[part[mine]]).astype(np.int64)
+        reach = np.concatenate(([0], np.cumsum(sizes)))
+        lo = 0
+        while lo < len(mine):
+            hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] + 4 * STEP, "right")) - 1)
+            at = ragged(self.first[part[mine[lo:hi]]].astype(np.int64), sizes[lo:hi])
+            place = np.repeat(query[mine[lo:hi]] * self.n, sizes[lo:hi]) + self.entry[at]
+            cosine += np.bincount(place, np.repeat(weight[mine[lo:hi]], sizes[lo:hi]) * self.weight[at], cosine.shape[0] * self.n).reshape(cosine.shape).astype(np.float32)
+            lo = hi
+
 
 class Model:
-    def __init__(self, space: Space, entries: np.ndarray, toxic: np.ndarray, total: np.ndarray, examples: list[int], without: tuple[int, int], k: int, soft: float):
-        self.space, self.toxic, self.total, self.examples, self.k, self.soft = space, toxic, total, examples, k, soft
-        self.index = BlockMaxIndex(entries)
-        seen = int(total.sum()) + without[1]
-        self.rate = (int(toxic.sum()) + without[0]) / seen if seen else 0.0
-        self.without = (without[0] + self.rate) / (without[1] + 1)
+    def __init__(self, space: Space, index: BlockMaxIndex, toxic: np.ndarray, total: np.ndarray, examples: list[int], k: int, soft: float):
+        self.space, self.index, self.toxic, self.total, self.examples, self.k, self.soft = space, index, toxic, total, examples, k, soft
+        self.rate = float(toxic.sum() / total.sum()) if len(total) else 0.0
+        self.slope, self.offset = 1.0, 0.0
+
+    def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Share of toxic votes, smoothed by the overall rate."""
+        if not len(self.total):
+            return np.zeros(len(who))
+        weight = np.where(who >= 0, np.sqrt(self.total[who]) / (1 - np.minimum(best, 1) + self.soft), 0)
+        share = np.where(who >= 0, self.toxic[who] / np.maximum(self.total[who], 1), 0)
+        return ((weight * share).sum(axis=1) + self.rate) / (weight.sum(axis=1) + 1)
+
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        if not len(self.total):
+            return np.zeros(len(votes))
+        return 1 / (1 + np.exp(-np.clip(self.slope * _logit(votes) + self.offset, -30, 30)))
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Logistic fit of what examples are to the votes they get from the others."""
+        x, a, b = _logit(votes), 1.0, 0.0
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
+            w, r = p * (1 - p) + 1e-9, p - toxic
+            hessian = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])  # a little pull towards the plain votes
+            step = np.linalg.solve(hessian, [(r * x).sum() + a - 1, r.sum() + b])
+            step *= min(1.0, 1 / abs(step).max())
+            a, b = a - step[0], b - step[1]
+            if abs(step).max() < 1e-8:
+                break
+        if a > 0:
+            self.slope, self.offset = float(a), float(b)
+
+    def near(self, data: np.ndarray, offsets: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        doc, term, weight = self.space.vectors(data, offsets)
+        return self.index.search(doc, term, weight, len(offsets) - 1, k or self.k)
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scores, and entries and cosines of the neighbours, of a slice's documents."""
-        vectors = self.space.vectors(data, offsets)
-        scores = np.full(len(vectors), self.without)
-        near, cosines = np.full((len(vectors), self.k), -1, np.int64), np.zeros((len(vectors), self.k), np.float32)
-        rows = np.flatnonzero(vectors.any(axis=1))
-        if len(rows):
-            distinct, back = np.unique(vectors[rows], axis=0, return_inverse=True)
-            best, who = self.index.search(distinct, self.k)
-            weight = np.where(who >= 0, 1 / (1 - np.minimum(best.astype(np.float64), 1) + self.soft), 0) * np.where(who >= 0, np.sqrt(self.total[who]), 0)
-            share = np.where(who >= 0, self.toxic[who] / np.maximum(self.total[who], 1), 0)
-            voted = ((weight * share).sum(axis=1) + self.rate) / (weight.sum(axis=1) + 1)
-            back = back.ravel()
-            scores[rows], near[rows], cosines[rows] = voted[back], who[back], best[back]
-        return scores, near, cosines
-
-
-def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 16_000, terms: int = 512, k: int = 15, soft: float = 0.1, least: int = 8) -> Model:
-    """Choose terms and index the examples; see the module's text for the bounds."""
+        best, who = self.near(data, offsets)
+        return self.calibrated(self.votes(best, who)), who, best
+
+
+def _logit(x: np.ndarray) -> np.ndarray:
+    x = np.clip(x, 1e-6, 1 - 1e-6)
+    return np.log(x / (1 - x))
+
+
+def term_weights(entry: np.ndarray, term: np.ndarray, terms: int, bad: np.ndarray, boost: float) -> np.ndarray:
+    """Inverse document frequency of each term, times up to ``boost`` for one that goes with the label."""
+    n, rate = len(bad), bad.mean()
+    df = np.bincount(term, minlength=terms)
+    toxic = np.bincount(term, bad[entry], terms)
+    expected = df * rate
+    chi = np.where(toxic > expected, (toxic - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0.0)
+    return np.log(1 + n / df) * (1 + boost * np.clip((chi - 16) / 48, 0, 1))
+
+
+def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 3_000, k: int = 15, soft: float = 0.1, boost: float = 20.0) -> Model:
+    """Index at most ``sample`` labelled examples, whole, and calibrate the votes on them."""
+    bounded_batches(documents.sparkSession)
     rows = persist(labelled_sample(documents, labels, target, sample), "toxicity-examples")
 
-    def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, docs, mark = [], 0, np.asarray(batch.column(2).to_numpy(zero_copy_only=False)) > 0
-        toxic = []
-        for lo, hi, data, offsets in byte_slices(batch.column(1)):
-            doc, key = term_keys(data, offsets)
-            pairs = np.unique(np.stack([key, doc.astype(np.uint64)]), axis=1) if len(key) else np.empty((2, 0), np.uint64)
-            keys.append(pairs[0])
-            toxic.append(mark[lo:hi][pairs[1].astype(np.int64)])
-            docs += hi - lo
-        distinct, back = np.unique(np.concatenate(keys) if keys else np.empty(0, np.uint64), return_inverse=True)
-        n = np.bincount(back, minlength=len(distinct))
-        bad = np.bincount(back, np.concatenate(toxic) if toxic else None, minlength=len(distinct)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(n, pa.int64()), pa.array(bad, pa.int64())], ["term", "n", "bad"])
-
-    n_docs, n_bad = rows.agg(F.count("*"), F.coalesce(F.sum((F.col(target) > 0).cast("long")), F.lit(0))).first()
-    counted = map_arrow(rows.select("doc_id", "text", target), count, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    expected = F.col("n") * F.lit(n_bad / n_docs if n_docs else 0.0)
-    chi = (F.col("bad") - expected) ** 2 / F.greatest(expected * (1 - F.lit(n_bad / n_docs if n_docs else 0.0)), F.lit(1e-9))
-    chosen = counted.where(F.col("n") >= least).withColumn("chi", chi).where("chi > 16").orderBy(F.desc("chi"), "term").limit(terms).collect()
-    keys = np.array([r.term for r in chosen], np.int64).view(np.uint64)
-    space = Space(keys, np.array([np.log(1 + n_docs / r.n) for r in chosen], np.float64))
-
-    def vectors(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = [v.tobytes() if v.any() else None for _, _, data, offsets in byte_slices(batch.column(1)) for v in space.vectors(data, offsets)]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(out, pa.binary()), batch.column(2).cast(pa.int64())], ["doc_id", "vector", "bad"])
-
-    made = map_arrow(rows.select("doc_id", "text", target), vectors, "doc_id long, vector binary, bad long")
-    entries = made.groupBy("vector").agg(F.count("*").alias("n"), F.sum((F.col("bad") > 0).cast("long")).alias("bad"), F.min("doc_id").alias("example")).collect()  # at most `sample` short rows
-    none = next(((r.bad, r.n) for r in entries if r.vector is None), (0, 0))
-    entries = [r for r in entries if r.vector is not None]
-    matrix = np.stack([np.frombuffer(r.vector, np.float32) for r in entries]) if entries else np.zeros((0, len(keys)), np.float32)
-    order = np.lexsort((np.array([r.example for r in entries]), matrix.argmax(axis=1))) if entries else np.empty(0, np.int64)  # alike vectors side by side: tight maxima
-    pick = lambda name: np.array([getattr(entries[i], name) for i in order], np.int64)
-    return Model(space, matrix[order], pick("bad"), pick("n"), pick("example").tolist(), none, k, soft)
+    def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys, counts = [], []
+        for _, _, data, offsets in byte_slices(batch.column(1), SLICE):
+            doc, key, count = counted(*term_keys(data, offsets))
+            edges = np.searchsorted(doc, np.arange(len(offsets)))
+            keys += [key[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+            counts += [count[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), batch.column(2).cast(pa.int64())], ["doc_id", "keys", "counts", "bad"])
+
+    found = map_arrow(rows.select("doc_id", "text", target), sparse, "doc_id long, keys binary, counts binary, bad long").collect()  # at most `sample` sparse vectors
+    alike: dict[bytes, list[int]] = {}
+    parts: list[tuple[bytes, bytes]] = []
+    for r in sorted(found, key=lambda r: r.doc_id):
+        name = hashlib.sha256(len(r["keys"]).to_bytes(8, "little") + r["keys"] + r.counts).digest()
+        if name not in alike:
+            alike[name] = [r.doc_id, 0, 0]
+            parts.append((r["keys"], r.counts))
+        alike[name][1] += 1
+        alike[name][2] += int(r.bad > 0)
+    del found
+    entries = list(alike.values())
+    example, total, toxic = (np.array([e[i] for e in entries], np.int64) for i in range(3))
+    flat, counts = np.frombuffer(b"".join(p[0] for p in parts), np.uint64), np.frombuffer(b"".join(p[1] for p in parts), "<u4").astype(np.int64)
+    sizes = np.array([len(p[0]) // 8 for p in parts], np.int64)
+    del parts
+    names, term = np.unique(flat, return_inverse=True)
+    entry = np.repeat(np.arange(len(entries)), sizes)
+    bad = (2 * toxic > total).astype(np.float64)
+    space = Space(names, term_weights(entry, term, len(names), bad, boost) if len(entries) else np.empty(0))
+    weight = space.unit(entry, term, counts, len(entries))
+    # entries whose heaviest term is the same stand side by side, which makes block maxima tight
+    top = np.full(len(entries), -1, np.int64)
+    by = np.lexsort((weight, entry))
+    top[entry[by]] = term[by]
+    order = np.lexsort((example, top, -bad))
+    place = np.empty(len(entries), np.int64)
+    place[order] = np.arange(len(entries))
+    index = BlockMaxIndex(place[entry], term, weight, len(entries), len(names))
+    model = Model(space, index, toxic[order], total[order], example[order].tolist(), k, soft)
+    if len(entries):
+        _calibrate(rows, model, target)
+    return model
+
+
+def _calibrate(rows: DataFrame, model: Model, target: str) -> None:
+    shared = _shared(rows, model)
+
+    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = []
+        for _, _, data, offsets in byte_slices(batch.column(1), SLICE):
+            m = shared.value
+            best, who = m.near(data, offsets, m.k + 1)
+            own = (who >= 0) & (best > 1 - 1e-6)  # its own entry: equal texts are one
+            own[:, 1:] &= ~np.logical_or.accumulate(own, axis=1)[:, :-1]
+            own[~own.any(axis=1), m.k] = True
+            out.append(m.votes(best[~own].reshape(-1, m.k), who[~own].reshape(-1, m.k)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()), batch.column(2).cast(pa.int64())], ["vote", "bad"])
+
+    got = map_arrow(rows.select("doc_id", "text", target), others, "vote double, bad long").collect()  # at most `sample` numbers
+    shared.destroy()
+    model.calibrate(np.array([r.vote for r in got]), np.array([float(r.bad > 0) for r in got]))
 
 
 def _shared(documents: DataFrame, model: Model):
-    return documents.sparkSession.sparkContext.broadcast(model)  # at most `sample` x `terms` weights
+    return documents.sparkSession.sparkContext.broadcast(model)  # the postings of at most `sample` examples
 
 
 def score_toxicity(documents: DataFrame, model: Model, evidence: bool = True) -> DataFrame:
     """doc_id, score, predicted and (with ``evidence``) the nearest examples' doc_ids and cosines."""
+    bounded_batches(documents.sparkSession)
     shared = _shared(documents, model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, scores, who, cos = shared.value, [], [], []
-        for _, _, data, offsets in byte_slices(batch.column(1)):
+        model, scores, who, cos, sizes = shared.value, [], [], [], []
+        names = np.array(model.examples, np.int64)
+        for _, _, data, offsets in byte_slices(batch.column(1), SLICE):
             score, near, cosines = model.score(data, offsets)
             scores.append(score)
             if evidence:
-                who += [[model.examples[i] for i in r if i >= 0] for r in near.tolist()]
-                cos += [[float(c) for c, i in zip(cs, r) if i >= 0] for cs, r in zip(cosines.tolist(), near.tolist())]
+                some = near >= 0
+                sizes.append(some.sum(axis=1))
+                who.append(names[near[some]])
+                cos.append(cosines[some])
         score = np.concatenate(scores) if scores else np.empty(0)
         made = {"score": pa.array(score, pa.float64()), "predicted": pa.array((score >= 0.5).astype(np.int32), pa.int32())}
         if evidence:
-            made |= {"examples": pa.array(who, pa.list_(pa.int64())), "cosines": pa.array(cos, pa.list_(pa.float64()))}
+            at = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(sizes) if sizes else [])))).cast(pa.int32())
+            made |= {
+                "examples": pa.ListArray.from_arrays(at, pa.array(np.concatenate(who) if who else [], pa.int64())),
+                "cosines": pa.ListArray.from_arrays(at, pa.array(np.concatenate(cos) if cos else [], pa.float64())),
+            }
         return batch_with(batch.select([0]), made)
 
     schema = "doc_id long, score double, predicted int" + ", examples array<long>, cosines array<double>" * evidence
@@ -214,10 +375,11 @@ def score_toxicity(documents: DataFrame, model: Model, evidence: bool = True) ->
 
 def reject_toxic(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows of ``documents`` that score below ``least``, all columns as they were."""
+    bounded_batches(documents.sparkSession)
     shared = _shared(documents, model)
 
     def work(texts: pa.Array) -> dict[str, pa.Array]:
-        scores = [shared.value.score(data, offsets)[0] for _, _, data, offsets in byte_slices(texts)]
+        scores = [shared.value.score(data, offsets)[0] for _, _, data, offsets in byte_slices(texts, SLICE)]
         return {"keep": pa.array((np.concatenate(scores) if scores else np.empty(0)) < least, pa.bool_())}
 
     return annotate(documents, "text", work, "keep boolean", keep=lambda made: made["keep"])
