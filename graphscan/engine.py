@@ -19,6 +19,17 @@ class Engine:
         self.source, self.registry = source, registry or code_registry()
         self._counts: dict[Setting, int] = {}
 
+    def on_keys(self, keys: list[str]) -> Engine:
+        """The same engine over some indexes only; their key column is what tables are partitioned by."""
+        return Engine(self.source.only_keys(keys), self.registry)
+
+    def on_org(self, org) -> Engine:
+        return Engine(self.source.only_org(org), self.registry)
+
+    def on_overlay(self, root_key: str, diff_key: str, changed: DataFrame) -> Engine:
+        """The same engine over a diff index that lies over its root."""
+        return Engine(self.source.overlaid(root_key, diff_key, changed), self.registry)
+
     def graph(self, text: str) -> DataFrame:
         """Ids at the root, after each walk and at the end of a path query."""
         return relational.graph_paths(self.source, parse.parse_graph(text))

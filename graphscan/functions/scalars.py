@@ -80,3 +80,23 @@ def letters_number(text: str) -> int:
     for c in text:
         n = n * 26 + ord(c) - 64
     return n - 1
+
+
+def row_id(*parts: Column) -> Column:
+    """An id that depends on the parts alone, so that a repeated task gives the same rows."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(p.cast("string"), F.lit("\x00")) for p in parts]), 256)
+
+
+def import_target(here: Column, module: Column) -> Column:
+    """The file, without ending, that a relative import in file ``here`` names; other modules as they are."""
+    folder = F.regexp_replace(here, "/?[^/]*$", "")
+    joined = F.split(F.concat_ws("/", F.when(folder != "", folder), module), "/")
+    step = lambda done, part: F.when((part == ".") | (part == ""), done).when((part == "..") & (F.size(done) > 0), F.slice(done, F.lit(1), F.size(done) - 1)).otherwise(F.concat(done, F.array(part)))
+    plain = F.array_join(F.aggregate(joined, F.array().cast("array<string>"), step), "/")
+    return F.when(module.startswith("."), F.regexp_replace(plain, "(/index)?\\.(ts|tsx|js|jsx)$", "")).otherwise(module)
+
+
+def at_path(document: Column, path: str, required: bool = False) -> Column:
+    """The value at ``$.a.b`` of a JSON text; null, or an error if it is required, where there is none."""
+    value = F.get_json_object(document, path)
+    return F.coalesce(value, F.raise_error(F.lit(f"nothing at {path}")).cast("string")) if required else value

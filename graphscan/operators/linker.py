@@ -49,5 +49,9 @@ def schema_violations(nodes: DataFrame, edges: DataFrame, legal: DataFrame) -> D
     """Edges whose (from type, type, to type) is not among the legal triples (null: any)."""
     ends = lambda side: nodes.select(F.col("id").alias(side), F.col("type").alias(f"{side}_type"))
     typed = edges.join(ends("from"), "from").join(ends("to"), "to")
-    fits = (typed["type"] == legal["type"]) & (legal["from_type"].isNull() | (typed["from_type"] == legal["from_type"])) & (legal["to_type"].isNull() | (typed["to_type"] == legal["to_type"]))
-    return typed.join(F.broadcast(legal), fits, "left_anti")  # the vocabulary of a language: under a hundred triples
+    # types that occur, not edges, meet the vocabulary: at most the product of its words
+    kinds = typed.select("from_type", "type", "to_type").distinct()
+    fits = (kinds["type"] == legal["type"]) & (legal["from_type"].isNull() | (kinds["from_type"] == legal["from_type"])) & (legal["to_type"].isNull() | (kinds["to_type"] == legal["to_type"]))
+    wrong = kinds.join(legal, fits, "left_anti")
+    same = [typed[c].eqNullSafe(wrong[c]) for c in ("from_type", "type", "to_type")]
+    return typed.join(wrong, same, "left_semi")

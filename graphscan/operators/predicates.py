@@ -38,8 +38,11 @@ def _has(key: str, values: Sequence[str]) -> Column:
     return F.exists("props", lambda p: (p["key"] == key) & p["value"].isin(*values))
 
 
-def node_condition(s: Setting) -> Column:
-    """What a setting asks of node columns (types included)."""
+def node_condition(s: Setting, single_names: bool = False) -> Column:
+    """What a setting asks of node columns (types included).
+
+    With ``single_names`` a node is found by its name alone, a plain column that scans can filter by.
+    """
     out = F.lit(True)
     if s.ids:
         out = out & F.col("id").isin(*s.ids)
@@ -48,7 +51,7 @@ def node_condition(s: Setting) -> Column:
     if s.not_types:
         out = out & ~F.col("type").isin(*s.not_types)
     if s.names:
-        out = out & F.exists("search_name", lambda x: text_match(x, s.names))
+        out = out & (text_match(F.col("name"), s.names) if single_names else F.exists("search_name", lambda x: text_match(x, s.names)))
     if s.index:
         out = out & F.col("index").isin(*s.index)
     by_key: dict[str, list[str]] = {}
@@ -66,3 +69,9 @@ def edge_condition(e: EdgeType) -> Column:
     if e.index:
         out = out & F.col("index").isin(*e.index)
     return out
+
+
+def edge_props(pairs: Sequence[tuple[str, str]]) -> Column:
+    """Edges with any of the (key, value) pairs among their ``props``; no text of the languages asks for it."""
+    wanted = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in pairs])
+    return F.arrays_overlap("props", wanted)

@@ -10,8 +10,6 @@ over cycles end.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -20,6 +18,7 @@ from pyspark.sql import functions as F
 from ..lang.tree import EdgeType, Linear, NodeCheck, Repeated
 from ..plans.automaton import Automaton
 from ..sources.graph import GraphSource
+from ..sources.shared import shared_base
 from .predicates import edge_condition, node_condition
 
 
@@ -27,7 +26,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder all executors share, its lineage cut."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "graphscan-checkpoints"))
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
@@ -120,6 +119,19 @@ def end_types(source: GraphSource, types: set[str] | None, steps) -> set[str] |
     return types
 
 
+def single_hop(step) -> EdgeType | None:
+    """The edge of a step that is one obligatory hop along one edge type."""
+    if isinstance(step, Linear) and len(step.follows) == 1 and step.follows[0].kind == "t" and len(step.follows[0].edges) == 1:
+        return step.follows[0].edges[0]
+    return None
+
+
+def hop_table(source: GraphSource, edge: EdgeType) -> DataFrame:
+    """(_from, at) of every edge that a hop may take, each different edge once."""
+    here, there = ("to", "from") if edge.reverse else ("from", "to")
+    return source.edges(edge.type).where(edge_condition(edge)).select(F.col(here).alias("_from"), F.col(there).alias("at"))
+
+
 def follow_steps(rows: DataFrame, source: GraphSource, steps, types: set[str] | None, members: list[str]) -> DataFrame:
     """Rows after some steps, with the wanted members of the nodes they end at as ``_m_<member>``."""
     for i, step in enumerate(steps):

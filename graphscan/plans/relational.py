@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..lang.tree import Call, Column, Graph, Member, QueryError, Relational
 from ..operators.predicates import node_condition
-from ..operators.traverse import end_types, follow_steps
+from ..operators.traverse import end_types, follow_steps, hop_table, single_hop
 from ..sources.graph import GraphSource
 
 _HYDRATED = {"extracted": ("key", "path", "start_index", "end_index"), "repo": ("repo",)}
@@ -74,7 +74,7 @@ def root_scan(source: GraphSource, graph: Graph, members: list[str]) -> tuple[Da
     else:
         source_of_root = source
     types = set(graph.root.types) or ({i.split(":")[0] for i in graph.root.ids} if graph.root.ids and source.ends else None)
-    nodes = source_of_root.nodes(sorted(types) if types else None, graph.root.not_types).where(node_condition(graph.root))
+    nodes = source_of_root.nodes(sorted(types) if types else None, graph.root.not_types, graph.root.ids).where(node_condition(graph.root, source.single_names))
     if graph.traverses:
         rows = follow_steps(nodes.select(F.col("id").alias("at")), source, graph.traverses, types, members)
         return rows, end_types(source, types, graph.traverses)
@@ -108,8 +108,12 @@ def joined(source: GraphSource, query: Relational) -> DataFrame:
         own = members.get(trace.name, [])
         kinds[trace.name] = end_types(source, kinds[trace.source], trace.traverses)
         if trace.left or any(t.left and t.name == trace.source for t in query.traces):
-            starts = rows.where(F.col(at).isNotNull()).select(F.col(at).alias("_from")).distinct()
-            ends = take(trace.name, follow_steps(starts.withColumn("at", F.col("_from")), source, trace.traverses, kinds[trace.source], own))
+            hop = single_hop(trace.traverses[0]) if trace.traverses else None
+            if hop is not None:  # the edges themselves are the other side, so the rows are planned once
+                starts, steps, types = hop_table(source, hop), trace.traverses[1:], end_types(source, kinds[trace.source], trace.traverses[:1])
+            else:
+                starts, steps, types = rows.where(F.col(at).isNotNull()).select(F.col(at).alias("_from")).distinct().withColumn("at", F.col("_from")), trace.traverses, kinds[trace.source]
+            ends = take(trace.name, follow_steps(starts, source, steps, types, own))
             rows = rows.join(ends, rows[at] == ends["_from"], "left" if trace.left else "inner").drop("_from")
         else:
             rows = take(trace.name, follow_steps(rows.withColumn("at", F.col(at)), source, trace.traverses, kinds[trace.source], own))

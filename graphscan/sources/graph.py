@@ -26,8 +26,11 @@ class GraphSource:
     A table may be a function that makes it; it is called when a query first reads it.
     """
 
-    def __init__(self, nodes: dict[str | None, DataFrame], edges: dict[str | None, DataFrame], ends: dict[str, tuple[str, str]] | None = None, files: DataFrame | None = None):
+    def __init__(self, nodes: dict[str | None, DataFrame], edges: dict[str | None, DataFrame], ends: dict[str, tuple[str, str]] | None = None, files: DataFrame | None = None, narrow=None, single_names: bool = False):
+        """``narrow`` (type, table, ids) may filter a table by its own key columns to those that can have one of the ids;
+        ``single_names`` says that a node's search names are its name."""
         self._nodes, self._edges, self.ends, self._files = nodes, edges, ends or {}, files
+        self.narrow, self.single_names = narrow, single_names
 
     @staticmethod
     def _made(tables: dict, kind) -> DataFrame:
@@ -57,7 +60,11 @@ class GraphSource:
             return cls._made(tables, next(iter(tables))).where(F.lit(False))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chosen)
 
-    def nodes(self, types: Iterable[str] | None = None, leave: Iterable[str] = ()) -> DataFrame:
+    def nodes(self, types: Iterable[str] | None = None, leave: Iterable[str] = (), ids: Iterable[str] = ()) -> DataFrame:
+        """Nodes of some types (None: all); ``ids`` lets tables be narrowed to them, and does not replace the condition."""
+        ids = list(ids)
+        if ids and self.narrow:
+            return self._pick({k: (lambda k=k: self.narrow(k, self._made(self._nodes, k), ids)) for k in self._nodes}, types, leave)
         return self._pick(self._nodes, types, leave)
 
     def edges(self, kind: str) -> DataFrame:
@@ -69,7 +76,7 @@ class GraphSource:
         later = lambda tables, k, change: lambda: change(self._made(tables, k))
         nodes = {k: on_nodes(v) if k is None else later(self._nodes, k, on_nodes) for k, v in self._nodes.items()}
         edges = dict(self._edges) if on_edges is None else {k: on_edges(v) if k is None else later(self._edges, k, on_edges) for k, v in self._edges.items()}
-        return GraphSource(nodes, edges, self.ends, self._files)
+        return GraphSource(nodes, edges, self.ends, self._files, self.narrow, self.single_names)
 
     def only_files(self, pattern: str) -> GraphSource:
         """Root nodes whose path matches: one pattern with ``*``, or a list of paths."""
@@ -84,6 +91,21 @@ class GraphSource:
         keep = lambda t: t.where(F.col("key").isin(*keys))
         return self.map_tables(keep, keep)
 
+    def only_org(self, org) -> GraphSource:
+        """Nodes and edges of one organisation, for graphs whose tables have ``org_id``."""
+        keep = lambda t: t.where(F.col("org_id") == org)
+        return self.map_tables(keep, keep)
+
+    def overlaid(self, root_key: str, diff_key: str, changed: DataFrame) -> GraphSource:
+        """The graph of a diff index over its root: of files that changed (path) the diff's nodes and edges, of others the root's.
+
+        Edges belong to a file if they have ``path``; without it they go by the nodes they start from.
+        """
+        nodes = lambda t: overlay(t, root_key, diff_key, changed)
+        starts = lambda: overlay(self.nodes(), root_key, diff_key, changed).select(F.col("id").alias("from"), "key")
+        edges = lambda t: overlay(t, root_key, diff_key, changed) if "path" in t.columns else t.join(starts(), ["from", "key"], "left_semi").select(*t.columns)
+        return self.map_tables(nodes, edges)
+
 
 def overlay(rows: DataFrame, root_key: str, diff_key: str, changed: DataFrame) -> DataFrame:
     """Rows of a diff index over its root: the root's rows of files that did not change, and the diff's."""

@@ -11,17 +11,19 @@ different edges.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import PROPS, GraphSource
 
 
-def _nodes(df: DataFrame, kind: str, key, name=None, index=None, props: dict | None = None, path=None) -> DataFrame:
+def _nodes(df: DataFrame, kind: str, key, name=None, index=None, props: dict | None = None, path=None, raw=None) -> DataFrame:
     name = F.lit(None).cast("string") if name is None else F.col(name)
     pairs = [F.struct(F.lit(k).alias("key"), F.col(v).cast("string").alias("value")) for k, v in (props or {}).items()]
     return df.select(
-        F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), name.alias("name"), (F.lit(None) if index is None else F.col(index)).cast("int").alias("index"),
+        *[c.alias("_raw") for c in ([raw] if raw is not None else [])], F.concat(F.lit(f"{kind}:"), key).alias("id"), F.lit(kind).alias("type"), name.alias("name"), (F.lit(None) if index is None else F.col(index)).cast("int").alias("index"),
         F.when(name.isNotNull(), F.array(name)).otherwise(F.array().cast("array<string>")).alias("search_name"), (F.array(*pairs) if pairs else F.array()).cast(PROPS).alias("props"),
         F.lit("tables").alias("key"), (F.lit(kind) if path is None else path).alias("path"),
     )
@@ -36,15 +38,15 @@ def tabular_graph(spark: SparkSession, sf_dir: str) -> GraphSource:
     text = lambda *cs: F.concat_ws(":", *[F.col(c).cast("string") for c in cs])
     at = lambda kind, *cs: F.concat(F.lit(f"{kind}:"), text(*cs))
     nodes = {
-        "region": lambda: _nodes(t("region"), "region", text("r_regionkey"), "r_name"),
-        "nation": lambda: _nodes(t("nation"), "nation", text("n_nationkey"), "n_name"),
-        "customer": lambda: _nodes(t("customer"), "customer", text("c_custkey"), "c_name", props={"segment": "c_mktsegment"}),
-        "supplier": lambda: _nodes(t("supplier"), "supplier", text("s_suppkey"), "s_name"),
-        "part": lambda: _nodes(t("part"), "part", text("p_partkey"), "p_name", "p_size", {"brand": "p_brand", "type": "p_type"}),
-        "order": lambda: _nodes(t("orders"), "order", text("o_orderkey"), "o_orderstatus", props={"priority": "o_orderpriority"}),
-        "event": lambda: _nodes(t("events"), "event", text("event_id"), "event_type"),
+        "region": lambda: _nodes(t("region"), "region", text("r_regionkey"), "r_name", raw=F.col("r_regionkey")),
+        "nation": lambda: _nodes(t("nation"), "nation", text("n_nationkey"), "n_name", raw=F.col("n_nationkey")),
+        "customer": lambda: _nodes(t("customer"), "customer", text("c_custkey"), "c_name", props={"segment": "c_mktsegment"}, raw=F.col("c_custkey")),
+        "supplier": lambda: _nodes(t("supplier"), "supplier", text("s_suppkey"), "s_name", raw=F.col("s_suppkey")),
+        "part": lambda: _nodes(t("part"), "part", text("p_partkey"), "p_name", "p_size", {"brand": "p_brand", "type": "p_type"}, raw=F.col("p_partkey")),
+        "order": lambda: _nodes(t("orders"), "order", text("o_orderkey"), "o_orderstatus", props={"priority": "o_orderpriority"}, raw=F.col("o_orderkey")),
+        "event": lambda: _nodes(t("events"), "event", text("event_id"), "event_type", raw=F.col("event_id")),
         "turn": lambda: _nodes(t("conversations"), "turn", text("conv_id", "turn"), "role", "turn"),
-        "document": lambda: _nodes(t("documents"), "document", text("doc_id"), "lang", path=F.concat(text("doc_id"), F.lit(".txt"))),
+        "document": lambda: _nodes(t("documents"), "document", text("doc_id"), "lang", path=F.concat(text("doc_id"), F.lit(".txt")), raw=F.col("doc_id")),
     }
     line = lambda *cs: t("lineitem").select(*cs).distinct()
     edges = {
@@ -58,4 +60,13 @@ def tabular_graph(spark: SparkSession, sf_dir: str) -> GraphSource:
     }
     ends = {"in_region": ("nation", "region"), "cust_nation": ("customer", "nation"), "supp_nation": ("supplier", "nation"), "placed": ("customer", "order"), "contains": ("order", "part"), "shipped_by": ("order", "supplier"), "next_turn": ("turn", "turn")}
     files = lambda: t("documents").select(F.lit("tables").alias("key"), F.concat(text("doc_id"), F.lit(".txt")).alias("path"), "text")
-    return GraphSource(nodes, edges, ends, files)
+    return GraphSource(nodes, edges, ends, files, _narrow, True)
+
+
+def _narrow(kind: str, table: DataFrame, ids: list[str]) -> DataFrame:
+    """The table less what its whole-number key column rules out, which a scan can skip; the column is dropped."""
+    if "_raw" not in table.columns:
+        return table
+    mine = [i.split(":", 1)[1] for i in ids if i.startswith(f"{kind}:")]
+    numbers = [int(x) for x in mine if re.fullmatch(r"-?\d{1,18}", x)]
+    return table.where(F.col("_raw").isin(*numbers) if numbers else F.lit(False)).drop("_raw")

@@ -59,3 +59,59 @@ def append_index(stream: DataFrame, path: str, checkpoint: str):
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "key").parquet(path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def bucket_queue(stream: DataFrame, working: str, path: str, checkpoint: str, bucket: str, priority: str, tie: str):
+    """On every batch pops the most urgent waiting item of each bucket that has none in work.
+
+    The stream holds (op 'put' | 'done', id, and the columns named).  ``working``
+    is a folder of items, with ``state`` 'waiting' or 'working', one version a
+    batch; ``path`` gets the popped ones.  A replayed batch writes the same again.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        put = batch.where("op = 'put'").drop("op").dropDuplicates(["id"]).withColumn("state", F.lit("waiting"))
+        before = spark.read.schema(put.schema).parquet(f"{working}/{number - 1}") if number else put.where("false")
+        done = batch.where("op = 'done'").select("id")
+        held = before.unionByName(put.join(before.select("id"), "id", "left_anti").select(*put.columns)).join(done, "id", "left_anti").select(*put.columns)
+        busy = held.where("state = 'working'").select(bucket).distinct()
+        free = held.where("state = 'waiting'").join(busy, bucket, "left_anti")
+        place = F.row_number().over(W.partitionBy(bucket).orderBy(F.desc(priority), tie))
+        popped = free.withColumn("_place", place).where("_place = 1").select("id", F.lit(True).alias("_popped"))
+        after = held.join(popped, "id", "left").withColumn("state", F.when(F.col("_popped"), "working").otherwise(F.col("state"))).withColumn("_now", F.coalesce("_popped", F.lit(False)))
+        after.drop("_popped", "_now").select(*put.columns).write.mode("overwrite").parquet(f"{working}/{number}")
+        after.where("_now").select(*[c for c in put.columns if c != "state"]).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def run_items(stream: DataFrame, work, path: str, checkpoint: str):
+    """Applies ``work`` (an item's text to a text) to every item (id, payload) of a stream.
+
+    An item that fails is recorded with its error and acknowledged all the
+    same; the others go on.  Concurrency is that of Spark's tasks; stopping the
+    query stops the queue.
+    """
+
+    def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            results, errors = [], []
+            for payload in batch["payload"]:
+                try:
+                    results.append(work(payload))
+                    errors.append(None)
+                except Exception as e:  # whatever an item's work raises is that item's result
+                    results.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pd.DataFrame({"id": batch["id"], "result": results, "error": errors})
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.select("id", "payload").mapInPandas(one, "id string, result string, error string").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def distinct_stream(stream: DataFrame, keys: list[str], path: str, checkpoint: str):
+    """Appends the first row that comes of each key to a table; its state is one entry a key."""
+    return stream.dropDuplicates(keys).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,12 @@ from pyspark.sql import functions as F
 from .engine import Engine
 from .functions import scalars
 from .lang.tree import EdgeType, Follow, Linear
-from .operators import linker
+from .operators import history, linker
 from .operators.traverse import walk
 from .plans.registry import tabular_registry
-from .sources.graph import latest_per, overlay, stale_versions
+from .sources import catalog, files
+from .sources.graph import PROPS, GraphSource, latest_per, overlay, stale_versions
+from .sources.shared import shared_folder
 from .sources.tabular import tabular_graph
 from .streaming import queues
 
@@ -191,10 +194,163 @@ def scalar_helpers(spark, sf_dir):
     return pages.select("page_id", key.alias("key"), scalars.repo_of_key(key).alias("repo"), scalars.range_text(F.lit(1), F.lit(2), F.lit(3), F.lit(4)).alias("shown"), F.url_encode("url").alias("url"))
 
 
-_CODE = [collect_group, graph_trace, bounded_repeat, logic_components, order_json_compat, hydrate_extract, hydrate_nearby, checksum, overlay_index, latest_version, stale, running_progress, dedupe_queue, bucket_queue, link_lookups, commit_chain, schema_violations, left_right_full, scalar_helpers]
+def index_stats(spark, sf_dir):
+    """Nodes of each type."""
+    return tabular_graph(spark, sf_dir).nodes().groupBy("type").agg(F.count("*").alias("n"))
+
+
+def _orders_by_key(spark, sf_dir) -> Engine:
+    """Customers and their orders, the order's status as index key."""
+    source = tabular_graph(spark, sf_dir)
+    customers = source.nodes(["customer"]).withColumn("key", F.explode(F.array(F.lit("F"), F.lit("O"), F.lit("P")))).drop("_raw")
+    orders = source.nodes(["order"]).withColumn("key", F.col("name")).drop("_raw")
+    return Engine(GraphSource({"customer": customers, "order": orders}, {"placed": source.edges("placed").withColumn("key", F.col("name"))}, {"placed": ("customer", "order")}), tabular_registry())
+
+
+def targeted_graph(spark, sf_dir):
+    """A path query over one index of several."""
+    return _orders_by_key(spark, sf_dir).on_keys(["F"]).graph('root{type:"customer"}.linear_traverse[t["placed"]]').select("root", "terminus")
+
+
+def targeted_relational(spark, sf_dir):
+    return _orders_by_key(spark, sf_dir).on_keys(["O", "P"]).relational('SELECT A.id AS a, A.name AS n FROM root{type:"order"} AS A')
+
+
+def targeted_logic(spark, sf_dir):
+    return _orders_by_key(spark, sf_dir).on_keys(["P"]).logic('tables::customer(C). tables::placed(C, O). %SELECT(C.id AS c, O.id AS o).')
+
+
+def overlay_walk(spark, sf_dir):
+    """Orders of a diff index (status F) lie over those of the root; files are customers."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    file = F.concat(F.lit("c"), F.col("o_custkey"))
+    key = F.when(F.col("o_orderstatus") == "F", "diff").otherwise("root")
+    node = orders.select(F.concat(F.lit("order:"), F.col("o_orderkey")).alias("id"), F.lit("order").alias("type"), F.col("o_orderstatus").alias("name"), F.lit(None).cast("int").alias("index"), F.array("o_orderstatus").alias("search_name"), F.array().cast(PROPS).alias("props"), key.alias("key"), file.alias("path"))
+    edge = orders.select(F.lit("of").alias("type"), F.concat(F.lit("order:"), F.col("o_orderkey")).alias("from"), file.alias("to"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("index"), key.alias("key"), file.alias("path"))
+    changed = orders.where("o_orderstatus = 'F'").select(file.alias("path"))
+    return Engine(GraphSource({"order": node}, {"of": edge}, {}), tabular_registry()).on_overlay("root", "diff", changed).graph('root{type:"order"}.linear_traverse[t["of"]]').select("root", "terminus")
+
+
+def metadata_upsert(spark, sf_dir):
+    """Balances by customer, with the totals of this table's orders in their place."""
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.col("c_acctbal").alias("v"))
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("v"))
+    return catalog.upserted(rows, orders, ["c_custkey"])
+
+
+def metadata_update(spark, sf_dir):
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", "s_name")
+    changes = spark.read.parquet(f"{sf_dir}/nation.parquet").where("n_regionkey = 1").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("s_name"))
+    return catalog.updated(suppliers, changes, ["s_nationkey"])
+
+
+def metadata_lookup(spark, sf_dir):
+    """Order lines by a two-column key, less those of a third."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey")
+    wanted = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("l_orderkey"), F.lit(1).alias("l_linenumber"))
+    gone = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_size < 10").select(F.col("p_partkey").alias("l_partkey"))
+    return catalog.deleted(catalog.looked_up(lines, wanted, ["l_orderkey", "l_linenumber"]), gone, ["l_partkey"]).groupBy("l_partkey").agg(F.count("*").alias("n"))
+
+
+def index_delete(spark, sf_dir):
+    """Orders stored by status; one index leaves, another loses rows, a third is upserted."""
+    store = catalog.IndexStore(spark, shared_folder(spark, "store"))
+    schema = "id long, price double, key string"
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("key"))
+    store.ensure("orders", schema)
+    store.append("orders", rows)
+    store.delete_key("F", ("orders",))
+    store.delete_where("orders", F.col("id") % 3 == 0)
+    store.upsert("orders", rows.where("key = 'P' and id % 2 = 0").withColumn("price", F.lit(0.0)))
+    return store.read("orders").groupBy("key").agg(F.count("*").alias("n"), F.sum((F.col("price") == 0).cast("long")).alias("zero"))
+
+
+def directory_listing(spark, sf_dir):
+    """Pages by the segments of their addresses."""
+    return files.in_listing_order(files.listing(spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path"))))
+
+
+def tree_changes(spark, sf_dir):
+    """What changes from the first lines of orders to the second ones."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    tree = lambda n: lines.where(F.col("l_linenumber") == n).groupBy(F.col("l_orderkey").alias("path")).agg(F.min("l_partkey").alias("blob"))
+    return files.tree_diff(tree(1), tree(2))
+
+
+def snapshot(spark, sf_dir):
+    """Plan over the changes of first and second lines, with third lines unsaved."""
+    third = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_linenumber = 3").select(F.col("l_orderkey").alias("path"), F.when(F.col("l_returnflag") == "R", "delete").otherwise("modify").alias("change")).groupBy("path").agg(F.min("change").alias("change"))
+    return files.snapshot_plan(tree_changes(spark, sf_dir), third, None).groupBy("action").agg(F.count("*").alias("n"))
+
+
+def branch_summary(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("source", F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("path"), F.octet_length("text").alias("size"))
+    return files.summary(rows, ["source"])
+
+
+def _history(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    at = lambda n: F.concat_ws(":", F.col("conv_id").cast("string"), n.cast("string"))
+    commits = turns.select(F.col("conv_id").alias("repo"), at(F.col("turn")).alias("sha"), F.when(F.col("turn") > 0, F.array(at(F.col("turn") - 1))).otherwise(F.array().cast("array<string>")).alias("parents"), "turn")
+    heads = turns.groupBy("conv_id").agg(F.max("turn").alias("turn")).select(F.col("conv_id").alias("repo"), F.lit("main").alias("branch"), at(F.col("turn")).alias("sha"))
+    return commits, heads
+
+
+def git_nodes(spark, sf_dir):
+    commits, heads = _history(spark, sf_dir)
+    nodes, edges = history.git_graph(commits, heads, commits.where("turn = 0").select("repo", "sha", F.col("repo").alias("index_id")))
+    return nodes.groupBy("type").agg(F.count("*").alias("n"), F.lit("node").alias("what")).unionByName(edges.groupBy("type").agg(F.count("*").alias("n"), F.lit("edge").alias("what")))
+
+
+def index_plan(spark, sf_dir):
+    """For every last turn: the nearest earlier one with a number divisible by 3, in conversations of even number."""
+    commits, heads = _history(spark, sf_dir)
+    return history.index_plan(commits, heads, commits.where("turn % 3 = 0 and repo % 2 = 0"))
+
+
+def json_access(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", scalars.at_path(F.col("props"), "$.k").cast("long").alias("k"), scalars.at_path(F.col("props"), "$.none").alias("none"))
+
+
+def row_ids(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", scalars.row_id(F.lit("nation"), F.col("n_nationkey")).alias("id"))
+
+
+def stream_distinct(spark, sf_dir):
+    """A stream over the events, each user's and type's first row appended."""
+    stream = spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if os.path.isdir(f"{sf_dir}/events.parquet") else f"{sf_dir}/[e]vents.parquet")
+    folder = shared_folder(spark, "stream")
+    queues.distinct_stream(stream.select("user_id", "event_type"), ["user_id", "event_type"], f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
+
+
+_MORE = [
+    index_stats, targeted_graph, targeted_relational, targeted_logic, overlay_walk, metadata_upsert, metadata_update, metadata_lookup, index_delete, directory_listing, tree_changes, snapshot, branch_summary, git_nodes, index_plan,
+    json_access, row_ids, stream_distinct,
+]
+_CODE = [*_MORE, collect_group, graph_trace, bounded_repeat, logic_components, order_json_compat, hydrate_extract, hydrate_nearby, checksum, overlay_index, latest_version, stale, running_progress, dedupe_queue, bucket_queue, link_lookups, commit_chain, schema_violations, left_right_full, scalar_helpers]
 
 _END = "CASE WHEN instr(text, chr(10)) > 0 THEN instr(text, chr(10)) - 1 ELSE length(text) END"
+_TREES = "WITH a AS (SELECT l_orderkey AS path, min(l_partkey) AS x FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey AS path, min(l_partkey) AS y FROM lineitem WHERE l_linenumber = 2 GROUP BY 1), d AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN x IS NULL THEN 'add' WHEN y IS NULL THEN 'delete' ELSE 'modify' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE x IS DISTINCT FROM y)"
 _SQL = {
+    "index_stats": " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM {t}" for k, t in (("region", "region"), ("nation", "nation"), ("customer", "customer"), ("supplier", "supplier"), ("part", "part"), ("order", "orders"), ("event", "events"), ("turn", "conversations"), ("document", "documents"))),
+    "targeted_graph": "SELECT 'customer:' || o_custkey AS root, 'order:' || o_orderkey AS terminus FROM orders WHERE o_orderstatus = 'F'",
+    "targeted_relational": "SELECT 'order:' || o_orderkey AS a, o_orderstatus AS n FROM orders WHERE o_orderstatus IN ('O', 'P')",
+    "targeted_logic": "SELECT 'customer:' || o_custkey AS c, 'order:' || o_orderkey AS o FROM orders WHERE o_orderstatus = 'P'",
+    "overlay_walk": "SELECT 'order:' || o_orderkey AS root, 'c' || o_custkey AS terminus FROM orders WHERE o_orderstatus = 'F' OR o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
+    "metadata_upsert": "SELECT c_custkey, coalesce(t, c_acctbal) AS v FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey",
+    "metadata_update": "SELECT s_suppkey, s_nationkey, coalesce(n_name, s_name) AS s_name FROM supplier LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) ON n_nationkey = s_nationkey",
+    "metadata_lookup": "SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IN (SELECT o_orderkey FROM orders) AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 10) GROUP BY 1",
+    "index_delete": "SELECT o_orderstatus AS key, count(*) AS n, sum(CASE WHEN o_orderstatus = 'P' AND o_orderkey % 2 = 0 THEN 1 ELSE 0 END)::BIGINT AS zero FROM orders WHERE o_orderstatus <> 'F' AND (o_orderkey % 3 <> 0 OR o_orderstatus = 'P' AND o_orderkey % 2 = 0) GROUP BY 1",
+    "directory_listing": "WITH p AS (SELECT string_split(regexp_replace(url, '^[a-z]+://', ''), '/') AS s FROM pages), e AS (SELECT s, unnest(generate_series(1, len(s))) AS i FROM p) SELECT array_to_string(s[1:i - 1], '/') AS parent, s[i] AS name, bool_or(i < len(s)) AS is_dir, count(*) AS n FROM e GROUP BY 1, 2",
+    "tree_changes": f"{_TREES} SELECT path, change FROM d",
+    "snapshot": f"{_TREES}, u AS (SELECT l_orderkey AS path, min(CASE WHEN l_returnflag = 'R' THEN 'delete' ELSE 'modify' END) AS change FROM lineitem WHERE l_linenumber = 3 GROUP BY 1) SELECT CASE WHEN change = 'delete' THEN 'delete' ELSE 'copy' END AS action, count(*) AS n FROM (SELECT * FROM u UNION ALL SELECT * FROM d WHERE path NOT IN (SELECT path FROM u)) GROUP BY 1",
+    "branch_summary": "SELECT source, count(*) AS n_files, count(DISTINCT coalesce(lang, '')) AS n_dirs, sum(strlen(text))::BIGINT AS bytes FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "git_nodes": "SELECT 'git-commit' AS type, count(*) AS n, 'node' AS what FROM conversations UNION ALL SELECT 'git-head', count(DISTINCT conv_id), 'node' FROM conversations UNION ALL SELECT 'code-index', count(*), 'node' FROM conversations WHERE turn = 0 UNION ALL SELECT 'git-commit-parent', count(*), 'edge' FROM conversations WHERE turn > 0 UNION ALL SELECT 'git-head-commit', count(DISTINCT conv_id), 'edge' FROM conversations UNION ALL SELECT 'git-commit-index', count(*), 'edge' FROM conversations WHERE turn = 0",
+    "index_plan": "SELECT conv_id || ':' || m AS head, CASE WHEN conv_id % 2 = 1 THEN 'root' WHEN m % 3 = 0 THEN 'skip' ELSE 'overlay' END AS action, CASE WHEN conv_id % 2 = 0 THEN conv_id || ':' || (m - m % 3) END AS base, CASE WHEN conv_id % 2 = 0 THEN (m % 3)::INTEGER END AS depth FROM (SELECT conv_id, max(turn) AS m FROM conversations GROUP BY 1)",
+    "json_access": "SELECT event_id, (props->>'$.k')::BIGINT AS k, props->>'$.none' AS none FROM events",
+    "row_ids": "SELECT n_nationkey, sha256('nation' || chr(31) || n_nationkey) AS id FROM nation",
+    "stream_distinct": "SELECT DISTINCT user_id, event_type FROM events",
     "collect_group": "SELECT r_name AS n, string_agg(n_name, ',' ORDER BY n_name) AS l FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1",
     "graph_trace": "WITH j AS (SELECT 'supplier:' || s_suppkey AS root, 'nation:' || n_nationkey AS trace_1, 'region:' || n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT root, trace_1, trace_1 AS trace_2, trace_1 AS terminus FROM j UNION ALL SELECT root, trace_1, r, r FROM j",
     "bounded_repeat": "SELECT 'turn:' || conv_id || ':0' AS a, 'turn:' || conv_id || ':' || turn AS b FROM conversations WHERE turn <= 2",
