@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .engine import Engine
 from .functions import scalars
+from .ingest import index
 from .lang.tree import EdgeType, Follow, Linear
 from .operators import history, linker
 from .operators.traverse import walk
@@ -324,7 +325,32 @@ def stream_distinct(spark, sf_dir):
     return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
 
 
+def _code(spark, sf_dir):
+    """A file per event: its type is imported from a module and called with the user's number."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    tree = (
+        '{"type":"Program","body":[{"type":"ImportDeclaration","source":{"type":"Literal","value":"lib"},"specifiers":[{"type":"ImportSpecifier","imported":{"type":"Identifier","name":"%s"},"local":{"type":"Identifier","name":"f"}}]},'
+        '{"type":"FunctionDeclaration","id":{"type":"Identifier","name":"main"},"params":[],"body":{"type":"BlockStatement","body":[{"type":"ReturnStatement","argument":'
+        '{"type":"CallExpression","callee":{"type":"Identifier","name":"f"},"arguments":[{"type":"Literal","value":%d}]}}]}}]}'
+    )
+    files = events.select(F.lit("k").alias("key"), F.lit("r").alias("repo"), F.concat(F.col("event_id"), F.lit(".js")).alias("path"), F.lit("").alias("text"), F.format_string(tree, "event_type", "user_id").alias("ast"))
+    return index.extracted(files)
+
+
+def code_nodes(spark, sf_dir):
+    """Nodes and edges of each kind that files give."""
+    rows = _code(spark, sf_dir).where("what = 'node' or what = 'edge'")
+    return rows.groupBy("type", "what").agg(F.count("*").alias("n"))
+
+
+def code_logic(spark, sf_dir):
+    """Calls of an imported function, with what it is called with and the function around."""
+    text = 'javascript::require(E)[name="lib"]. javascript::member(E, D)[name="purchase"]. javascript::call(D, C). javascript::call_arg(C, A)[index=1]. javascript::function_contains(F, C). javascript::function(F)[name="main"]. %SELECT(A.name AS u, F.name AS f, C.path AS path).'
+    return Engine(index.stored(_code(spark, sf_dir), shared_folder(spark, "code"))).logic(text)
+
+
 _MORE = [
+    code_nodes, code_logic,
     index_stats, targeted_graph, targeted_relational, targeted_logic, overlay_walk, metadata_upsert, metadata_update, metadata_lookup, index_delete, directory_listing, tree_changes, snapshot, branch_summary, git_nodes, index_plan,
     json_access, row_ids, stream_distinct,
 ]
@@ -332,7 +358,10 @@ _CODE = [*_MORE, collect_group, graph_trace, bounded_repeat, logic_components, o
 
 _END = "CASE WHEN instr(text, chr(10)) > 0 THEN instr(text, chr(10)) - 1 ELSE length(text) END"
 _TREES = "WITH a AS (SELECT l_orderkey AS path, min(l_partkey) AS x FROM lineitem WHERE l_linenumber = 1 GROUP BY 1), b AS (SELECT l_orderkey AS path, min(l_partkey) AS y FROM lineitem WHERE l_linenumber = 2 GROUP BY 1), d AS (SELECT coalesce(a.path, b.path) AS path, CASE WHEN x IS NULL THEN 'add' WHEN y IS NULL THEN 'delete' ELSE 'modify' END AS change FROM a FULL JOIN b ON a.path = b.path WHERE x IS DISTINCT FROM y)"
+_PER_FILE = {"node": {"require": 1, "member": 1, "identifier": 2, "function": 1, "return": 1, "call": 1, "identifier-ref": 1, "literal": 1}, "edge": {"member": 1, "declare": 2, "reference": 1, "call": 1, "argument": 1, "return": 1, "function-return": 1, "function-contains": 4}}
 _SQL = {
+    "code_nodes": " UNION ALL ".join(f"SELECT '{k}' AS type, {n} * count(*) AS n, '{what}' AS what FROM events" for what, kinds in _PER_FILE.items() for k, n in kinds.items()),
+    "code_logic": "SELECT user_id::VARCHAR AS u, 'main' AS f, event_id || '.js' AS path FROM events WHERE event_type = 'purchase'",
     "index_stats": " UNION ALL ".join(f"SELECT '{k}' AS type, count(*) AS n FROM {t}" for k, t in (("region", "region"), ("nation", "nation"), ("customer", "customer"), ("supplier", "supplier"), ("part", "part"), ("order", "orders"), ("event", "events"), ("turn", "conversations"), ("document", "documents"))),
     "targeted_graph": "SELECT 'customer:' || o_custkey AS root, 'order:' || o_orderkey AS terminus FROM orders WHERE o_orderstatus = 'F'",
     "targeted_relational": "SELECT 'order:' || o_orderkey AS a, o_orderstatus AS n FROM orders WHERE o_orderstatus IN ('O', 'P')",
