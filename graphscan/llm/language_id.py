@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bounded_batches, code_points, map_arrow, mix64, string_slices
+from ._common import bounded_batches, code_points, map_arrow, mix64, persist, string_slices
 
 DIMENSIONS = 1024
 #: Documents and n-grams multiplied at once: bound the matrices.
 ROWS, GRAMS = 128, 8192
+#: Languages up to which their shares are sent to the scan.
+LANGUAGES = 50_000
 _FOLD: np.ndarray | None = None
 
 
@@ -143,7 +145,9 @@ def fit(documents: DataFrame, sample: int = 5_000, profiler: Profiler | None = N
     profiler = profiler or Profiler()
     bounded_batches(documents.sparkSession)
     known = documents.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    share = known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share"))
+    share = persist(known.groupBy("lang").agg((F.lit(float(sample)) / F.count("*")).alias("share")), "languages")
+    if share.count() <= LANGUAGES:  # some tens of bytes each; else the join is left to the planner
+        share = F.broadcast(share)
     place = F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5
     rows = known.join(share, "lang").where(place < F.col("share")).select("text", "lang")
 
