@@ -358,6 +358,32 @@ def test_a_small_and_a_larger_set_meet_in_large_groups_only(spark):
     assert u in roots and roots[u] == roots.get(v)
 
 
+def test_linked_sets_share_what_candidates_need():
+    rng, tight = random.Random(6), jaccard_join.tight_sizes(60)
+    for u in [*range(57, 130, 9), *range(400, 620, 15), 900, 1500] * 3:
+        union = sorted(rng.getrandbits(60) for _ in range(u))
+        alone, side = [*range(1, u - 1, 2)][: 4 * u // 10], rng.choice([0, 0.5, 1])  # at the threshold, each one parts two shared keys
+        a, b = set(union), set(union)
+        for i in alone:
+            (a if rng.random() < side else b).discard(union[i])
+        assert 100 * len(a & b) >= 60 * len(a | b)
+        x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
+        for exact in (False, True):
+            shared = len(np.intersect1d(jaccard_join.signatures(x, 60, tight, exact), jaccard_join.signatures(y, 60, tight, exact)))
+            assert shared >= max(jaccard_join.least_shared(len(s), 60, exact) for s in (a, b))
+
+
+def test_a_passage_of_many_texts_joins_no_unlike_ones(spark):
+    passage = [f"p{j}" for j in range(14)]
+    own = [[f"w{i}x{j}" for j in range(86)] for i in range(200)]
+    table = spark.createDataFrame([(i, " ".join(w + passage), "en", "s", 0) for i, w in enumerate([*own, own[0][:80]])], DOCS)
+    ranks = jaccard_join.frequent(table, 1, 201)
+    joined = jaccard_join._join_postings(jaccard_join._first_pass(table, spark.sparkContext.broadcast(ranks), 1, 60, 8), 4)
+    assert joined.where("kind = 3").select("u").distinct().count() == 201
+    assert jaccard_join.connected(jaccard_join._candidates(joined)).count() == 2
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(table, 1).where("n_similar > 0").collect()} == {0: 0, 200: 0}
+
+
 def test_sentencepiece(spark, docs, none):
     import sentencepiece
 
