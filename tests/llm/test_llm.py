@@ -384,6 +384,17 @@ def test_a_passage_of_many_texts_joins_no_unlike_ones(spark):
     assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_groups(table, 1).where("n_similar > 0").collect()} == {0: 0, 200: 0}
 
 
+def test_pipeline_compares_no_unlike_texts_of_one_passage(spark, monkeypatch):
+    compared, leaves = [], jaccard_join._leaves
+    monkeypatch.setattr(jaccard_join, "_leaves", lambda rows, *rest: compared.append(rows.count()) or leaves(rows, *rest))
+    passage = [f"p{j}" for j in range(14)]
+    own = [[f"w{i}x{j}" for j in range(86)] for i in range(200)]
+    table = spark.createDataFrame([(i, " ".join(w + passage), "en", "s", 0) for i, w in enumerate([*own, own[0][:80]])], DOCS)
+    kept = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, table, None)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == list(range(200))
+    assert compared == [2]
+
+
 def test_sentencepiece(spark, docs, none):
     import sentencepiece
 
