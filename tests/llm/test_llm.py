@@ -11,7 +11,7 @@ import pytest
 
 import corpus_pipeline
 from graphscan.llm import decontaminate, jaccard_join, language_id, quality, secrets, sentencepiece_codec, token_counts, token_files, topk, toxicity
-from graphscan.llm._common import byte_slices
+from graphscan.llm._common import byte_slices, persist
 from graphscan.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 
@@ -395,6 +395,35 @@ def test_pipeline_compares_no_unlike_texts_of_one_passage(spark, monkeypatch):
     assert compared == [2]
 
 
+def test_pairs_go_in_bounded_rounds(spark, monkeypatch):
+    rng = random.Random(4)
+    made = [" ".join(rng.choices([f"w{j}" for j in range(60)], k=50)) for _ in range(6)]
+    table = spark.createDataFrame([(i, f"{made[i % 6]} more{i}", "en", "s", 0) for i in range(90)], DOCS)
+    few = {tuple(r) for r in jaccard_join.jaccard_groups(table).select("doc_id", "n_similar", "component_id").collect()}
+    sent, sums = [], jaccard_join._pair_sums
+    monkeypatch.setattr(jaccard_join, "PAIR_BYTES", 1000)
+    monkeypatch.setattr(jaccard_join, "_pair_sums", lambda grouped, partitions, at, rounds: sent.append((at, rounds)) or sums(grouped, partitions, at, rounds))
+    many = {tuple(r) for r in jaccard_join.jaccard_groups(table).select("doc_id", "n_similar", "component_id").collect()}
+    assert many == few == {(i, 14, i % 6) for i in range(90)}
+    assert len(sent) > 1 and sent == [(i, len(sent)) for i in range(len(sent))]
+
+
+def test_a_signature_of_one_set_goes_no_further(spark):
+    table = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(60)) if i < 6 else " ".join(f"v{i}x{j}" for j in range(60)), "en", "s", 0) for i in range(40)], DOCS)
+    table = table.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat("text", F.lit(" more"))))
+    ranks = jaccard_join.frequent(table, 2, 40)
+    grouped = jaccard_join._group_postings(jaccard_join._first_pass(table, spark.sparkContext.broadcast(ranks), 2, 60, 8), 4)
+    held = grouped.where("kind = 1").selectExpr("sum(n) as n", "sum(length(packed)) as b").first()
+    assert held.n > 0 and held.b == 12 * 2 * held.n
+
+
+def test_shuffle_files_go_when_a_table_is_written(spark):
+    files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before = files()
+    found = persist(spark.range(1000).repartition(3, "id"), "test")
+    assert not files() - before and found.count() == 1000
+
+
 def test_sentencepiece(spark, docs, none):
     import sentencepiece
 
