@@ -2,13 +2,20 @@
 
 Terms are words and word beginnings of four and five bytes (which hold what
 made-up variants of a word share).  Documents and examples are TF-IDF vectors
-of length 1 over every term of the labelled examples; a term that goes with
-the label (chi-squared over the examples) weighs more, by up to ``boost``.
-The ``k`` nearest examples by exact cosine vote, each with weight
-1 / (distance + ``soft``) and by the root of how often its text occurs among
-the examples; the share of toxic votes, smoothed by the overall rate, is made
-a probability by a logistic function, fitted on the votes that every example
-gets from the others.
+of length 1 over every term of the representatives (below); a term that goes
+with the label (chi-squared over all labelled rows) weighs more, by up to
+``boost``.  The ``k`` nearest representatives by exact cosine vote, each with
+weight 1 / (distance + ``soft``) and by the root of the number of labelled rows
+under it; the share of toxic votes, smoothed by the overall rate, is made
+a probability by a logistic function, fitted on the votes that every labelled
+row gets from the others.
+
+Index.  At most ``sample`` labelled documents, the first by a hash of their
+ids, are representatives (all, if there are no more).  Every labelled row is
+counted, with its label, under the representative nearest to it.  Frequencies
+of terms and labels, the overall rate, the counts under representatives and
+the logistic fit are over all labelled rows; only the choice of
+representatives, and so of terms, is bounded.
 
 Search.  Examples of equal text are one entry.  Every term has a posting list,
 cut into blocks of 64 entries with the largest weight in each; lists of more
@@ -19,9 +26,9 @@ best blocks are opened first, then all others whose bound reaches the k-th
 best cosine so far.  The result is exact (to the rounding of 32-bit sums), ties
 going to the smaller entry.
 
-Scale.  At most ``sample`` labelled documents are indexed (a documented bound
-of the classifier), so the index is some MB at any size of corpus; every text
-is read once, whole, without a shuffle.
+Scale.  At most ``sample`` representatives are searched, so the index is some
+MB at any size of corpus; every text is read whole, without a shuffle, and
+labelled ones once more for the fit, as term counts of about a KB each.
 
 Cases.  Null and empty texts, and those without any known term, have no
 neighbours and get the calibrated score of the overall rate; no labelled
@@ -38,8 +45,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ._common import LOWER, WORD_BYTES, annotate, batch_with, bounded_batches, byte_slices, labelled_sample, map_arrow, mix64, persist, ragged, span_hashes, true_runs
+from .jaccard_join import _likely
 
 BLOCK, DENSE = 64, 40
 #: Bytes of text, and list blocks or postings, worked on at once.
@@ -107,11 +116,15 @@ class Space:
 
     def vectors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, term, weight) of a slice, by document."""
+        doc, term, count = self.counts(data, offsets)
+        return doc, term, self.unit(doc, term, count, len(offsets) - 1)
+
+    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, occurrences) of a slice, by document."""
         doc, key = term_keys(data, offsets)
         known, term = self.place(key)
         code, count = np.unique((doc[known].astype(np.int64) << 32) | term, return_counts=True)
-        doc, term = code >> 32, code & 0xFFFFFFFF
-        return doc, term, self.unit(doc, term, count, len(offsets) - 1)
+        return code >> 32, code & 0xFFFFFFFF, count
 
 
 class BlockMaxIndex:
@@ -218,12 +231,13 @@ class Model:
         self.rate = float(toxic.sum() / total.sum()) if len(total) else 0.0
         self.slope, self.offset = 1.0, 0.0
 
-    def votes(self, best: np.ndarray, who: np.ndarray) -> np.ndarray:
-        """Share of toxic votes, smoothed by the overall rate."""
+    def votes(self, best: np.ndarray, who: np.ndarray, less: np.ndarray | int = 0, bad: np.ndarray | int = 0) -> np.ndarray:
+        """Share of toxic votes, smoothed by the overall rate; ``less`` rows of each neighbour, ``bad`` of them toxic, do not count."""
         if not len(self.total):
             return np.zeros(len(who))
-        weight = np.where(who >= 0, np.sqrt(self.total[who]) / (1 - np.minimum(best, 1) + self.soft), 0)
-        share = np.where(who >= 0, self.toxic[who] / np.maximum(self.total[who], 1), 0)
+        total = self.total[who] - less
+        weight = np.where(who >= 0, np.sqrt(total) / (1 - np.minimum(best, 1) + self.soft), 0)
+        share = np.where(who >= 0, (self.toxic[who] - bad) / np.maximum(total, 1), 0)
         return ((weight * share).sum(axis=1) + self.rate) / (weight.sum(axis=1) + 1)
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
@@ -231,20 +245,20 @@ class Model:
             return np.zeros(len(votes))
         return 1 / (1 + np.exp(-np.clip(self.slope * _logit(votes) + self.offset, -30, 30)))
 
-    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
-        """Logistic fit of what examples are to the votes they get from the others."""
-        x, a, b = _logit(votes), 1.0, 0.0
-        for _ in range(100):
-            p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-            w, r = p * (1 - p) + 1e-9, p - toxic
-            hessian = np.array([[(w * x * x).sum() + 1, (w * x).sum()], [(w * x).sum(), w.sum() + 1]])  # a little pull towards the plain votes
-            step = np.linalg.solve(hessian, [(r * x).sum() + a - 1, r.sum() + b])
-            step *= min(1.0, 1 / abs(step).max())
-            a, b = a - step[0], b - step[1]
-            if abs(step).max() < 1e-8:
+    def calibrate(self, votes: DataFrame) -> None:
+        """Logistic fit of what all labelled rows are (bad) to the votes they get from the others (x: their logits), by Newton steps over sums."""
+        a, b = 1.0, 0.0
+        for _ in range(50):
+            p = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), a * F.col("x") + b))))
+            each = votes.select("x", (p * (1 - p) + 1e-9).alias("w"), (p - F.col("bad")).alias("r"))
+            wxx, wx, w, rx, r = each.agg(F.sum(F.expr("w * x * x")), F.sum(F.expr("w * x")), F.sum("w"), F.sum(F.expr("r * x")), F.sum("r")).first()
+            step = np.linalg.solve(np.array([[wxx + 1, wx], [wx, w]]), [rx + a - 1, r])  # a little pull towards the plain votes
+            step *= min(1.0, 1 / abs(step).max()) if abs(step).max() else 1.0
+            a, b = a - float(step[0]), b - float(step[1])
+            if abs(step).max() < 1e-6:
                 break
         if a > 0:
-            self.slope, self.offset = float(a), float(b)
+            self.slope, self.offset = a, b
 
     def near(self, data: np.ndarray, offsets: np.ndarray, k: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         doc, term, weight = self.space.vectors(data, offsets)
@@ -261,18 +275,65 @@ def _logit(x: np.ndarray) -> np.ndarray:
     return np.log(x / (1 - x))
 
 
-def term_weights(entry: np.ndarray, term: np.ndarray, terms: int, bad: np.ndarray, boost: float) -> np.ndarray:
+def term_weights(n: int, n_bad: int, df: np.ndarray, toxic: np.ndarray, boost: float) -> np.ndarray:
     """Inverse document frequency of each term, times up to ``boost`` for one that goes with the label."""
-    n, rate = len(bad), bad.mean()
-    df = np.bincount(term, minlength=terms)
-    toxic = np.bincount(term, bad[entry], terms)
+    rate = n_bad / n
     expected = df * rate
     chi = np.where(toxic > expected, (toxic - expected) ** 2 / np.maximum(expected * (1 - rate), 1e-9), 0.0)
     return np.log(1 + n / df) * (1 + boost * np.clip((chi - 16) / 48, 0, 1))
 
 
+def _labelled_vectors(documents: DataFrame, labels: DataFrame, target: str, names: np.ndarray) -> DataFrame:
+    """(bad, terms, counts) of every labelled document, over the terms ``names``; texts take no shuffle."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(target).cast("long").alias("bad"))
+    known = persist(known, "toxicity-labels")
+    shared = documents.sparkSession.sparkContext.broadcast(Space(names, np.ones(len(names))))  # the representatives' terms
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        terms, counts = [], []
+        for _, _, data, offsets in byte_slices(batch.column(2), SLICE):
+            doc, term, count = shared.value.counts(data, offsets)
+            edges = np.searchsorted(doc, np.arange(len(offsets)))
+            terms += [term[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])]
+            counts += [count[a:b].astype("<u4").tobytes() for a, b in zip(edges, edges[1:])]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(terms, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "key", "terms", "counts"])
+
+    texts = _likely(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known.select("doc_id"))
+    found = map_arrow(texts.select("doc_id", F.xxhash64("text").alias("key"), "text"), work, "doc_id long, key long, terms binary, counts binary").join(known, "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("key", "terms", "counts", "bad")).alias("row"))  # as in labelled_sample
+    rows = persist(one.select("row.bad", "row.terms", "row.counts"), "toxicity-rows")
+    shared.destroy()
+    return rows
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, occurrences) of a batch of labelled vectors."""
+    terms = batch.column(1).to_pylist()
+    row = np.repeat(np.arange(len(terms)), [len(t) // 4 for t in terms])
+    return row, np.frombuffer(b"".join(terms), "<u4").astype(np.int64), np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").astype(np.int64)
+
+
+def _term_counts(held: DataFrame, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """Labelled rows, and toxic ones, that have each term."""
+
+    def run(batches):
+        df = np.zeros((2, terms), np.int64)
+        for batch in batches:
+            row, term, _ = _flat(batch)
+            bad = batch.column(0).to_numpy() > 0
+            df += [np.bincount(term, minlength=terms), np.bincount(term[bad[row]], minlength=terms)]
+        some = np.flatnonzero(df[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[0, some]), pa.array(df[1, some])], ["term", "n", "bad"])
+
+    got = held.mapInArrow(run, "term long, n long, bad long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).toArrow()  # a row per term of the representatives
+    df, toxic = np.ones(terms, np.int64), np.zeros(terms, np.int64)
+    at = got.column(0).to_numpy()
+    df[at], toxic[at] = got.column(1).to_numpy(), got.column(2).to_numpy()
+    return df, toxic
+
+
 def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample: int = 3_000, k: int = 15, soft: float = 0.1, boost: float = 20.0) -> Model:
-    """Index at most ``sample`` labelled examples, whole, and calibrate the votes on them."""
+    """Index every labelled row under the nearest of at most ``sample`` representatives, and calibrate the votes on all rows."""
     bounded_batches(documents.sparkSession)
     rows = persist(labelled_sample(documents, labels, target, sample), "toxicity-examples")
 
@@ -297,6 +358,9 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample:
         alike[name][2] += int(r.bad > 0)
     del found
     entries = list(alike.values())
+    if not entries:
+        none = np.empty(0, np.int64)
+        return Model(Space(none.astype(np.uint64), np.empty(0)), BlockMaxIndex(none, none, np.empty(0), 0, 0), none, none, [], k, soft)
     example, total, toxic = (np.array([e[i] for e in entries], np.int64) for i in range(3))
     flat, counts = np.frombuffer(b"".join(p[0] for p in parts), np.uint64), np.frombuffer(b"".join(p[1] for p in parts), "<u4").astype(np.int64)
     sizes = np.array([len(p[0]) // 8 for p in parts], np.int64)
@@ -304,7 +368,9 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample:
     names, term = np.unique(flat, return_inverse=True)
     entry = np.repeat(np.arange(len(entries)), sizes)
     bad = (2 * toxic > total).astype(np.float64)
-    space = Space(names, term_weights(entry, term, len(names), bad, boost) if len(entries) else np.empty(0))
+    held = _labelled_vectors(documents, labels, target, names)
+    n, n_bad = held.agg(F.count("*"), F.count(F.when(F.col("bad") > 0, 1))).first()
+    space = Space(names, term_weights(n, n_bad, *_term_counts(held, len(names)), boost))
     weight = space.unit(entry, term, counts, len(entries))
     # entries whose heaviest term is the same stand side by side, which makes block maxima tight
     top = np.full(len(entries), -1, np.int64)
@@ -315,28 +381,50 @@ def fit(documents: DataFrame, labels: DataFrame, target: str = "toxic", sample:
     place[order] = np.arange(len(entries))
     index = BlockMaxIndex(place[entry], term, weight, len(entries), len(names))
     model = Model(space, index, toxic[order], total[order], example[order].tolist(), k, soft)
-    if len(entries):
-        _calibrate(rows, model, target)
+    model.rate = n_bad / n
+    del flat, counts, term, entry, weight  # before the model is packed
+    _count_lists(held, model)
     return model
 
 
-def _calibrate(rows: DataFrame, model: Model, target: str) -> None:
-    shared = _shared(rows, model)
+def _count_lists(held: DataFrame, model: Model) -> None:
+    """Counts each labelled row under its nearest representative, and calibrates the votes that rows get from the others."""
+    shared = _shared(held, model)
+    width = model.k + 1
 
-    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for _, _, data, offsets in byte_slices(batch.column(1), SLICE):
-            m = shared.value
-            best, who = m.near(data, offsets, m.k + 1)
-            own = (who >= 0) & (best > 1 - 1e-6)  # its own entry: equal texts are one
-            own[:, 1:] &= ~np.logical_or.accumulate(own, axis=1)[:, :-1]
-            own[~own.any(axis=1), m.k] = True
-            out.append(m.votes(best[~own].reshape(-1, m.k), who[~own].reshape(-1, m.k)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out) if out else np.empty(0), pa.float64()), batch.column(2).cast(pa.int64())], ["vote", "bad"])
-
-    got = map_arrow(rows.select("doc_id", "text", target), others, "vote double, bad long").collect()  # at most `sample` numbers
+    def near(batch: pa.RecordBatch) -> pa.RecordBatch:
+        m, rows = shared.value, batch.num_rows
+        row, term, count = _flat(batch)
+        best, who = m.index.search(row, term, m.space.unit(row, term, count, rows), rows, width)
+        first = np.where(who[:, 0] >= 0, who[:, 0], -1)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array(first), pa.array([x.tobytes() for x in who.astype("<i4")], pa.binary()), pa.array([x.tobytes() for x in best.astype("<f8")], pa.binary())], ["bad", "first", "who", "best"]
+        )
+
+    found = persist(map_arrow(held, near, "bad long, first long, who binary, best binary"), "toxicity-near")
     shared.destroy()
-    model.calibrate(np.array([r.vote for r in got]), np.array([float(r.bad > 0) for r in got]))
+    lists = found.where("first >= 0").groupBy("first").agg(F.count("*").alias("n"), F.count(F.when(F.col("bad") > 0, 1)).alias("bad")).collect()  # a row per representative
+    model.total, model.toxic = np.zeros(len(model.examples), np.int64), np.zeros(len(model.examples), np.int64)
+    for r in lists:
+        model.total[r["first"]], model.toxic[r["first"]] = r.n, r.bad
+    votes_of = Model(Space(np.empty(0, np.uint64), np.empty(0)), None, model.toxic, model.total, [], model.k, model.soft)  # without the index
+    votes_of.rate = model.rate
+
+    def others(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = batch.num_rows
+        who = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<i4").reshape(rows, width).astype(np.int64)
+        best = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<f8").reshape(rows, width).copy()
+        bad = (batch.column(0).to_numpy() > 0).astype(np.int64)
+        less = np.zeros(who.shape, np.int64)
+        less[:, 0] = who[:, 0] >= 0  # its own list counts without it
+        same = (who[:, 0] >= 0) & (best[:, 0] > 1 - 1e-6)  # equal texts are one
+        drop = np.zeros(who.shape, bool)
+        drop[np.arange(rows), np.where(same, 0, width - 1)] = True
+        pick = lambda x: x[~drop].reshape(rows, width - 1)
+        x = _logit(votes_of.votes(pick(best), pick(who), pick(less), pick(less * bad[:, None])))
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(bad)], ["x", "bad"])
+
+    model.calibrate(persist(map_arrow(found, others, "x double, bad long"), "toxicity-votes"))
 
 
 def _shared(documents: DataFrame, model: Model):

@@ -125,6 +125,22 @@ def test_toxicity_is_that_of_brute_force_votes(spark):
     assert model.slope > 0
 
 
+def test_every_labelled_row_counts(spark):
+    import math
+
+    rng = random.Random(3)
+    made = [(i, " ".join(["shared", *rng.choices([f"w{j}" for j in range(80)], k=12), *(["moronic"] if i % 4 == 0 else [])]), "en", "s", 0) for i in range(400)]
+    table = spark.createDataFrame([*made, (7, "zzz other text of one id", "en", "s", 0), (900, None, "en", "s", 0)], DOCS)
+    toxic = {i: int(i % 4 == 0) for i in range(400)}
+    model = toxicity.fit(table, labels_of(spark, [*toxic.items(), (900, 0), (901, 1)], "toxic"), sample=80, k=5)
+    assert len(model.examples) <= 80 and 399 <= model.total.sum() <= 400 and model.toxic.sum() == 100
+    assert abs(model.rate - 100 / 401) < 1e-12
+    known, at = model.space.place(np.unique(toxicity.term_keys(np.frombuffer(b"moronic ", np.uint8), np.array([0, 8]))[1]))
+    assert len(known) == 3 and np.allclose(model.space.weights[at], math.log(1 + 401 / 100) * 21, rtol=1e-6)
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(spark.createDataFrame(made, DOCS), model).collect()}
+    assert sum(got[i] == toxic[i] for i in range(400)) >= 390
+
+
 def test_quality_is_the_log_density_difference():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (60, 18)), rng.normal(0.8, 2, (90, 18))])
