@@ -17,14 +17,16 @@ of terms and labels, the overall rate, the counts under representatives and
 the logistic fit are over all labelled rows; only the choice of
 representatives, and so of terms, is bounded.
 
-Search.  Examples of equal text are one entry.  Every term has a posting list,
-cut into blocks of 64 entries with the largest weight in each; lists of more
-than one entry in ``DENSE`` are kept as rows of weights, which a matrix
-product sums faster than postings.  A query's bound on a block is the largest
-sum over such rows in it, and its other weights times the block maxima; the
-best blocks are opened first, then all others whose bound reaches the k-th
-best cosine so far.  The result is exact (to the rounding of 32-bit sums), ties
-going to the smaller entry.
+Search.  Examples of equal text are one entry.  Alike entries come into one
+tile (in which language they are decides most), cut into blocks of 64.  Every
+term has a posting list; where it is long in a tile, it is kept as a row of
+weights, which a matrix product sums faster than postings, with the largest
+weight in each block.  What the other postings give is summed at once; they
+are hardly more than their block maxima would be.  A query's bound on a block is
+the largest of these sums in it, and its other weights times the block maxima;
+the tile of the best block is opened first, then all others that have a block
+whose bound reaches the k-th best cosine of that tile.  The result is exact
+(to the rounding of 32-bit sums), ties going to the smaller entry.
 
 Scale.  At most ``sample`` representatives are searched, so the index is some
 MB at any size of corpus; every text is read whole, without a shuffle, and
@@ -51,8 +53,10 @@ from ._common import LOWER, WORD_BYTES, annotate, batch_with, bounded_batches, b
 from .jaccard_join import _likely
 
 BLOCK, DENSE = 64, 40
-#: Bytes of text, and list blocks or postings, worked on at once.
-SLICE, STEP = 1_000_000, 1_000_000
+#: Most entries of a tile, and the terms by which alike entries come into one.
+TILE, AXES = 16 * BLOCK, 256
+#: Bytes of text, cosines, and postings worked on at once.
+SLICE, STEP, SHORT_STEP = 1_000_000, 1_000_000, 400_000
 
 
 def term_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +100,25 @@ class Space:
 
     def __setstate__(self, state):
         self.keys, self.weights = state
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.keys >> np.uint64(42)).astype(np.int64)] = True
+        # first[p]: how many keys begin with less than p; about one key in four beginnings
+        self.shift = np.uint64(64 - max(1, min(24, (4 * len(self.keys)).bit_length())))
+        self.first = np.searchsorted(self.keys >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
 
     def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which keys are known, and their terms."""
-        maybe = np.flatnonzero(self.bits[(keys >> np.uint64(42)).astype(np.int64)])
-        if not len(self.keys) or not len(maybe):
+        if not len(self.keys) or not len(keys):
             return np.empty(0, np.int64), np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.keys, keys[maybe]), len(self.keys) - 1)
-        hit = self.keys[at] == keys[maybe]
-        return maybe[hit], at[hit]
+        part = (keys >> self.shift).astype(np.int64)
+        at, end = self.first[part], self.first[part + 1]
+        maybe = np.flatnonzero(at < end)
+        at, end, keys = at[maybe], end[maybe], keys[maybe]
+        hit = self.keys[at] == keys
+        more = np.flatnonzero(~hit & (at + 1 < end))
+        while len(more):  # keys of one beginning, one after the other
+            at[more] += 1
+            hit[more] = self.keys[at[more]] == keys[more]
+            more = more[~hit[more] & (at[more] + 1 < end[more])]
+        return maybe[hit], at[hit].astype(np.int64)
 
     def unit(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
         """Weights of a sparse matrix whose rows have length 1."""
@@ -127,102 +139,158 @@ class Space:
         return code >> 32, code & 0xFFFFFFFF, count
 
 
+def tiles_of(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """The rows of ``x`` in groups of at most ``most`` that are alike: halved along the axis on which they differ most."""
+    out, open_ = [], [np.arange(len(x))]
+    while open_:
+        rows = open_.pop()
+        if len(rows) <= most:
+            out.append(rows)
+            continue
+        apart = x[rows] - x[rows].mean(axis=0)
+        along = apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1]
+        high = along > 0
+        if not BLOCK <= high.sum() <= len(rows) - BLOCK:
+            high = np.zeros(len(rows), bool)
+            high[np.argsort(along, kind="stable")[len(rows) // 2 :]] = True
+        open_ += [rows[high], rows[~high]]
+    return out
+
+
 class BlockMaxIndex:
     """Posting lists with block maxima: exact top-k by cosine among non-negative unit vectors."""
 
     def __init__(self, entry: np.ndarray, term: np.ndarray, weight: np.ndarray, n: int, terms: int):
-        order = np.lexsort((entry, term))
-        #: Postings by term and entry: all that is sent to workers.
-        self.kept = (n, np.bincount(term, minlength=terms).astype(np.int32), entry[order].astype(np.uint16 if n < 1 << 16 else np.int32), weight[order].astype(np.float32))
-        self._build()
+        size = np.bincount(term, minlength=terms)
+        often = np.argsort(-size, kind="stable")[:AXES]
+        axis = np.full(terms, -1)
+        axis[often] = np.arange(len(often))
+        mine = axis[term] >= 0
+        x = np.zeros((n, len(often)), np.float32)
+        x[entry[mine], axis[term[mine]]] = 1
+        x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+        tiles = tiles_of(x, TILE)
+        del x
+        name = np.concatenate(tiles).astype(np.int64)
+        place = np.empty(n, np.int64)
+        place[name] = np.arange(n)
+        place = place[entry]
+        order = np.lexsort((place, term))
+        #: Entries in the order of tiles, tiles' sizes, postings by term and place in that order: all that is sent to workers.
+        self.kept = (n, name, np.array([len(t) for t in tiles]), size.astype(np.int32), place[order].astype(np.uint16 if n < 1 << 16 else np.int32), weight[order].astype(np.float32))
+        self.n, self.opened, self.built = n, 0, False
 
     def __getstate__(self):
         return self.kept
 
     def __setstate__(self, kept):
         self.kept = kept
-        self._build()
+        self.n, self.opened, self.built = kept[0], 0, False
 
     def _build(self) -> None:
-        n, size, entry, weight = self.kept
-        terms = len(size)
-        entry, term = entry.astype(np.int32), np.repeat(np.arange(terms, dtype=np.int32), size)
-        self.n, self.blocks, self.opened = n, -(-n // BLOCK), 0
-        #: Row of each term with a long list, -1 for the others.
-        self.row = np.where(size > n / DENSE, np.cumsum(size > n / DENSE) - 1, -1).astype(np.int32)
-        dense = self.row[term] >= 0
-        self.rows = np.zeros((int(self.row.max(initial=-1)) + 1, self.blocks * BLOCK), np.float32)
-        self.rows[self.row[term[dense]], entry[dense]] = weight[dense]
-        self.entry, self.weight, term = entry[~dense], weight[~dense], term[~dense]
-        part = self.entry // BLOCK
-        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (part[1:] != part[:-1])))) if len(term) else np.empty(0, np.int64)
-        self.first = np.append(first, len(term)).astype(np.int32)
-        self.part, self.most = part[first], np.maximum.reduceat(self.weight, first) if len(first) else self.weight
-        self.list = np.searchsorted(term[first], np.arange(terms + 1)).astype(np.int32)
+        """Rows of the long lists of each tile, with their block maxima; the postings of the others.  Where it is searched, not where it is only sent."""
+        n, self.name, tile_size, size, place, weight = self.kept
+        terms, tiles = len(size), len(tile_size)
+        self.edge = np.concatenate(([0], np.cumsum(tile_size)))
+        place, term = place.astype(np.int64), np.repeat(np.arange(terms), size)
+        tile = np.repeat(np.arange(tiles), tile_size)[place]
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (tile[1:] != tile[:-1])))) if len(term) else np.empty(0, np.int64)
+        length = np.diff(np.append(first, len(term)))  # of each term's list in each tile
+        # a row costs as many steps as the tile has entries; a list its length, where the query has the term
+        dense = np.repeat(length * size[term[first]] > tile_size[tile[first]] * (n / DENSE**2), length)
+        long_ = np.zeros(terms, bool)
+        long_[term[dense]] = True
+        #: Row of each term with a long list in some tile, -1 for the others.
+        self.row = np.where(long_, np.cumsum(long_) - 1, -1)
+        starts = [np.arange(0, m, BLOCK) for m in tile_size]
+        self.block_edge = np.concatenate(([0], np.cumsum([len(x) for x in starts])))
+        self.blocks = int(self.block_edge[-1])
+        self.most, self.rows, self.weights = np.zeros((int(long_.sum()), self.blocks), np.float32), [], []
+        for t in range(tiles):
+            mine = np.flatnonzero(dense & (tile == t))
+            rows, at = np.unique(self.row[term[mine]], return_inverse=True)
+            weights = np.zeros((len(rows), tile_size[t]), np.float32)
+            weights[at, place[mine] - self.edge[t]] = weight[mine]
+            self.most[rows, self.block_edge[t] : self.block_edge[t + 1]] = np.maximum.reduceat(weights, starts[t], axis=1)
+            self.rows.append(rows)
+            self.weights.append(weights)
+        #: First entry of each block.
+        self.block = np.concatenate([self.edge[t] + x for t, x in enumerate(starts)])
+        self.place, self.weight = place[~dense], weight[~dense].astype(np.float64)
+        self.list = np.concatenate(([0], np.cumsum(np.bincount(term[~dense], minlength=terms))))
+        self.built = True
 
     def search(self, doc: np.ndarray, term: np.ndarray, weight: np.ndarray, m: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Cosines and entries (-1: none) of the k nearest of each of m queries with a cosine above 0, nearest first."""
         best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
         if not self.n or not len(doc):
             return best, who
-        edges, lo = np.searchsorted(doc, np.arange(m + 1)), 0
-        reach = np.concatenate(([0], np.cumsum(self.list[term + 1] - self.list[term])))[edges]
-        most_rows = max(1, STEP // self.n)
-        while lo < m:
-            hi = min(m, lo + most_rows, max(lo + 1, int(np.searchsorted(reach, reach[lo] + STEP, "right")) - 1))
+        if not self.built:
+            self._build()
+        edges = np.searchsorted(doc, np.arange(m + 1))
+        step = max(1, STEP // self.n)
+        for lo in range(0, m, step):
+            hi = min(m, lo + step)
             a, b = edges[lo], edges[hi]
             if b > a:
-                best[lo:hi], who[lo:hi] = self._some(doc[a:b] - lo, term[a:b], weight[a:b].astype(np.float32), hi - lo, k)
-            lo = hi
+                best[lo:hi], who[lo:hi] = self._some(doc[a:b] - lo, term[a:b], weight[a:b], hi - lo, k)
         return best, who
 
     def _some(self, doc, term, weight, m, k):
         row = self.row[term]
-        dense = row >= 0
-        long_ = np.zeros((m, len(self.rows)), np.float32)
-        long_[doc[dense], row[dense]] = weight[dense]
-        cosine = long_ @ self.rows
-        doc, term, weight = doc[~dense], term[~dense], weight[~dense]
-        lists = (self.list[term + 1] - self.list[term]).astype(np.int64)
-        query, part, weight = np.repeat(doc, lists), ragged(self.list[term].astype(np.int64), lists), np.repeat(weight, lists)
-        block = self.part[part]
-        bound = np.bincount(query * self.blocks + block, weight * self.most[part], m * self.blocks).reshape(m, self.blocks)
-        bound = (bound + cosine.reshape(m, self.blocks, BLOCK).max(axis=2)) * 1.00001  # rounding must not prune
-        cosine = cosine[:, : self.n]
-        open_ = np.zeros(bound.shape, bool)
-        some = min(3, self.blocks)
-        np.put_along_axis(open_, np.argpartition(-bound, some - 1, axis=1)[:, :some], True, 1)
-        self._open(cosine, open_, query, part, block, weight)
-        if self.n > k:
-            kth = np.partition(cosine, self.n - k, axis=1)[:, self.n - k]
-            rest = (bound >= kth[:, None]) & (bound > 0) & ~open_
-        else:
-            rest = (bound > 0) & ~open_
-        self._open(cosine, rest, query, part, block, weight)
-        kth = np.partition(cosine, self.n - k, axis=1)[:, self.n - k] if self.n > k else np.zeros(m)
-        row, entry = np.nonzero((cosine >= kth[:, None]) & (cosine > 0))
-        value = cosine[row, entry]
+        long_ = np.zeros((m, len(self.most)), np.float32)
+        long_[doc[row >= 0], row[row >= 0]] = weight[row >= 0]
+        cosine = self._short(doc, term, weight, m)
+        bound = (long_ @ self.most + np.maximum.reduceat(cosine, self.block, axis=1)) * 1.0001  # rounding must not prune
+        bound = np.maximum.reduceat(bound, self.block_edge[:-1], axis=1)
+        first = np.zeros(bound.shape, bool)
+        first[np.arange(m), bound.argmax(axis=1)] = True
+        least = np.zeros(m, np.float32)  # no more than the k-th best cosine
+        for t, mine in self._open(cosine, first, long_):
+            if (size := int(self.edge[t + 1] - self.edge[t])) > k:
+                least[mine] = np.partition(cosine[mine, self.edge[t] : self.edge[t + 1]], size - k, axis=1)[:, size - k]
+        for _ in self._open(cosine, (bound >= least[:, None]) & (bound > 0) & ~first, long_):
+            pass
+        row, place = np.nonzero((cosine >= least[:, None]) & (cosine > 0))
+        value, entry = cosine[row, place], self.name[place]
         order = np.lexsort((entry, -value, row))
         row, entry, value = row[order], entry[order], value[order]
-        place = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
-        keep = place < k
+        at = np.arange(len(row)) - np.searchsorted(row, np.arange(m))[row]
+        keep = at < k
         best, who = np.zeros((m, k)), np.full((m, k), -1, np.int64)
-        best[row[keep], place[keep]], who[row[keep], place[keep]] = value[keep], entry[keep]
+        best[row[keep], at[keep]], who[row[keep], at[keep]] = value[keep], entry[keep]
         return best, who
 
-    def _open(self, cosine, open_, query, part, block, weight) -> None:
-        """Adds to ``cosine`` what the queries' terms give in the opened blocks."""
-        self.opened += int(open_.sum())
-        mine = np.flatnonzero(open_[query, block])
-        sizes = (self.first[part[mine] + 1] - self.first[part[mine]]).astype(np.int64)
-        reach = np.concatenate(([0], np.cumsum(sizes)))
+    def _short(self, doc, term, weight, m) -> np.ndarray:
+        """What the postings outside of rows give to each query and entry."""
+        out = np.zeros((m, self.n), np.float32)
+        begin = self.list[term]
+        sizes = self.list[term + 1] - begin
+        some = np.flatnonzero(sizes)
+        doc, begin, sizes, weight = doc[some], begin[some], sizes[some], weight[some].astype(np.float64)
+        edges = np.searchsorted(doc, np.arange(m + 1))
+        reach = np.concatenate(([0], np.cumsum(sizes)))[edges]
         lo = 0
-        while lo < len(mine):
-            hi = max(lo + 1, int(np.searchsorted(reach, reach[lo] + 4 * STEP, "right")) - 1)
-            at = ragged(self.first[part[mine[lo:hi]]].astype(np.int64), sizes[lo:hi])
-            place = np.repeat(query[mine[lo:hi]] * self.n, sizes[lo:hi]) + self.entry[at]
-            cosine += np.bincount(place, np.repeat(weight[mine[lo:hi]], sizes[lo:hi]) * self.weight[at], cosine.shape[0] * self.n).reshape(cosine.shape).astype(np.float32)
+        while lo < m:
+            hi = min(m, max(lo + 1, int(np.searchsorted(reach, reach[lo] + SHORT_STEP, "right")) - 1))
+            a, b = edges[lo], edges[hi]
+            at = ragged(begin[a:b], sizes[a:b])
+            to = self.place[at]
+            to += np.repeat((doc[a:b] - lo) * self.n, sizes[a:b])
+            value = self.weight[at]
+            value *= np.repeat(weight[a:b], sizes[a:b])
+            out[lo:hi] = np.bincount(to, value, (hi - lo) * self.n).reshape(hi - lo, self.n)
             lo = hi
+        return out
+
+    def _open(self, cosine, open_, long_):
+        """Adds to ``cosine`` what the queries' long lists give in the opened tiles; gives each tile with its queries."""
+        self.opened += int((open_ * np.diff(self.block_edge)).sum())
+        for t in np.flatnonzero(open_.any(axis=0)):
+            mine, rows = np.flatnonzero(open_[:, t]), self.rows[t]
+            if len(rows):
+                cosine[mine, self.edge[t] : self.edge[t + 1]] += long_[np.ix_(mine, rows)] @ self.weights[t]
+            yield t, mine
 
 
 class Model:

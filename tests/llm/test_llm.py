@@ -79,6 +79,36 @@ def test_block_max_search_is_exact():
             assert np.allclose(want[i, row[row >= 0]], best[i][row >= 0], atol=1e-5) and len(set(row[row >= 0].tolist())) == (row >= 0).sum()
 
 
+def test_search_opens_no_blocks_of_unlike_entries():
+    rng = np.random.default_rng(4)
+    n, width = 2400, 800  # entries of two languages, by turns, that share three words
+    entries = np.zeros((n, 2 * width + 3))
+    for i in range(n):
+        entries[i, (i % 2) * width + rng.choice(width, 20, replace=False)] = rng.random(20) + 0.5
+    entries[:, -3:] = 0.1 * rng.random((n, 3))
+    entries /= np.linalg.norm(entries, axis=1, keepdims=True)
+    queries = np.abs(entries[:200] + 0.3 * entries[200:400])
+    queries /= np.linalg.norm(queries, axis=1, keepdims=True)
+    e, t = np.nonzero(entries)
+    index = toxicity.BlockMaxIndex(e, t, entries[e, t], n, entries.shape[1])
+    q, u = np.nonzero(queries)
+    best, who = index.search(q, u, queries[q, u], len(queries), 15)
+    want = queries @ entries.T
+    assert np.allclose(best, -np.sort(-want, axis=1)[:, :15], atol=1e-5)
+    assert np.allclose(np.take_along_axis(want, who, 1), best, atol=1e-5)
+    assert index.opened < 0.6 * len(queries) * index.blocks
+
+
+def test_known_terms_are_found_whatever_their_beginnings():
+    rng = np.random.default_rng(5)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 3000, np.uint64), np.uint64(7 << 40) + np.arange(50, dtype=np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    asked = np.concatenate([rng.permutation(keys), keys + np.uint64(1), rng.integers(0, 2**64, 3000, np.uint64)])
+    at = {k: i for i, k in enumerate(keys.tolist())}
+    for some in (keys, keys[:1], keys[:0]):
+        known, term = toxicity.Space(some, np.ones(len(some))).place(asked)
+        assert list(zip(known.tolist(), term.tolist())) == [(i, at[k]) for i, k in enumerate(asked.tolist()) if at.get(k, len(keys)) < len(some)]
+
+
 def test_toxicity_is_that_of_brute_force_votes(spark):
     import math
     from collections import Counter
