@@ -21,8 +21,8 @@ Search.  Examples of equal text are one entry.  Alike entries come into one
 tile (in which language they are decides most), cut into blocks of 64.  Every
 term has a posting list; where it is long in a tile, it is kept as a row of
 weights, which a matrix product sums faster than postings, with the largest
-weight in each block.  What the other postings give is summed at once; they
-are hardly more than their block maxima would be.  A query's bound on a block is
+weight in each block.  What the other postings give is summed at once, since
+they are not many more than their block maxima would be.  A query's bound on a block is
 the largest of these sums in it, and its other weights times the block maxima;
 the tile of the best block is opened first, then all others that have a block
 whose bound reaches the k-th best cosine of that tile.  The result is exact
