@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -463,6 +464,56 @@ def test_a_signature_of_one_set_goes_no_further(spark):
     assert held.n > 0 and held.b == 12 * 2 * held.n
 
 
+@pytest.mark.parametrize("held", [64 << 20, 4 << 20])
+def test_postings_are_sorted_in_bounded_parts(monkeypatch, held):
+    class Rows:
+        """Stands for the rows of a first pass; gives the function that each task runs."""
+
+        repartition = lambda self, *_: self
+        mapInArrow = lambda self, run, _: run
+
+    rng = np.random.default_rng(7)
+    n = 1_500_000
+    key = rng.integers(0, 1 << 39, n)  # nearly all of one set ...
+    key[:6000] = rng.integers(0, 1 << 12, 6000) * 977  # ... some of a few, with repeats ...
+    key[6000:6400] = 5  # ... and one large group
+    node = rng.integers(0, 1 << 47, n)
+    node[3000:6000] = node[:3000]
+    packed = np.empty((n, 12), np.uint8)
+    packed[:, :5] = key.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :5]
+    packed[:, 5] = 7
+    packed[:, 6:] = node.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :6]
+    packed = packed[rng.permutation(n)]
+    blobs = [packed[i : i + 5000].tobytes() for i in range(0, n, 5000)]
+    batches = [next(jaccard_join._packed_rows(np.frombuffer(x, np.uint8).reshape(-1, 12), np.zeros(5000, int), 1)) for x in blobs]
+    monkeypatch.setattr(jaccard_join, "HELD_BYTES", held)
+    run = jaccard_join._group_postings(Rows(), 1)
+    made, most = {1: [], 3: []}, 0
+    tracemalloc.start()
+    try:
+        for batch in run(iter(batches)):
+            for kind, u, v, pairs, row in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
+                made[kind].append((u, v) if kind == 3 else (pairs, row))
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    want: dict[int, set[int]] = {}
+    common, times = np.unique(key, return_counts=True)
+    shared = np.isin(key, common[times > 1])
+    for k, x in zip(key[shared].tolist(), node[shared].tolist()):
+        want.setdefault(k, set()).add(x)
+    found: dict[int, set[int]] = {}
+    for pairs, row in made[1]:
+        part = np.frombuffer(row, np.uint8).reshape(-1, 12)
+        k, x = jaccard_join._number(part[:, :5]), jaccard_join._number(part[:, 6:12])
+        assert not set(k.tolist()) & set(found) and sum(m * (m - 1) // 2 for m in np.unique(k, return_counts=True)[1].tolist()) == pairs
+        for a, b in zip(k.tolist(), x.tolist()):
+            found.setdefault(a, set()).add(b)
+    assert found == {k: x for k, x in want.items() if 1 < len(x) <= jaccard_join.GROUP}
+    assert set(made[3]) == {(x, 5 | jaccard_join.HUB) for x in want[5]} and len(want[5]) >= 400
+    assert most < 5 * packed.nbytes  # the postings twice as they are joined, and a part's keys, nodes and order
+
+
 def test_shuffle_files_go_when_a_table_is_written(spark):
     files = lambda: {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
     before = files()
