@@ -16,7 +16,11 @@ class NodePredicate:
 
 @dataclass(frozen=True)
 class EdgePredicate:
-    """``condition`` is the number of the follow whose edge takes a name or index."""
+    """``condition`` is the number of the follow whose edge takes a name or index.
+
+    ``measured``: each node of ``from_types`` has about ``forward`` edges however many there are, so the way
+    back costs what the numbers of nodes at both ends give, and not ``backward``.
+    """
 
     forward: int
     backward: int
@@ -27,6 +31,7 @@ class EdgePredicate:
     must_specify: bool = False
     repeated: bool = False
     fixed_index: int | None = None
+    measured: bool = False
 
     def follows(self, names=(), index=None) -> tuple[Follow, ...]:
         index = index if index is not None else self.fixed_index
@@ -148,9 +153,9 @@ def tabular_registry() -> Registry:
     nodes = {f"tables::{n}": NodePredicate((n,)) for n in ("region", "nation", "customer", "supplier", "part", "order", "event", "turn", "document")}
     t = lambda name: (Follow("t", (EdgeType(name),)),)
     edges = {
-        "tables::in_region": EdgePredicate(1, 5, t("in_region"), None, ("nation",), ("region",)), "tables::cust_nation": EdgePredicate(1, 60, t("cust_nation"), 0, ("customer",), ("nation",)),
-        "tables::supp_nation": EdgePredicate(1, 4, t("supp_nation"), None, ("supplier",), ("nation",)), "tables::placed": EdgePredicate(10, 1, t("placed"), 0, ("customer",), ("order",)),
-        "tables::contains": EdgePredicate(4, 30, t("contains"), 0, ("order",), ("part",)), "tables::shipped_by": EdgePredicate(4, 600, t("shipped_by"), 0, ("order",), ("supplier",)),
+        "tables::in_region": EdgePredicate(1, 5, t("in_region"), None, ("nation",), ("region",), measured=True), "tables::cust_nation": EdgePredicate(1, 60, t("cust_nation"), 0, ("customer",), ("nation",), measured=True),
+        "tables::supp_nation": EdgePredicate(1, 4, t("supp_nation"), None, ("supplier",), ("nation",), measured=True), "tables::placed": EdgePredicate(10, 1, t("placed"), 0, ("customer",), ("order",), measured=True),
+        "tables::contains": EdgePredicate(4, 30, t("contains"), 0, ("order",), ("part",), measured=True), "tables::shipped_by": EdgePredicate(4, 600, t("shipped_by"), 0, ("order",), ("supplier",), measured=True),
         "tables::next_turn": EdgePredicate(1, 1, t("next_turn"), None, ("turn",), ("turn",)), "tables::later_turn": EdgePredicate(8, 8, t("next_turn"), None, ("turn",), ("turn",), repeated=True),
     }
     return Registry(nodes, edges)

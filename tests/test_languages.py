@@ -39,6 +39,18 @@ def test_root_by_cost():
     assert [(f.kind, f.edges[0].type, f.edges[0].reverse) for f in first] == [("t", "function-contains", True), ("?", "method-function", True)]
 
 
+def test_plans_pair_no_branches_that_meet_in_few_nodes():
+    text = "tables::placed(C, O). tables::cust_nation(C, N). tables::shipped_by(O, S). tables::supp_nation(S, N). %SELECT(O.id AS o, N.name AS n)."
+    logic = parse.parse_logic(text)
+    for copies in (1, 60, 360):
+        of = {"nation": 25, "customer": 15_000 * copies, "supplier": 1_000 * copies, "order": 150_000 * copies}
+        query = compiler.compile_logic(logic, tabular_registry(), counts(of))[0]
+        back = [f.edges[0].type for t in query.traces for f in t.traverses[0].follows if f.edges[0].reverse]
+        assert not {"cust_nation", "supp_nation"} & set(back)
+    p = tabular_registry().edge("tables::cust_nation")
+    assert compiler._backward(p, counts({"nation": 25, "customer": 15_000})) == 600 and compiler._backward(p, counts({"nation": 0, "customer": 0})) == 1
+
+
 def test_components_and_conflicts():
     logic = parse.parse_logic("tables::nation(N). tables::part(P). tables::in_region(N, R).")
     assert [[c.predicate for c in part] for part in compiler.components(logic)] == [["tables::part"], ["tables::nation", "tables::in_region"]] or len(compiler.components(logic)) == 2
