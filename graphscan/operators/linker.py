@@ -9,16 +9,25 @@ from ..lang.tree import EdgeType, Follow, Linear
 from ..sources.graph import GraphSource
 from .traverse import walk
 
+#: Rows of lookups and definitions in a partition of their join.
+PART_ROWS = 500_000
+
 
 def link(lookups: DataFrame, definitions: DataFrame, symbols: DataFrame, kind: str = "call-link") -> DataFrame:
     """Edges from looked-up nodes to the nodes defined where the language service points.
 
     lookups (node_id, path, index), definitions (path, index, def_path, start_index, end_index), symbols (path, start_index, end_index, node_id).
+    Lookups and definitions are counted first; a partition takes about ``PART_ROWS`` of them.
     """
-    d = definitions.select(F.col("path").alias("path"), F.col("index").alias("index"), F.col("def_path"), F.col("start_index"), F.col("end_index"))
+    d = definitions.select("path", "index", "def_path", "start_index", "end_index")
     s = symbols.select(F.col("path").alias("def_path"), "start_index", "end_index", F.col("node_id").alias("to"))
-    found = lookups.select(F.col("node_id").alias("from"), "path", "index").join(d, ["path", "index"]).join(s, ["def_path", "start_index", "end_index"])
-    return found.select(F.lit(kind).alias("type"), "from", "to", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("index")).distinct()
+    parts = max(int(lookups.sparkSession.conf.get("spark.sql.shuffle.partitions")), (lookups.count() + definitions.count()) // PART_ROWS + 1)
+    # what is defined at a place comes first, so that many definitions of one node meet the lookups once
+    there = d.join(s, ["def_path", "start_index", "end_index"]).select("path", "index", "to").repartition(parts, "path", "index").dropDuplicates(["path", "index", "to"])
+    found = lookups.select(F.col("node_id").alias("from"), "path", "index").repartition(parts, "path", "index").join(there, ["path", "index"]).select("from", "to")
+    # rows are spread before they are made distinct: what a task holds does not grow with the tables
+    pairs = found.repartition(parts, "from").dropDuplicates(["from", "to"])
+    return pairs.select(F.lit(kind).alias("type"), "from", "to", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("index"))
 
 
 def without_bad_edges(edges: DataFrame) -> DataFrame:

@@ -162,7 +162,7 @@ def link_lookups(spark, sf_dir):
     """Order lines look up the supplier that their part's next line names; shape of the linker join."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     lookups = lines.select(F.col("l_orderkey").alias("node_id"), F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("index"))
-    definitions = lines.select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("index"), F.col("l_suppkey").alias("def_path"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index")).distinct()
+    definitions = lines.select(F.col("l_partkey").alias("path"), F.col("l_linenumber").alias("index"), F.col("l_suppkey").alias("def_path"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index"))
     symbols = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("path"), F.lit(0).alias("start_index"), F.lit(1).alias("end_index"), F.col("s_nationkey").alias("node_id"))
     return linker.link(lookups, definitions, symbols).select("from", "to")
 

@@ -28,6 +28,18 @@ def test_link_and_bad_edges(spark):
     assert linker.without_bad_edges(edges.unionByName(edges.withColumn("to", F.lit("")))).count() == 1
 
 
+def test_link_spreads_by_rows(spark, monkeypatch):
+    lookups = spark.createDataFrame([(f"call{i}", f"{i % 7}.ts", 5) for i in range(60)] * 2 + [("none", None, 5)], "node_id string, path string, index int")
+    definitions = spark.createDataFrame([(f"{i}.ts", 5, "b.ts", at, 20) for i in range(7) for at in (10, 11)] * 2, "path string, index int, def_path string, start_index int, end_index int")
+    symbols = spark.createDataFrame([("b.ts", 10, 20, "fn"), ("b.ts", 11, 20, "fn")], "path string, start_index int, end_index int, node_id string")
+    monkeypatch.setattr(linker, "PART_ROWS", 10, raising=False)
+    edges = linker.link(lookups, definitions, symbols)
+    assert sorted((r["from"], r.to) for r in edges.collect()) == sorted((f"call{i}", "fn") for i in range(60))
+    # 121 lookups and 28 definitions: neither the join nor its distinct rows are left to as many partitions as a small table gets
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == plan.count(", 15") == 3
+
+
 def test_overlay(spark):
     rows = spark.createDataFrame([("root", "a", 1), ("root", "b", 2), ("diff", "a", 3)], "key string, path string, n int")
     changed = spark.createDataFrame([("a",), ("gone",)], "path string")
