@@ -49,8 +49,20 @@ def extracted(files: DataFrame) -> DataFrame:
     """Rows of nodes, edges, lookups and errors (``what``) of every file, per language it belongs to."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {n: [] for n in ROWS.names}
+
+        def add(what: str, fields: tuple[str, ...], rows: list[tuple], **place: str) -> None:
+            given = dict(zip(fields, zip(*rows)))
+            for name, column in out.items():
+                column.extend(given[name] if name in given else [what if name == "what" else place.get(name)] * len(rows))
+
+        def made() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in ROWS], schema=ROWS)
+            for column in out.values():
+                column.clear()
+            return batch
+
         for batch in batches:
-            out: list[dict] = []
             for key, repo, path, ast, language in zip(*(c.to_pylist() for c in batch.columns)):
                 place = {"key": key, "repo": repo, "path": path}
                 try:
@@ -58,16 +70,15 @@ def extracted(files: DataFrame) -> DataFrame:
                         raise ValueError("no syntax tree")
                     found = EXTRACTORS[language](path, json.loads(ast))
                 except (ValueError, KeyError, TypeError, AttributeError, RecursionError) as e:
-                    out.append(place | {"what": "error", "error": f"{type(e).__name__}: {e}"})
+                    add("error", ("error",), [(f"{type(e).__name__}: {e}",)], **place)
                     continue
-                out += [place | dict(zip(("what", "id", "type", "name", "index", "start_index", "end_index", "start_line", "end_line", "symbol"), ("node", *n))) for n in found.nodes]
-                out += [place | dict(zip(("what", "type", "from", "to", "name", "index"), ("edge", *e))) for e in found.edges]
-                out += [place | {"what": "lookup", "id": i, "index": at} for i, at in found.lookups]
-                if len(out) > 20_000:
-                    yield pa.RecordBatch.from_pylist(out, ROWS)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_pylist(out, ROWS)
+                add("node", ("id", "type", "name", "index", "start_index", "end_index", "start_line", "end_line", "symbol"), found.nodes, **place)
+                add("edge", ("type", "from", "to", "name", "index"), found.edges, **place)
+                add("lookup", ("id", "index"), found.lookups, **place)
+                if len(out["what"]) > 20_000:
+                    yield made()
+            if out["what"]:
+                yield made()
 
     chosen = by_language(files).where(F.col("language").isin(*EXTRACTORS)).select("key", F.col("repo").cast("string").alias("repo"), "path", "ast", "language")
     rows = chosen.mapInArrow(run, SCHEMA)

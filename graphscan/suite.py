@@ -325,9 +325,17 @@ def stream_distinct(spark, sf_dir):
     return spark.read.schema("user_id long, event_type string").parquet(f"{folder}/out")
 
 
+#: Files that a task extracts.
+FILES = 50_000
+
+
 def _code(spark, sf_dir):
-    """A file per event: its type is imported from a module and called with the user's number."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    """A file per event: its type is imported from a module and called with the user's number.
+
+    An event is far smaller than the rows that its file gives, so the events are spread before they become files.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", "user_id")
+    events = events.repartition(max(spark.sparkContext.defaultParallelism, events.count() // FILES + 1))
     tree = (
         '{"type":"Program","body":[{"type":"ImportDeclaration","source":{"type":"Literal","value":"lib"},"specifiers":[{"type":"ImportSpecifier","imported":{"type":"Identifier","name":"%s"},"local":{"type":"Identifier","name":"f"}}]},'
         '{"type":"FunctionDeclaration","id":{"type":"Identifier","name":"main"},"params":[],"body":{"type":"BlockStatement","body":[{"type":"ReturnStatement","argument":'

@@ -128,3 +128,13 @@ def test_patterns_and_statements():
     assert ("declare", ("identifier", "b"), ("member", "a")) in edges and ("assignment", ("identifier", "b"), ("literal", "1")) in edges and ("declare", ("identifier", "rest"), ("object", None)) in edges
     assert ("reference", ("identifier-ref", "e"), ("identifier", "e")) in edges and ("catch-contains", ("catch", None), ("throw", None)) in edges and ("jsx-tag", ("jsx-element", "b"), ("identifier-ref", "b")) in edges
     assert not any(e[0] == "reference" and name_of[e[1]][1] == "z" for e in graph.edges)
+
+
+def test_files_made_from_small_rows_are_spread(spark, monkeypatch):
+    from graphscan import suite
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(suite, "FILES", 100, raising=False)
+    tasks = suite._code(spark, sf).where("what = 'node'").groupBy(F.spark_partition_id().alias("task")).count().count()
+    assert tasks == spark.read.parquet(f"{sf}/events.parquet").count() // 100 + 1
