@@ -600,3 +600,21 @@ def test_slices_hold_every_byte():
     column = pa.array(["ab", None, "", "é" * 50, "z"])
     seen = [bytes(data[a : b - 1]).decode() for _, _, data, at in byte_slices(column, 40) for a, b in zip(at[:-1], at[1:])]
     assert seen == ["ab", "", "", "é" * 50, "z"]
+
+
+def test_leaves_without_shared_keys_are_not_multiplied(monkeypatch):
+    from graphscan.llm import jaccard_join as join
+
+    leaf = lambda sets: join.Leaf([f"{i:032x}" for i in range(len(sets))], [1] * len(sets), sets)
+    keys = np.arange(64 * 8, dtype=np.uint64)
+    x = leaf([np.sort(keys[:40] + np.uint64(1024 * i)) for i in range(8)])
+    y = leaf([np.sort(keys[:40] + np.uint64(1024 * i)) for i in range(100, 108)])  # the same points, other keys
+    calls = []
+    real = join._overlaps
+    monkeypatch.setattr(join, "_overlaps", lambda *a: calls.append(1) or real(*a))
+    assert [len(part) for part in join.leaf_links(x, y, 60)] == [0, 0] and not calls
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(keys[:48], rng.integers(20, 40), replace=False)) for _ in range(40)]
+    a, b = leaf(sets[:20]), leaf(sets[20:])
+    want = {(i, j) for i, s in enumerate(a.sets) for j, t in enumerate(b.sets) if 100 * len(np.intersect1d(s, t)) >= 60 * len(np.union1d(s, t))}
+    assert want and set(zip(*(part.tolist() for part in join.leaf_links(a, b, 60)))) == want
